@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, packing, sstable
-from proofline.llm._common import documents
+from proofline.llm import bpe, packing, quality_rules, ranking, sstable
+from proofline.llm._common import documents, table
+
+
+def op1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return ranking.score(docs, ranking.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), "word_bpe_49k.json", hashes_only=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.score(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), "word_bpe_49k.json").drop("ids")
 
