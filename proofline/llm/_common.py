@@ -88,3 +88,28 @@ class Out:
         if self.columns[0] and (force or len(self.columns[0]) >= self.most):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, self.schema, strict=True)], schema=self.schema)
             self.columns = [[] for _ in self.schema]
+
+
+def from_text(docs: DataFrame, added: list[tuple[str, str]], measure, slice_chars: int = 2_000_000, replace_text: bool = False) -> DataFrame:
+    """`docs` with columns that `measure(texts)` derives from its text, a slice of texts at a time.
+
+    measure returns one sequence per added column, and the new texts before them if replace_text. Input columns named as
+    an added one (in any case) are replaced; all others are kept.
+    """
+    names_added = {n.lower() for n, _ in added}
+    keep = [f for f in docs.schema if f.name.lower() not in names_added]
+    names, at_text = [f.name for f in keep], next(i for i, f in enumerate(keep) if f.name.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = ((t.as_py(),) for t in batch.column(at_text)), 0
+            for part in sized(texts, lambda r: len(r[0] or ""), slice_chars):
+                out = measure([p[0] for p in part])
+                columns = list(batch.slice(at, len(part)).columns)
+                if replace_text:
+                    columns[at_text] = pa.array(out[0], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in out[replace_text:])], names=[*names, *(n for n, _ in added)])
+                at += len(part)
+
+    types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{n} {t}" for n, t in added)])
+    return docs.select(*(f"`{n}`" for n in names)).mapInArrow(run, types)

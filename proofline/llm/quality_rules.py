@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm import labelled
-from proofline.llm._common import rows_of, sized
+from proofline.llm._common import from_text, rows_of, sized
 from proofline.llm.textstats import SLICE_CHARS, Counts, count
 
 BINS = 1 << 13  # of characters; as many of words
@@ -31,7 +31,6 @@ MIN_QUALITY = 0.3
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCORED = pa.schema([("row", pa.binary()), *((c, pa.int64()) for c in COLUMNS), ("base_failed", pa.bool_()), ("quality", pa.float64()), ("kept", pa.bool_())])
 
 
 def grams(texts: list[str | None], counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,24 +135,11 @@ def score(docs: DataFrame, model: Model, min_quality: float = MIN_QUALITY) -> Da
 
     Input columns of those names are replaced; all others stay.
     """
-    added = set(SCORED.names) - {"row"}
-    keep = [c for c in docs.columns if c.lower() not in added]
-    inner = docs.select(*keep)
-    fields = [(f.name, f.dataType.simpleString()) for f in inner.schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(names.index("text")).cast(pa.large_string()).to_pylist()
-            at = 0
-            for part in sized(((t,) for t in texts), lambda r: len(r[0] or ""), SLICE_CHARS):
-                held = [p[0] for p in part]
-                c = count(held)
-                q = model.score(held, c)
-                failed = (c.n_words < MIN_WORDS) | (100 * c.n_repeat_words > MAX_REPEATED * c.n_words)
-                new = [*(getattr(c, k) for k in COLUMNS), failed, q, ~failed & (q >= min_quality)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns, *map(pa.array, new)], names=[*names, *SCORED.names[1:]])
-                at += len(part)
-
-    names = [n for n, _ in fields]
-    types = ", ".join([*(f"`{n}` {t}" for n, t in fields), *(f"{c} long" for c in COLUMNS), "base_failed boolean, quality double, kept boolean"])
-    return inner.mapInArrow(run, types)
+
+    def measure(texts: list[str | None]) -> list:
+        c = count(texts)
+        q = model.score(texts, c)
+        failed = (c.n_words < MIN_WORDS) | (100 * c.n_repeat_words > MAX_REPEATED * c.n_words)
+        return [*(getattr(c, k) for k in COLUMNS), failed, q, ~failed & (q >= min_quality)]
+
+    return from_text(docs, [*((c, "long") for c in COLUMNS), ("base_failed", "boolean"), ("quality", "double"), ("kept", "boolean")], measure, SLICE_CHARS)

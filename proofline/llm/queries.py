@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, packing, quality_rules, ranking, sstable
+from proofline.llm import bpe, packing, quality_rules, ranking, secrets, sstable
 from proofline.llm._common import documents, table
 
 
@@ -19,6 +19,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), "word_bpe_49k.json", hashes_only=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
