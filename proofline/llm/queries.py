@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, packing, quality_rules, ranking, secrets, sstable
+from proofline.llm import bpe, knn, packing, quality_rules, ranking, secrets, sstable, warc
 from proofline.llm._common import documents, table
 
 
@@ -19,10 +19,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), "word_bpe_49k.json", hashes_only=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url", "payload")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -37,9 +45,20 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(documents(spark, sf_dir), "byte_bpe_50k.json")).drop("ids")
 
 
+SQL = {
+    "op5_knn": """
+        with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) q from embeddings
+                   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+             s as (select a.vec_id query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) as bigint) score
+                   from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+             r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) "rank" from s)
+        select query_id, "rank", vec_id, score from r where "rank" <= 10""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
