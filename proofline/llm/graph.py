@@ -1,0 +1,27 @@
+"""Connected components of a link table, by label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from proofline.llm._common import materialise
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of `links(a, b)`; root is the smallest node of its component.
+
+    Each round takes the smallest label among a node and its neighbours and then that label's own label, and is written
+    to the shared folder. Rounds grow with the logarithm of the longest path.
+    """
+    both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
+    both = materialise(both, "links")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "labels")
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
+        stepped = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        up = labels.select(F.col("node").alias("mid"), F.col("root").alias("up"))
+        labels = materialise(stepped.join(up, "mid").select("node", "old", F.least("mid", "up").alias("root")), "labels")
+        if labels.where("root <> old").isEmpty():
+            return labels.select("node", "root")
+        labels = labels.select("node", "root")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, knn, packing, quality_rules, ranking, secrets, sstable, warc
+from proofline.llm import bpe, knn, packing, quality_rules, ranking, secrets, shingle_join, sstable, warc
 from proofline.llm._common import documents, table
 
 
@@ -45,6 +45,10 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(documents(spark, sf_dir), "byte_bpe_50k.json")).drop("ids")
 
 
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 SQL = {
     "op5_knn": """
         with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) q from embeddings
