@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, knn, packing, quality_rules, ranking, secrets, shingle_join, sstable, warc
+from proofline.llm import bpe, knn, packing, quality_rules, ranking, secrets, shingle_join, sstable, substring_dedup, warc
 from proofline.llm._common import documents, table
 
 
@@ -31,6 +31,10 @@ def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
