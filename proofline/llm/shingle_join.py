@@ -210,7 +210,7 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def join(docs: DataFrame, block: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls (the key of its set) and th for each row of `docs(doc_id, text)`."""
+    """doc_id, n_shingles, component_id, cls (the key of its set), th and root (the key of its component) for each row of `docs(doc_id, text)`."""
     spark = docs.sparkSession
     parts = max(1, buckets(spark) // 2)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -257,5 +257,29 @@ def join(docs: DataFrame, block: int = 256) -> DataFrame:
     per_class = every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
     linked = per_class.join(roots, per_class.cls == roots.node, "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("component"))
-    resolved = linked.join(lowest, "root").select("cls", "component")
-    return every.join(resolved, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", "th")
+    resolved = linked.join(lowest, "root").select("cls", "component", "root")
+    return every.join(resolved, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", "th", "root")
+
+
+def keep_one(docs: DataFrame, block: int = 256) -> DataFrame:
+    """`docs` with one document of each component: the one with the smallest id, of rows that share it the smallest hash.
+
+    Documents without words stay. All columns stay as they are.
+    """
+    found = materialise(join(docs, block), "near-duplicates")
+    first = found.where("cls is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k")).select("root", F.col("k.doc_id").alias("keep_id"), F.col("k.th").alias("keep_th"))
+    judged = found.where("cls is not null").join(first, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))
+    dropped = materialise(judged.where(~stays).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t")).distinct(), "dropped")
+    repeated = materialise(judged.where(stays).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__t")).count().where("count > 1").drop("count"), "repeated")
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+    own = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("__th") == F.col("__t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    kept = own.join(small(dropped), same, "left_anti")
+    if not repeated.isEmpty():  # of rows that repeat id and text, one
+        some = small(repeated)
+        kept = kept.join(some, same, "left_anti").union(kept.join(some, same, "left_semi").dropDuplicates(["doc_id", "__th"]))
+    return kept.drop("__th")
