@@ -26,18 +26,18 @@ from pyspark.sql import functions as F
 from proofline.llm._common import Out, buckets, rows_of, sized
 from proofline.llm.vocab import codec, pieces, resolve, words
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 6_000_000
 WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
 TEXTS = pa.schema([("block", pa.binary()), ("packed", pa.binary())])
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def squeeze(data: bytes) -> bytes:
+def squeeze(data: bytes, level: int = 1) -> bytes:
     """Compressed bytes for a shuffle."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:
@@ -113,12 +113,14 @@ def encode(docs: DataFrame, vocabulary: str, hashes_only: bool = False, block_ch
                     x = known[w] = ids.chunk(w)
                 found.append(x)
             sizes = np.fromiter((len(x) // 4 for x in found), np.uint32, len(found))
-            out.append(squeeze(np.uint32(len(found)).tobytes() + sizes.tobytes() + b"".join(found)))
+            own = np.frombuffer(b"".join(found), "<u4")
+            kinds = ["<u1" if sizes.max(initial=0) < 256 else "<u4", "<u2" if own.max(initial=0) < 65536 else "<u4"]
+            out.append(squeeze(np.array([len(found), *(int(k[2]) for k in kinds)], "<u4").tobytes() + sizes.astype(kinds[0]).tobytes() + own.astype(kinds[1]).tobytes(), 3))
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "packed": pa.array(out, pa.binary())}, schema=WORDS)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, packed, _ in _blocks(batches, block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([squeeze(packed)], pa.binary())], schema=TEXTS)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([squeeze(packed, 3)], pa.binary())], schema=TEXTS)
 
     def join_back(texts: pa.Table, coded: pa.Table) -> pa.Table:
         names = pieces(resolve(vocabulary))
@@ -135,11 +137,11 @@ def encode(docs: DataFrame, vocabulary: str, hashes_only: bool = False, block_ch
             number_text, piece_text, counts, ids_of = {}, {}, {}, {}
             for bucket, of in order.items():
                 data = lists[bucket]
-                n = int(np.frombuffer(data, "<u4", 1)[0])
+                n, small, wide = np.frombuffer(data, "<u4", 3).tolist()
                 if n != len(of):
                     raise RuntimeError("a block's words and texts were cut differently")
-                sizes = np.frombuffer(data, "<u4", n, 4)
-                ids = np.frombuffer(data, "<u4", offset=4 + 4 * n).tolist()
+                sizes = np.frombuffer(data, f"<u{small}", n, 12)
+                ids = np.frombuffer(data, f"<u{wide}", offset=12 + small * n).tolist()
                 at = 0
                 for w, size in zip(of, sizes.tolist(), strict=True):
                     own = ids[at : at + size]
