@@ -55,9 +55,9 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "op5_knn": """
-        with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) q from embeddings
-                   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-             s as (select a.vec_id query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) as bigint) score
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q from embeddings
+                   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             s as (select a.vec_id query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) score
                    from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
              r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) "rank" from s)
         select query_id, "rank", vec_id, score from r where "rank" <= 10""",
