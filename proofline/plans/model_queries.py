@@ -335,7 +335,7 @@ def map_columns_to_states(t):
     return series.map_states(columns, t.spark.createDataFrame([("full", ["A", "N", "R"]), ("short", ["A", "R"])], "machine string, aliases array<string>"))
 
 
-@query("""with a as (select 'customer' c, 'n' || c_nationkey || ':' || cast(floor(c_acctbal / 100) as int) id from customer union select 'segment', c_mktsegment from customer), b as (select 'customer' c, 'n' || s_nationkey || ':' || cast(floor(s_acctbal / 100) as int) id from supplier),
+@query("""with a as (select 'customer' c, 'n' || c_nationkey || ':' || cast(floor(c_acctbal / 100) as int) id from customer union select 'segment', c_mktsegment from customer), b as (select distinct 'customer' c, 'n' || s_nationkey || ':' || cast(floor(s_acctbal / 100) as int) id from supplier),
           j as (select coalesce(a.c, b.c) category, a.id x, b.id y from a full join b on a.c = b.c and a.id = b.id)
           select category, count(x) as reference, count(*) filter (where x is not null and y is not null) as matched, count(*) filter (where y is null) as missing, count(*) filter (where x is null) as extra,
           cast(case when count(x) = 0 then 100.0 else round(100.0 * cast(count(*) filter (where x is not null and y is not null) as double) / count(x), 2) end as double) as percent from j group by 1""")
