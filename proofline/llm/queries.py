@@ -53,7 +53,21 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+LOWER = ("".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))
 SQL = {
+    "op3_warc": """
+        with d as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) x from pages),
+             b as (select *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1 as int), 1) for i in range(32)], '') digest,
+                   max(page_id) over (partition by x) keeper from d)
+        select page_id, n as payload_bytes, digest as payload_digest, case when page_id = keeper then 'response' else 'revisit' end as record_type, case when page_id <> keeper then keeper end as refers_to from b""",
+    "op10_shingle_join": f"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{LOWER[0]}', '{LOWER[1]}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+             s as (select doc_id, unnest(case when len(ws) >= 5 then list_distinct([hash(array_to_string(ws[i:i + 4], ' ')) for i in range(1, len(ws) - 3)]) when len(ws) > 0 then [hash(array_to_string(ws, ' '))] else [] end) sh from w),
+             n as (select doc_id, count(*) c from s group by 1),
+             p as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+             l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.c + y.c - i)),
+             r as (select doc_id node, doc_id root from w union select l.b, r.root from r join l on l.a = r.node where r.root < l.b)
+        select w.doc_id, coalesce(n.c, 0) as n_shingles, min(r.root) as component_id from w left join n on n.doc_id = w.doc_id join r on r.node = w.doc_id group by 1, 2""",
     "op5_knn": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q from embeddings
                    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
