@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours and then that label's own label, and is written
     to the shared folder. Rounds grow with the logarithm of the longest path.
     """
-    both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).union(links.select("a", F.col("a").alias("b"))).distinct()
+    both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).union(links.select("a", "b").where("a = b")).distinct()
     both = materialise(both, "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "labels")
     while True:

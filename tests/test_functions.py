@@ -68,6 +68,8 @@ def test_graph(spark):
     links = spark.createDataFrame([("A-1", "x", 1), ("x", "B-2", 2), ("x", "y", 3), ("B-2", "z", 4)], "a string, b string, ord int")
     got = {r.node: r.root for r in graph.components_with_veto(links, "^[A-Z]-[0-9]$").collect()}
     assert got == {"A-1": "A-1", "x": "A-1", "y": "A-1", "B-2": "B-2", "z": "B-2"}
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
+    assert dict(graph.components(spark.createDataFrame(chain, "a long, b long")).collect()) == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200}
     dag = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "d")], "a string, b string")
     nodes = spark.createDataFrame([(n,) for n in "abcd"], "node string")
     placed = graph.columns(dag, nodes)
