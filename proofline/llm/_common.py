@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from proofline.storage import materialise, new_path, shared_dir  # noqa: F401
+
 WS = "\t\n\x0b\x0c\r "  # the separators of `[^\x20\x09-\x0D]+`
 
 
@@ -22,31 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jdir.get() if jdir.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="proofline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/proofline/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: it cuts lineage and survives lost executors."""
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def buckets(spark: SparkSession) -> int:
     """Into how many parts keys are dealt; it follows spark.sql.shuffle.partitions, which is set by data size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

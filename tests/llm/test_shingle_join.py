@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from proofline.llm import shingle_join
-from proofline.llm.graph import components
 
 
 def brute(rows):
@@ -70,8 +69,3 @@ def test_distance_bound():
             if t == u < 1000:
                 assert len(np.setdiff1d(x, y)) <= len(np.setxor1d(a, b))
 
-
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
-    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
