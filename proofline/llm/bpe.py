@@ -84,6 +84,7 @@ def bucket_of(word: str, parts: int) -> int:
 def encode(docs: DataFrame, vocabulary: str, hashes_only: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode and decode `docs(doc_id, text)`: doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded.
 
+    docs is read twice and must come in the same order both times: read it from files (or materialise it first).
     vocabulary: path of a tokenizers file whose words end at white space, or the name of a public one.
     hashes_only: leave ids and decoded null.
     """

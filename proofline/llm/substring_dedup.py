@@ -153,6 +153,8 @@ def _repeats(keep_first: bool):
 def _places(layouts: pa.Table, hits: pa.Table) -> pa.Table:
     """Positions by text from a block's layout (texts, and where their entries end) and its hits."""
     out_th, out_places = [], []
+    if hits.num_rows and not layouts.num_rows:
+        raise RuntimeError("a block's entries and its layout were cut differently")
     if layouts.num_rows:
         data = expand(layouts.column("packed")[0].as_py())
         n, local = np.frombuffer(data, "<u4", 2).tolist()
@@ -173,7 +175,8 @@ def _places(layouts: pa.Table, hits: pa.Table) -> pa.Table:
 def _find(texts: DataFrame, entries, keep_first: bool, parts: int, name: str) -> DataFrame:
     """(th, places) of the entries that repeat; entries(text bytes, extra) gives positions and keys of a text.
 
-    texts: (th, doc_id, text, extra).
+    texts: (th, doc_id, text, extra). It is read twice, for the keys and for the layouts; a block's key is a hash of what
+    it holds, so blocks that were cut differently stop the job instead of losing rows.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
