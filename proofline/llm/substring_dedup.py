@@ -32,7 +32,7 @@ from proofline.llm.bpe import expand, squeeze
 from proofline.llm.shingle_join import mix
 
 SIZE, GRAM = 400, 200
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 BROADCAST_BYTES = 48 << 20
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
 LAYOUT = pa.schema([("block", pa.binary()), ("packed", pa.binary())])
