@@ -13,6 +13,7 @@ from proofline.llm import packing, quality_rules, secrets, shingle_join, substri
 from proofline.llm._common import documents, materialise, table
 
 ORACLE_SQL = None
+WORDS = 51
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of passages of 400 bytes or more."""
-    return _counted(substring_dedup.dedup(docs), docs)
+    """Texts without later copies of passages of 400 bytes or more, or of more than 50 words of an earlier document."""
+    return _counted(substring_dedup.dedup(docs, words=WORDS), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ gram is an anchor elsewhere as well are candidates. Anchors and windows are deal
 window that it holds more than once only once. Rows go back by block, and the text's hash joins them to the text.
 Copies of a whole text are found by its hash; one of them takes part for all.
 
+`dedup` can judge by words as well: then the same steps run on the words' hashes in place of the bytes, and a window of
+`words` words goes if an earlier document holds the same words, whatever white space stands between them.
+
 Defined cases: a null text counts as empty; texts under `size` bytes lose nothing; repeated rows are copies of each
 other (with keep_first, rows that repeat both id and text count as one document); an empty table gives no rows.
 """
@@ -27,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm._common import Out, buckets, materialise, rows_of, sized
+from proofline.llm._common import WS, Out, buckets, materialise, rows_of, sized
 from proofline.llm.bpe import expand, squeeze
 from proofline.llm.shingle_join import mix
 
 SIZE, GRAM = 400, 200
+SPACE = np.isin(np.arange(256), list(WS.encode()))
 BLOCK_BYTES = 4_000_000
 BROADCAST_BYTES = 48 << 20
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
@@ -54,17 +58,35 @@ class Hasher:
     _powers = powers(1 << 16)
 
     def __init__(self, data: np.ndarray):
-        if len(Hasher._powers[0]) <= len(data):
-            Hasher._powers = powers(2 * len(data))
+        self._add(LETTERS[data])
+
+    def _add(self, letters: np.ndarray) -> None:
+        if len(Hasher._powers[0]) <= len(letters):
+            Hasher._powers = powers(2 * len(letters))
         self.up, down = Hasher._powers
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(LETTERS[data] * down[: len(data)], out=self.sums[1:])
+        self.sums = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(letters * down[: len(letters)], out=self.sums[1:])
 
     def windows(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
         return mix((self.sums[size:] - self.sums[:n]) * self.up[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes start and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[data], [True]]).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+class Words(Hasher):
+    """Rolling hashes of a text's words."""
+
+    def __init__(self, data: np.ndarray):
+        super().__init__(data)
+        a, b = word_bounds(data)
+        self._add(mix((self.sums[b] - self.sums[a]) * self.up[a]))
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each stretch of `width` (block-wise prefix and suffix minima)."""
     n = len(x) - width + 1
@@ -121,8 +143,8 @@ def _send(keys: np.ndarray, index: np.ndarray, order: np.ndarray | None, block:
     yield from out.ready(force=True)
 
 
-def _repeats(keep_first: bool):
-    """Of a bucket's keys, where those lie that occur elsewhere (earlier, with keep_first)."""
+def _repeats(keep_first: bool, across: bool):
+    """Of a bucket's keys, where those lie that occur elsewhere (earlier, with keep_first; in an earlier document, with across)."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, index, order, of = [], [], [], []
@@ -140,6 +162,9 @@ def _repeats(keep_first: bool):
         hit[1:] |= same  # a previous position exists
         if not keep_first:
             hit[:-1] |= same  # or a next one
+        if across:  # a block sends a key for one document only, so the key's first block stands for its first document
+            first = np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(keys)))) if len(keys) else np.zeros(0, np.int64)
+            hit = of[by] != of[by[first]]
         chosen = by[hit]
         chosen = chosen[np.lexsort((index[chosen], of[chosen]))]
         cut = np.searchsorted(of[chosen], np.arange(table.num_rows + 1))
@@ -172,7 +197,7 @@ def _places(layouts: pa.Table, hits: pa.Table) -> pa.Table:
     return pa.table({"th": pa.array(out_th, pa.binary()), "places": pa.array(out_places, pa.binary())}, schema=PLACES)
 
 
-def _find(texts: DataFrame, entries, keep_first: bool, parts: int, name: str) -> DataFrame:
+def _find(texts: DataFrame, entries, keep_first: bool, parts: int, name: str, across: bool = False) -> DataFrame:
     """(th, places) of the entries that repeat; entries(text bytes, extra) gives positions and keys of a text.
 
     texts: (th, doc_id, text, extra). It is read twice, for the keys and for the layouts; a block's key is a hash of what
@@ -193,6 +218,9 @@ def _find(texts: DataFrame, entries, keep_first: bool, parts: int, name: str) ->
                 by = np.lexsort((np.arange(len(keys)), rank, keys)) if keep_first else np.argsort(keys, kind="stable")
                 new = np.ones(len(keys), bool)
                 new[1:] = keys[by[1:]] != keys[by[:-1]]
+                if across:  # all places in the block's first document with the key are sent, those in its others are repeats
+                    document = np.repeat(np.arange(len(found)), [len(f[3]) for f in found])[by]
+                    new = document == document[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
                 again = ~new if keep_first else ~new | np.append(~new[1:], False)  # repeats within the block
                 yield block, found, keys, rank, np.sort(by[new]), np.sort(by[again])
 
@@ -206,7 +234,7 @@ def _find(texts: DataFrame, entries, keep_first: bool, parts: int, name: str) ->
             data = np.array([len(found), len(again)], "<u4").tobytes() + b"".join(f[0] for f in found) + ends.tobytes() + again.astype("<u4").tobytes() + np.concatenate([f[2] for f in found]).astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([squeeze(data)], pa.binary())], schema=LAYOUT)
 
-    hits = texts.mapInArrow(send, "bucket int, block binary, packed binary").groupBy("bucket").applyInArrow(_repeats(keep_first), "block binary, packed binary")
+    hits = texts.mapInArrow(send, "bucket int, block binary, packed binary").groupBy("bucket").applyInArrow(_repeats(keep_first, across), "block binary, packed binary")
     layouts = texts.mapInArrow(lay, "block binary, packed binary")
     return materialise(layouts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_places, "th binary, places binary").dropDuplicates(["th"]), name)
 
@@ -217,27 +245,31 @@ def _by_text(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return texts.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "th", how)
 
 
-def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
-    """`docs` with th (the text's hash), starts (packed starts of repeated windows) and whole (a copy that goes as a whole)."""
+def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_first: bool = False, unit: type[Hasher] = Hasher) -> DataFrame:
+    """`docs` with th (the text's hash), starts (packed starts of repeated windows) and whole (a copy that goes as a whole).
+
+    size, gram and starts count bytes, or words if the unit is `Words`; then only other documents' windows count.
+    """
     parts = buckets(docs.sparkSession)
     width = size - gram + 1
     every = docs.withColumn("th", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    long = every.where(F.octet_length("text") >= size)
+    reaches = F.octet_length("text") >= size if unit is Hasher else F.col("text").rlike(f"^[{WS}]*+(?:[^{WS}]++[{WS}]++){{{size - 1}}}[^{WS}]")
+    long = every.where(reaches)
     copies = materialise(long.groupBy("th").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("first_id")).where("n > 1").withColumn("places", F.lit(b"")), "copies")
     one = _by_text(long.select("th", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), copies, "left").where("n is null or first_id <=> doc_id").drop("n", "places", "first_id")
 
     def anchor_entries(data: np.ndarray, _) -> tuple[np.ndarray, np.ndarray]:
-        grams = Hasher(data).windows(gram)
+        grams = unit(data).windows(gram)
         at = np.unique(smallest(grams, width))
         return at, grams[at]
 
     def window_entries(data: np.ndarray, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-        hasher = Hasher(data)
+        hasher = unit(data)
         at = candidates(thick(places), smallest(hasher.windows(gram), width))
         return at, hasher.windows(size)[at]
 
     repeated = _find(one.withColumn("extra", F.lit(None).cast("binary")), anchor_entries, False, max(1, parts // 8), "anchors")
-    windows = _find(_by_text(one, repeated, "inner").withColumnRenamed("places", "extra"), window_entries, keep_first, parts, "windows")
+    windows = _find(_by_text(one, repeated, "inner").withColumnRenamed("places", "extra"), window_entries, keep_first, parts, "windows", unit is Words)
     joined = _by_text(every, windows, "left").withColumnRenamed("places", "starts")
     joined = _by_text(joined, copies.drop("n"), "left")
     if keep_first:
@@ -284,26 +316,58 @@ def inside_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """`docs` with later repeats cut out of their texts (characters that a run only touches stay); other columns stay."""
+def word_runs(data: bytes, starts: bytes, words: int) -> np.ndarray:
+    """Runs [a, b) of the bytes in windows of so many words that start at these words."""
+    a, b = word_bounds(np.frombuffer(data, np.uint8))
+    runs = covered(thick(starts), words)
+    return np.stack([a[runs[:, 0]], b[runs[:, 1] - 1]], 1)
+
+
+def united(runs: list[tuple[int, int]]) -> np.ndarray:
+    """Runs that touch or overlap as one, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """`docs` with later repeats cut out of their texts (characters that a run only touches stay); other columns stay.
+
+    A repeat has at least `size` bytes or, if words is given, so many words that an earlier document holds as well.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = spans(plain, size, gram, keep_first=True).where("starts is not null or whole").select("doc_id", "th", "starts", "whole").dropDuplicates(["doc_id", "th"])
-    names = docs.columns
-    own = docs.withColumns({"__th": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))})
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), F.col("starts").alias("__starts"), F.col("whole").alias("__whole"))
-    joined = own.join(marks, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__th", "__t", "__id")
-    at = [joined.columns.index(c) for c in ("text", "__starts", "__whole")]
 
-    def cut(text: str | None, starts: bytes | None, whole: bool | None) -> str | None:
-        if text is None or not (starts or whole):
+    def marks_of(unit: type[Hasher], size: int, gram: int, starts: str) -> DataFrame:
+        found = spans(plain, size, gram, True, unit).where("starts is not null or whole")
+        return found.select("doc_id", "th", F.col("starts").alias(starts), F.col("whole").alias(f"{starts}_whole")).dropDuplicates(["doc_id", "th"])
+
+    names = docs.columns
+    joined = docs.withColumns({"__th": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))})
+    marks = [marks_of(Hasher, size, gram, "__bytes"), *([marks_of(Words, words, words // 2, "__words")] if words else [])]
+    for m in marks:
+        m = m.withColumnsRenamed({"doc_id": "__id", "th": "__t"})
+        joined = joined.join(m, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__t", "__id")
+    joined = joined.drop("__th")
+    if not words:
+        joined = joined.withColumns({"__words": F.lit(None).cast("binary"), "__words_whole": F.lit(False)})
+    at = [joined.columns.index(c) for c in ("text", "__bytes", "__bytes_whole", "__words", "__words_whole")]
+
+    def cut(text: str | None, starts: bytes | None, whole: bool | None, word_starts: bytes | None, word_whole: bool | None) -> str | None:
+        if text is None or not (starts or whole or word_starts or word_whole):
             return text
         data = text.encode("utf-8", "surrogatepass")
-        runs = [inside_characters(data, a, b) for a, b in removed(len(data), starts, bool(whole), size).tolist()]
+        runs = [inside_characters(data, a, b) for a, b in removed(len(data), starts, bool(whole or word_whole), size).tolist()]
+        if word_starts:
+            runs = united([*runs, *map(tuple, word_runs(data, word_starts, words).tolist())])
         return _kept(data, np.array(runs, np.int64).reshape(-1, 2)).decode("utf-8", "surrogatepass")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [cut(t.as_py(), s.as_py(), w.as_py()) for t, s, w in zip(*(batch.column(i) for i in at), strict=True)]
+            new = [cut(*(v.as_py() for v in row)) for row in zip(*(batch.column(i) for i in at), strict=True)]
             columns = [pa.array(new, pa.string()) if i == at[0] else c for i, c in enumerate(batch.columns) if i not in at[1:]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

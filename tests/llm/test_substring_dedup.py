@@ -85,3 +85,18 @@ def test_keep_first(spark):
         runs = [substring_dedup.inside_characters(b, int(x), int(y)) for x, y in edges]
         want = substring_dedup._kept(b, np.array(runs, int).reshape(-1, 2)).decode()
         assert got[i] == (want if t is not None else None)
+
+
+def test_passages_by_words(spark):
+    """Passages of 51 words under 400 bytes: later documents lose them, shorter or own repeats stay, each passage stays once."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    p, q, short, own = prose(51), prose(70), prose(50), prose(60)
+    assert max(map(len, (p, q, own))) < 400
+    texts = {1: f"{prose(9)} {p} {prose(8)}", 2: f"é {p}", 3: f"{prose(5)} {p.replace(' ', chr(10))} x {p} {short}", 4: short + " tail", 5: f"{own} a {own} b", 6: q, 7: q, 8: f"{prose(4)} {q} end", 9: None}
+    want = dict(texts) | {2: "é ", 3: texts[3].split(" ", 5)[:5], 7: "", 8: texts[8].replace(q, "")}
+    want[3] = " ".join(want[3]) + "  x  " + short
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in substring_dedup.dedup(df, words=51).collect()} == want
+    assert {r.doc_id: r.text for r in substring_dedup.dedup(df.coalesce(1), words=51).collect()} == want
+    assert {r.doc_id: r.text for r in substring_dedup.dedup(df).collect()} == texts
