@@ -147,6 +147,7 @@ def _repeats(keep_first: bool, across: bool):
     """Of a bucket's keys, where those lie that occur elsewhere (earlier, with keep_first; in an earlier document, with across)."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")  # documents of one rank stand in the same order in all buckets
         keys, index, order, of = [], [], [], []
         for n, packed in enumerate(table.column("packed")):
             data = packed.as_py()
@@ -255,8 +256,13 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_first: bool
     every = docs.withColumn("th", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
     reaches = F.octet_length("text") >= size if unit is Hasher else F.col("text").rlike(f"^[{WS}]*+(?:[^{WS}]++[{WS}]++){{{size - 1}}}[^{WS}]")
     long = every.where(reaches)
-    copies = materialise(long.groupBy("th").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("first_id")).where("n > 1").withColumn("places", F.lit(b"")), "copies")
-    one = _by_text(long.select("th", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), copies, "left").where("n is null or first_id <=> doc_id").drop("n", "places", "first_id")
+    same = long.groupBy("th", F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("m")).groupBy("th")
+    same = same.agg(F.sum("m").alias("n"), F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("m", "doc_id"), F.max("m")).alias("m"))
+    copies = materialise(same.where("n > 1").withColumn("places", F.lit(b"")), "copies")
+    one = _by_text(long.select("th", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), copies, "left").where("n is null or first_id <=> doc_id")
+    if not copies.where("m > 1").isEmpty():  # rows that repeat both id and text: one of them takes part
+        one = one.where("m is null or m = 1").unionByName(one.where("m > 1").dropDuplicates(["th"]))
+    one = one.drop("n", "m", "places", "first_id")
 
     def anchor_entries(data: np.ndarray, _) -> tuple[np.ndarray, np.ndarray]:
         grams = unit(data).windows(gram)
@@ -271,7 +277,7 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_first: bool
     repeated = _find(one.withColumn("extra", F.lit(None).cast("binary")), anchor_entries, False, max(1, parts // 8), "anchors")
     windows = _find(_by_text(one, repeated, "inner").withColumnRenamed("places", "extra"), window_entries, keep_first, parts, "windows", unit is Words)
     joined = _by_text(every, windows, "left").withColumnRenamed("places", "starts")
-    joined = _by_text(joined, copies.drop("n"), "left")
+    joined = _by_text(joined, copies.drop("n", "m"), "left")
     if keep_first:
         is_copy = F.col("places").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     else:

@@ -100,3 +100,13 @@ def test_passages_by_words(spark):
     assert {r.doc_id: r.text for r in substring_dedup.dedup(df, words=51).collect()} == want
     assert {r.doc_id: r.text for r in substring_dedup.dedup(df.coalesce(1), words=51).collect()} == want
     assert {r.doc_id: r.text for r in substring_dedup.dedup(df).collect()} == texts
+
+
+def test_keep_first_with_repeated_rows(spark):
+    """Rows that repeat id and text count as one document: both keep what no earlier document holds."""
+    a, b, c = ("".join(random.Random(n).choices("abcdefgh ", k=90)) for n in range(3))
+    rows = [(1, a), (1, a), (2, b), (2, b), (3, b), (None, c), (None, c), (4, a + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for words in (None, 5):
+        got = Counter((r.doc_id, r.text.strip()) for r in substring_dedup.dedup(df, 40, 20, words=words).collect())
+        assert got == Counter([(1, a.strip()), (1, a.strip()), (2, b.strip()), (2, b.strip()), (3, ""), (None, c.strip()), (None, c.strip()), (4, "tail")])
