@@ -1,13 +1,15 @@
 """Operator 4: secret scan with a recursive decoding worklist.
 
 Method. Every text is scanned with the base patterns. Then a worklist takes layers: URL and Unicode escapes are decoded
-where they stand, base64 runs that hold text or compressed data are unwrapped, compressed data is expanded, and each new
-layer is scanned and searched for further layers, until no new one appears. A layer that was seen before at the same
-place (by its contents' hash) is not taken again, which ends cycles. Each character of a layer knows the span of the
+where they stand, base64 runs are unwrapped, and each new layer is scanned and searched for further
+layers, until no new one appears. All patterns are ASCII, so decoded bytes are read as Latin-1, whatever they are. Where
+a compressed stream starts in decoded bytes, it is expanded piece by piece, with all that follows it, and the pieces are
+scanned in their turn. A layer that was seen before at the same place, or a stream inside itself (by their contents'
+hash), is not taken again, which ends cycles. Each character of a layer knows the span of the
 original text that it came from; a match counts only if it covers a decoded character, and gets the original's span.
 
-Defined cases: a null text counts as empty; repeated rows give a row each; an empty table gives none. Compressed data
-is expanded up to `EXPANDED` bytes a layer, which bounds memory against crafted archives.
+Defined cases: a null text counts as empty; repeated rows give a row each; an empty table gives none. A match in
+compressed data gets the span of the whole stream.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ import lzma
 import re
 import zlib
 from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from proofline.llm._common import from_text
 
-EXPANDED = 64 << 20
-
 # The base patterns, the kinds in the order in which they are listed, and the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,10 +36,21 @@ KINDS = ("assign", "access", "hex")
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})(?:\\u([0-9A-Fa-f]{4}))?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{18,}={0,2}")
-BASE64_URL = re.compile(r"[A-Za-z0-9]*[A-Za-z0-9_]*[-_][A-Za-z0-9_-]{8,}={0,2}")
-BASE64_LINES = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]{2,}={0,2}")
+ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}+={0,2}")
+LINE_END = re.compile(r"\n[ \t]*+[A-Za-z0-9+/_-]")
+LINES = re.compile(r"(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+BREAK = re.compile(r"[\r\n\t ]+")
+
+# The first bytes of gzip, bzip2, xz, zstd (also its skippable frames) and zlib streams.
+ZLIB = [bytes([c, f]) for c in range(0x08, 0x80, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32]
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18|" + b"|".join(map(re.escape, ZLIB)), re.S)
+# Without one of these, decoded bytes hold neither a match nor a further layer, compressed ones aside.
+TELLING = re.compile(rb"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-](?:[\r\n\t ]*[A-Za-z0-9+/_-]){17}")
+PIECE, SLICE, ZSTD_SLICE = 1 << 20, 1 << 16, 256
+CUT = re.compile(rb"""(?s).*(?:[^A-Za-z0-9+/=_.\-"':%\\{}\s]|\n|(?<=[^%\\]{63}[^%\\:=\s"'}])\x20(?=[^%\\:=\s"']))""")
+ENCODED, TAIL = re.compile(rb"[A-Za-z0-9+/_-]+"), re.compile(rb"[A-Za-z0-9+/_-]*\Z")
 
 Span = tuple[int, int, int]  # start, kind's number, end
 
@@ -55,10 +67,11 @@ def base(text: str) -> list[Span]:
 class Layer:
     """A text and, for each of its characters, where it comes from: start and end in the original, and whether it was decoded."""
 
-    __slots__ = ("text", "starts", "ends", "decoded")
+    __slots__ = ("text", "starts", "ends", "decoded", "end")  # end: where the run that was decoded ends, padding included
 
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, decoded: np.ndarray):
         self.text, self.starts, self.ends, self.decoded = text, starts, ends, decoded
+        self.end: int | None = None
 
     @classmethod
     def whole(cls, text: str) -> Layer:
@@ -86,53 +99,133 @@ class Layer:
         return Layer(text, self.starts[since], self.ends[until - 1], np.ones(len(text), bool))
 
 
-def expand(data: bytes) -> bytes | None:
-    """What a gzip, zlib, bzip2, xz or zstd stream holds, or None."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, EXPANDED)
-        if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, EXPANDED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, EXPANDED)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, EXPANDED)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:EXPANDED]
-    except Exception:  # not such a stream after all: any decoder error means that there is no layer here
-        return None
-    return None
+class Source:
+    """Bytes that arrive in slices: those held and not yet used, and how many were used."""
 
+    def __init__(self, slices: Iterable[bytes]):
+        self.slices, self.held, self.used = iter(slices), b"", 0
 
-def readable(data: bytes) -> str | None:
-    """The bytes as text if they are UTF-8 without control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if CONTROL.search(text) else text
+    def more(self) -> bool:
+        new = next(self.slices, None)
+        self.held += new or b""
+        return new is not None
+
+    def take(self, n: int) -> bytes:
+        part, self.held = self.held[:n], self.held[n:]
+        self.used += len(part)
+        return part
 
+    def put_back(self, rest: bytes) -> None:
+        self.held = rest + self.held
+        self.used -= len(rest)
 
-def byte_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each character, where its UTF-8 bytes start and end."""
-    sizes = np.array([len(c.encode()) for c in text], np.int64) if not text.isascii() else np.ones(len(text), np.int64)
-    ends = np.cumsum(sizes)
-    return ends - sizes, ends
+
+def sliced(data: bytes, start: int = 0) -> Iterator[bytes]:
+    return (data[i : i + SLICE] for i in range(start, len(data), SLICE))
+
+
+def decoder(head: bytes):
+    """A new decoder for the stream that starts with these bytes, or None."""
+    if (m := MAGIC.match(head)) is None:
+        return None
+    if m[0].startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if m[0].startswith(b"\xfd"):
+        return lzma.LZMADecompressor()
+    if m[0].endswith((b"\x2f\xfd", b"\x2a\x4d\x18")):
+        import zstandard
+
+        return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+    return zlib.decompressobj(31 if m[0].startswith(b"\x1f\x8b") else 15)
+
+
+def expanded(source: Source) -> Iterator[bytes]:
+    """What the gzip, zlib, bzip2, xz or zstd streams at the start of the source hold, one after the other, in pieces."""
+    while True:
+        while len(source.held) < 10 and source.more():
+            pass
+        padding = len(source.held) - len(source.held.lstrip(b"\0")) if source.used else 0
+        if padding:  # zeros may stand between streams
+            source.take(padding)
+            continue
+        if (d := decoder(source.held)) is None:
+            return
+        small = type(d).__module__.startswith("zstandard")  # has no bound on what a call gives, so it gets little at a time
+        try:
+            while not d.eof:
+                if not source.held and not source.more():
+                    return
+                part = source.take(ZSTD_SLICE if small else SLICE)
+                if small:
+                    yield d.decompress(part)
+                elif hasattr(d, "needs_input"):
+                    yield d.decompress(part, PIECE)
+                    while not d.needs_input and not d.eof:
+                        yield d.decompress(b"", PIECE)
+                else:
+                    out = d.decompress(part, PIECE)
+                    yield out
+                    while not d.eof and (d.unconsumed_tail or len(out) == PIECE):
+                        out = d.decompress(d.unconsumed_tail, PIECE)
+                        yield out
+        except Exception:  # not such a stream, or damaged from here on: what came before counts
+            return
+        source.put_back(d.unused_data)
+
+
+def segments(pieces: Iterable[bytes]) -> Iterator[str]:
+    """The pieces as texts, a character a byte, cut so that each match and each encoded run is whole in one of them.
+
+    A cut stands behind a character that no match holds, in a space that no match can hold, or at a line's end; then
+    the lines of an encoded run that end there are repeated in the next text. Memory is bounded by the longest run.
+    """
+    held = b""
+    for piece in pieces:
+        held += piece
+        if len(held) < PIECE:
+            continue
+        if (m := CUT.match(held)) is None:
+            continue
+        end = since = m.end()
+        if held[end - 1 : end] == b"\n":
+            while since:
+                line = held.rfind(b"\n", 0, since - 1) + 1
+                part = held[line:since].strip()
+                if part and not ENCODED.fullmatch(part):
+                    since -= len(held[line:since].lstrip()) - TAIL.search(part).start()
+                    break
+                if not part:
+                    break
+                since = line
+        if since > 0:
+            yield held[:end].decode("latin-1")
+            held = held[since:]
+    yield held.decode("latin-1")
+
+
+def kinds_inside(make: Callable[[], Source], path: frozenset[bytes]) -> set[int]:
+    """The kinds of secrets in a compressed stream and in what it holds; path: hashes of the streams around it."""
+    h = hashlib.blake2b(digest_size=16)
+    source = make()
+    while source.held or source.more():
+        h.update(source.take(SLICE))
+    if h.digest() in path:
+        return set()
+    path |= {h.digest()}
+    found = {k for text in segments(expanded(make())) for _, k, _ in scan(text, path)[1]}
+    head = Source(expanded(make()))
+    while len(head.held) < 10 and head.more():
+        pass
+    if MAGIC.match(head.held):
+        found |= kinds_inside(lambda: Source(expanded(make())), path)
+    return found
 
 
 def url_layer(layer: Layer) -> Layer | None:
     parts = []
     for m in URL.finditer(layer.text):
-        new = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
-        if new.encode("utf-8", "replace") != bytes.fromhex(m[0].replace("%", "")):
-            new = bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
-            since = np.arange(len(new), dtype=np.int64)
-            until = since + 1
-        else:
-            since, until = byte_bounds(new)
-        parts.append((m.start(), m.end(), new, 3 * since, 3 * until))
+        at = np.arange(0, len(m[0]), 3)
+        parts.append((m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), at, at + 3))
     return layer.replaced(parts) if parts else None
 
 
@@ -157,56 +250,91 @@ def unicode_layer(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where runs of base64 characters stand: on one line, and over lines of any width."""
+    for m in BASE64.finditer(text):
+        yield m.span()
+    done = 0
+    for m in LINE_END.finditer(text) if "\n" in text else ():
+        a = m.start() - (text[m.start() - 1 : m.start()] == "\r")
+        if m.start() < done or a < 1 or text[a - 1] not in ALPHABET:
+            continue
+        first = a
+        while a and text[a - 1] in ALPHABET:
+            a -= 1
+        done = LINES.match(text, first).end()
+        if first - a >= 60:
+            yield a, done
+
+
+def readable(data: bytes) -> bool:
+    """Whether the bytes are UTF-8 without control characters."""
+    try:
+        return CONTROL.search(data.decode("utf-8")) is None
+    except UnicodeDecodeError:
+        return False
+
+
 def base64_layers(layer: Layer) -> list[Layer]:
+    """The bytes of runs, a character a byte, from each of the four places where a group of characters can start."""
     found, text = [], layer.text
-    for pattern in (BASE64, BASE64_URL, BASE64_LINES):
-        if pattern is BASE64_URL and "-" not in text and "_" not in text or pattern is BASE64_LINES and "\n" not in text:
+    for a, b in runs(text):
+        run = text[a:b].rstrip("=")
+        where = None
+        if "\n" in run:
+            where = np.array([i for i, c in enumerate(run) if c in ALPHABET], np.int64)
+            run = BREAK.sub("", run)
+        if len(run) < 18:
             continue
-        for m in pattern.finditer(text):
-            run = m[0].rstrip("=")
-            where = None
-            if pattern is BASE64_URL:
-                run = run.replace("-", "+").replace("_", "/")
-            elif pattern is BASE64_LINES:
-                where = np.array([i for i, c in enumerate(run) if c not in "\r\n"], np.int64)
-                run = run.replace("\r", "").replace("\n", "")
-            run = run[: len(run) - (len(run) % 4 == 1)]
-            data = binascii.a2b_base64(run + "=" * (-len(run) % 4))
-            whole = readable(data)
-            if whole is not None:
-                since, until = byte_bounds(whole)
-                a, b = since * 8 // 6, (until * 8 + 5) // 6
-                a, b = (a, b) if where is None else (where[a], where[b - 1] + 1)
-                found.append(layer.inner(whole, m.start() + a, m.start() + b))
+        run = run.replace("-", "+").replace("_", "/")
+        for phase in range(1):
+            part = run[phase : len(run) - ((len(run) - phase) % 4 == 1)]
+            data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            if not (TELLING.search(data) if readable(data) else MAGIC.match(data)):
                 continue
-            seen = set()
-            while (data := expand(data)) is not None and (h := hashlib.blake2b(data).digest()) not in seen:
-                seen.add(h)
-                inside = readable(data)
-                if inside is not None:
-                    a = np.full(len(inside), m.start(), np.int64)
-                    found.append(layer.inner(inside, a, a + (m.end() - m.start())))
-                    break
-    return [x for x in found if x.text]
+            at = np.arange(len(data), dtype=np.int64)
+            since, until = phase + at * 8 // 6, phase + (at * 8 + 13) // 6
+            since, until = (since, until) if where is None else (where[since], where[until - 1] + 1)
+            inner = layer.inner(data.decode("latin-1"), a + since, a + until)
+            inner.end = int(layer.ends[b - 1])
+            found.append(inner)
+    return found
+
+
+def compressed(layer: Layer, path: frozenset[bytes]) -> Iterator[Span]:
+    """Spans of the compressed streams in a layer's decoded bytes, with each kind that they hold."""
+    data, done = layer.text.encode("latin-1", "replace"), 0
+    for m in MAGIC.finditer(data):
+        k = m.start()
+        if k < done or not layer.decoded[k]:
+            continue
+        source = Source(sliced(data, k))
+        if not sum(map(len, expanded(source))):
+            continue
+        last = k + source.used
+        kinds = kinds_inside(lambda: Source(sliced(data[:last], k)), path)  # noqa: B023
+        done = last
+        end = layer.end if last == len(data) and layer.end is not None else int(layer.ends[k:last].max())
+        yield from ((int(layer.starts[k:last].min()), kind, end) for kind in kinds)
 
 
-def scan(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans: those and the ones found in decoded layers."""
+def scan(text: str | None, path: frozenset[bytes] = frozenset()) -> tuple[list[Span], list[Span]]:
+    """Base spans, and all spans: those and the ones found in decoded layers. path: hashes of the streams around the text."""
     if not text:
         return [], []
     plain = base(text)
-    if not (URL.search(text) or "\\" in text or BASE64.search(text) or BASE64_URL.search(text) or BASE64_LINES.search(text)):
-        return plain, plain
     found, seen, work = set(plain), set(), deque([Layer.whole(text)])
     while work:
         layer = work.popleft()
-        if (key := layer.key()) in seen:
-            continue
-        seen.add(key)
         if layer.decoded.any():
+            if (key := layer.key()) in seen:
+                continue
+            seen.add(key)
             for a, kind, b in base(layer.text):
                 if layer.decoded[a:b].any():
                     found.add((int(layer.starts[a:b].min()), kind, int(layer.ends[a:b].max())))
+            if layer.end is not None:
+                found.update(compressed(layer, path))
         work.extend(x for x in (url_layer(layer), unicode_layer(layer)) if x is not None)
         work.extend(base64_layers(layer))
     return plain, sorted(found)

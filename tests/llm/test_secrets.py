@@ -10,6 +10,7 @@ import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from proofline.llm import secrets
 
@@ -71,3 +72,15 @@ def test_table(spark):
     assert secrets.find(df).count() == 5 and secrets.find(df.limit(0)).count() == 0
     masked = {r.doc_id: r.text for r in secrets.mask(df).collect()}
     assert masked[None] == "x [SECRET]" and masked[1] is None and masked[2] == ""
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_whole_streams(pack, monkeypatch):
+    """All members are read, and content beyond a piece is scanned without splitting a match or an encoded run."""
+    text = "aa " + b64(pack(b"a header, clean\n") + pack(SECRET.encode())) + " bb"
+    assert secrets.scan(text)[1][0] == (3, 0, len(text) - 3)
+    for piece in (16, 100, 1000):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        for content in ("some words, and more\n" * 50 + SECRET, "k=v\n" * 99 + b64(SECRET.encode()) + "\n" + "k=v\n" * 99, "word " * 200 + SECRET + " word" * 200, "a.b\n" + "\n".join(re.findall(".{1,76}", b64(b"x" * 400 + SECRET.encode()))) + "\nc.d\n" * 50):
+            text = "aa " + b64(pack(content.encode())) + " bb"
+            assert [k for _, k, _ in secrets.scan(text)[1]] and secrets.scan(text)[1][0] == (3, 0, len(text) - 3)
