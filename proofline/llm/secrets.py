@@ -40,7 +40,6 @@ ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}+={0,2}")
 LINE_END = re.compile(r"\n[ \t]*+[A-Za-z0-9+/_-]")
 LINES = re.compile(r"(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
-CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 BREAK = re.compile(r"[\r\n\t ]+")
 
 # The first bytes of gzip, bzip2, xz, zstd (also its skippable frames) and zlib streams.
@@ -267,14 +266,6 @@ def runs(text: str) -> Iterator[tuple[int, int]]:
             yield a, done
 
 
-def readable(data: bytes) -> bool:
-    """Whether the bytes are UTF-8 without control characters."""
-    try:
-        return CONTROL.search(data.decode("utf-8")) is None
-    except UnicodeDecodeError:
-        return False
-
-
 def base64_layers(layer: Layer) -> list[Layer]:
     """The bytes of runs, a character a byte, from each of the four places where a group of characters can start."""
     found, text = [], layer.text
@@ -290,7 +281,7 @@ def base64_layers(layer: Layer) -> list[Layer]:
         for phase in range(1):
             part = run[phase : len(run) - ((len(run) - phase) % 4 == 1)]
             data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
-            if not (TELLING.search(data) if readable(data) else MAGIC.match(data)):
+            if not (TELLING.search(data) or MAGIC.search(data)):
                 continue
             at = np.arange(len(data), dtype=np.int64)
             since, until = phase + at * 8 // 6, phase + (at * 8 + 13) // 6

@@ -84,3 +84,10 @@ def test_whole_streams(pack, monkeypatch):
         for content in ("some words, and more\n" * 50 + SECRET, "k=v\n" * 99 + b64(SECRET.encode()) + "\n" + "k=v\n" * 99, "word " * 200 + SECRET + " word" * 200, "a.b\n" + "\n".join(re.findall(".{1,76}", b64(b"x" * 400 + SECRET.encode()))) + "\nc.d\n" * 50):
             text = "aa " + b64(pack(content.encode())) + " bb"
             assert [k for _, k, _ in secrets.scan(text)[1]] and secrets.scan(text)[1][0] == (3, 0, len(text) - 3)
+
+
+@pytest.mark.parametrize("inner", [b"\x1b[31m" + SECRET.encode(), b"caf\xe9 " + SECRET.encode(), b"\0\x7f " + SECRET.encode() + b" \xff", "é ".encode("latin-1") * 9 + SECRET.encode()])
+def test_layers_that_are_not_clean_text(inner):
+    for text in ("aa " + b64(inner) + " bb", "aa " + b64(gzip.compress(inner)) + " bb"):
+        [(a, kind, b)] = secrets.scan(text)[1]
+        assert kind == 0 and 3 <= a < b <= len(text) - 3
