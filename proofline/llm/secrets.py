@@ -1,7 +1,7 @@
 """Operator 4: secret scan with a recursive decoding worklist.
 
 Method. Every text is scanned with the base patterns. Then a worklist takes layers: URL and Unicode escapes are decoded
-where they stand, base64 runs are unwrapped, and each new layer is scanned and searched for further
+where they stand, base64 runs are unwrapped from all four phases, and each new layer is scanned and searched for further
 layers, until no new one appears. All patterns are ASCII, so decoded bytes are read as Latin-1, whatever they are. Where
 a compressed stream starts in decoded bytes, it is expanded piece by piece, with all that follows it, and the pieces are
 scanned in their turn. A layer that was seen before at the same place, or a stream inside itself (by their contents'
@@ -262,8 +262,7 @@ def runs(text: str) -> Iterator[tuple[int, int]]:
         while a and text[a - 1] in ALPHABET:
             a -= 1
         done = LINES.match(text, first).end()
-        if first - a >= 60:
-            yield a, done
+        yield a, done
 
 
 def base64_layers(layer: Layer) -> list[Layer]:
@@ -278,7 +277,7 @@ def base64_layers(layer: Layer) -> list[Layer]:
         if len(run) < 18:
             continue
         run = run.replace("-", "+").replace("_", "/")
-        for phase in range(1):
+        for phase in range(4):
             part = run[phase : len(run) - ((len(run) - phase) % 4 == 1)]
             data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
             if not (TELLING.search(data) or MAGIC.search(data)):
@@ -324,8 +323,7 @@ def scan(text: str | None, path: frozenset[bytes] = frozenset()) -> tuple[list[S
             for a, kind, b in base(layer.text):
                 if layer.decoded[a:b].any():
                     found.add((int(layer.starts[a:b].min()), kind, int(layer.ends[a:b].max())))
-            if layer.end is not None:
-                found.update(compressed(layer, path))
+            found.update(compressed(layer, path))
         work.extend(x for x in (url_layer(layer), unicode_layer(layer)) if x is not None)
         work.extend(base64_layers(layer))
     return plain, sorted(found)

@@ -91,3 +91,24 @@ def test_layers_that_are_not_clean_text(inner):
     for text in ("aa " + b64(inner) + " bb", "aa " + b64(gzip.compress(inner)) + " bb"):
         [(a, kind, b)] = secrets.scan(text)[1]
         assert kind == 0 and 3 <= a < b <= len(text) - 3
+
+
+@pytest.mark.parametrize("before", ["https://host.example/path/", "key:v1/", "a-", "ab_", "abc", "abcd/"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_runs_out_of_phase(before, pack):
+    text = "see " + before + b64(pack(SECRET.encode())) + " end"
+    spans = secrets.scan(text)[1]
+    assert spans and all(len(text) - 4 >= b > a >= 4 + len(before) for a, _, b in spans)
+
+
+@pytest.mark.parametrize("width", [4, 10, 20, 59, 76])
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n  "])
+def test_wrapped_lines(width, line):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode() + bytes(range(256)))):
+        assert secrets.scan("head:" + line + line.join(re.findall(f".{{1,{width}}}", b64(data))) + "\n.")[1]
+
+
+def test_compressed_bytes_in_escapes():
+    data = gzip.compress(SECRET.encode())
+    for inner in ("".join(f"%{b:02X}" for b in data), urllib.parse.quote(data), "".join(f"\\x{b:02x}" for b in data), "".join(f"\\u{b:04x}" for b in data)):
+        assert secrets.scan("aa " + inner + " bb")[1] == [(3, 0, 3 + len(inner))]
