@@ -30,19 +30,31 @@ def verify(fragments: DataFrame, chunks: DataFrame) -> DataFrame:
 def occurrences(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(quote_id, chunk_id) of chunks that hold a quote's text, white space collapsed.
 
-    A quote's words 2 to 5 are its anchor; chunks are cut into windows of that many words, and only equal windows are
-    compared in full. Quotes under six words have no anchor and are not looked for.
+    A quote's inner words, at most four from the second, are its anchor; chunks are cut into windows of as many words,
+    and only equal windows are compared in full. A quote of one or two words has no inner word; its first 1, 2, 4 or 8
+    characters are its anchor among the chunks' windows of characters. Chunks are cut only into sizes that occur.
     """
+    words, length = F.size(F.split("quote", " ")), F.length("quote")
+    by_words = words > 2
+    chars = F.when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
+
+    def parts(text: str) -> Column:
+        return F.when(F.col("by_words"), F.split(text, " ")).otherwise(F.split(text, ""))
+
+    def anchor(parts: Column, start: Column) -> Column:
+        return F.xxhash64("by_words", "size", F.call_function("array_join", F.slice(parts, start, F.col("size")), F.when(F.col("by_words"), " ").otherwise("")))
 
     def windows(w: Column) -> Column:
-        return F.when(F.size(w) >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - ANCHOR), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(ANCHOR)), " ")))))
+        return F.when(F.size(w) >= F.col("size"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - F.col("size") + 1), lambda i: anchor(w, i))))
 
-    q = quotes.select("quote_id", collapsed(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " ")).where(F.size("w") >= ANCHOR + 2)
-    q = q.select("quote_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, ANCHOR), " ")).alias("anchor"))
+    q = quotes.select("quote_id", collapsed(F.col("quote")).alias("quote")).where("quote != ''")
+    q = q.withColumns({"by_words": by_words, "size": F.when(by_words, F.least(F.lit(ANCHOR), words - 2)).otherwise(chars)})
+    q = q.withColumn("anchor", anchor(parts("quote"), F.when(F.col("by_words"), 2).otherwise(1)))
+    sizes = q.select("by_words", "size").distinct()  # eight rows at most
     anchors = q.select("anchor").distinct()
     c = chunks.where("text is not null").select("chunk_id", collapsed(F.col("text")).alias("text"))
-    near = c.select("chunk_id", F.explode(windows(F.split("text", " "))).alias("anchor")).join(anchors, "anchor", "left_semi")
-    pairs = near.join(q, "anchor").select("chunk_id", "quote_id", "quote").distinct()
+    near = c.join(F.broadcast(sizes)).select("chunk_id", F.explode(windows(parts("text"))).alias("anchor")).join(anchors, "anchor", "left_semi")
+    pairs = near.join(q.select("anchor", "quote_id", "quote"), "anchor").select("chunk_id", "quote_id", "quote").distinct()
     return pairs.join(c, "chunk_id").where(F.col("text").contains(F.col("quote"))).select("quote_id", "chunk_id")
 
 
