@@ -3,7 +3,7 @@
 Method. A bounded set of pivots (the vectors with the smallest id hashes) cuts space into cells. Data are dealt to their
 nearest pivot's cell and packed into blocks; queries are grouped by the nearest of the first few pivots. Each data cell
 and query group has a summary: pivot, radius and count. For a query group, lower bounds of the scores in each cell tell
-which score at least k rows must reach; only cells whose upper bound reaches it are replicated to the group. Blocks are
+which score at least k rows must reach, beside as many as the largest number of rows with one query's id; only cells whose upper bound reaches it are replicated to the group. Blocks are
 multiplied locally and the candidates of each query are merged.
 
 With inner products q.x, for |q - a| <= r and |x - b| <= s: |q.x - a.b| <= r|b| + s|a| + rs. The summaries are a few rows
@@ -130,6 +130,7 @@ def search(vectors: DataFrame, queries, k: int = 10, pivots: int = PIVOTS, group
         return {(r.dim, r.cell): (r.n, r.radius) for r in df.groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()}  # a row a cell
 
     needed: list[tuple[int, int, int]] = []
+    own_rows = base.where(queries).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
     cells = summary(data)
     for (dim, group), (_, r) in summary(asked).items():
         a = own(dim, groups)[group]
@@ -142,7 +143,7 @@ def search(vectors: DataFrame, queries, k: int = 10, pivots: int = PIVOTS, group
         reached, floor = 0, -np.inf
         for low, _, n, _ in sorted(bounds, reverse=True):
             reached += n
-            if reached >= k + 1:  # the query's own row may be among them
+            if reached >= k + own_rows:  # rows with the query's id may all be among them
                 floor = low
                 break
         needed += [(dim, group, cell) for _, high, _, cell in bounds if high >= floor]

@@ -55,3 +55,15 @@ def test_knn(spark, sf, block):
 
 def test_knn_query(spark, sf):
     assert queries()["op5_knn"](spark, sf).count() > 0
+
+
+def test_knn_with_many_rows_of_one_query_id(spark):
+    """Rows that repeat a query's id fill a cell of their own; its neighbours lie in other cells."""
+    rng = np.random.default_rng(4)
+    rows = [(100, [-9.0, -9.0, -9.0])] * 60 + [(i, rng.normal(0, 1, 3).tolist()) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v in rows]
+    scores = sorted((-int(q[0][1] @ v), i) for i, v in q if i != 100)[:10]
+    for pivots in (4, 64):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in knn.search(df, "vec_id % 100 = 0", pivots=pivots).collect())
+        assert got == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
