@@ -36,6 +36,7 @@ from proofline.llm.shingle_join import mix
 
 SIZE, GRAM = 400, 200
 SPACE = np.isin(np.arange(256), list(WS.encode()))
+POSITION_BITS = 28
 BLOCK_BYTES = 4_000_000
 BROADCAST_BYTES = 48 << 20
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
@@ -98,10 +99,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def smallest(grams: np.ndarray, width: int) -> np.ndarray:
     """For each stretch of `width` grams, where its smallest hash lies (the leftmost of equals)."""
-    if len(grams) < width:
-        return np.zeros(0, np.int64)
-    key = (grams >> np.uint64(28) << np.uint64(28)) | np.arange(len(grams), dtype=np.uint64)  # texts up to 2**28 bytes
-    return (sliding_min(key, width) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    out, most, bits = [np.zeros(0, np.int64)], 1 << POSITION_BITS, np.uint64(POSITION_BITS)
+    for start in range(0, len(grams) - width + 1, most - width + 1):  # longer texts in parts, each stretch whole in one
+        part = grams[start : start + most]
+        key = (part >> bits << bits) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_min(key, width) & np.uint64(most - 1)).astype(np.int64) + start)
+    return np.concatenate(out)
 
 
 def candidates(repeated: np.ndarray, own: np.ndarray) -> np.ndarray:

@@ -110,3 +110,12 @@ def test_keep_first_with_repeated_rows(spark):
     for words in (None, 5):
         got = Counter((r.doc_id, r.text.strip()) for r in substring_dedup.dedup(df, 40, 20, words=words).collect())
         assert got == Counter([(1, a.strip()), (1, a.strip()), (2, b.strip()), (2, b.strip()), (3, ""), (None, c.strip()), (None, c.strip()), (4, "tail")])
+
+
+def test_smallest_in_texts_beyond_the_position_bits(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "POSITION_BITS", 6)
+    rng = np.random.default_rng(1)
+    for n in (0, 6, 7, 63, 64, 65, 122, 123, 1000):
+        grams = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(40)
+        want = [i + int(np.argmin(grams[i : i + 7])) for i in range(n - 6)]
+        assert substring_dedup.smallest(grams, 7).tolist() == want
