@@ -32,7 +32,7 @@ def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(documents(spark, sf_dir))
+    return substring_dedup.digest(documents(spark, sf_dir), words=51)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

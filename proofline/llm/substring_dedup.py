@@ -1,17 +1,17 @@
-"""Operator 6: removal of repeated substrings of at least `size` bytes.
+"""Operator 6: removal of repeated substrings of at least `size` bytes by longest previous factors.
 
-Method. A position is a repeat if its longest previous factor (or, without order, any other factor) reaches `size`
-bytes. That test needs the suffix order only down to `size` bytes: suffixes are ordered by a 64-bit hash of their first
-`size` bytes, which puts equal prefixes side by side; in each run of equals the positions are sorted, so the previous
-smaller position is the row before and the next one the row after. A run's first position has no earlier match and is
-kept if `keep_first`; without it every member of a run of two or more is removed. A full suffix array of the corpus
-would need rounds of shuffles over every byte, and a passage in a third of all documents would put them into one task.
+Method. A position is a repeat if its longest previous factor (or, without order, any other factor) reaches `size` bytes.
+That needs the suffix order only down to `size` bytes, and only for suffixes that have a partner at all; these are found by
+two filters that lose nothing. Winnowing picks anchors: in each stretch of size - gram + 1 grams the smallest hash, so every
+window of `size` bytes has one anchor, the same in every copy of it. Windows whose anchor gram occurs once are left out,
+then windows whose own 64-bit hash occurs once. Hashes are dealt evenly, so a passage that a third of all documents hold
+makes no hot key of the windows that only touch it.
 
-Not every position is sorted. Winnowing picks anchors: in each stretch of size - gram + 1 grams the smallest hash. Every
-window of `size` bytes is such a stretch and has one anchor, the same in every copy of it; so only windows whose anchor
-gram is an anchor elsewhere as well are candidates. Anchors and windows are dealt to buckets by hash in packed arrays. A block sends a
-window that it holds more than once only once. Rows go back by block, and the text's hash joins them to the text.
-Copies of a whole text are found by its hash; one of them takes part for all.
+What is left goes with its text: consecutive windows with one anchor are a segment, dealt by the anchor's gram, equal
+segments of a block once. In a bucket the suffixes are put in order by their bytes, with common prefixes; previous and next
+smaller positions in that order give the longest previous factor (`previous_factors`). So hashes decide nothing but what is
+looked at. Rows go back by block, and the text's hash joins them to the text. Copies of a whole text are found by its
+128-bit hash; one of them takes part for all. Blocks are cut in one pass and ordered by id, so no second pass has to agree.
 
 `dedup` can judge by words as well: then the same steps run on the words' hashes in place of the bytes, and a window of
 `words` words goes if an earlier document holds the same words, whatever white space stands between them.
@@ -39,9 +39,12 @@ SPACE = np.isin(np.arange(256), list(WS.encode()))
 POSITION_BITS = 28
 BLOCK_BYTES = 4_000_000
 BROADCAST_BYTES = 48 << 20
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
-LAYOUT = pa.schema([("block", pa.binary()), ("packed", pa.binary())])
+SENT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
+MARKED = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("kind", pa.int32()), ("packed", pa.binary())])
+SENT_SQL, MARKED_SQL = "part int, block binary, packed binary", "part int, block binary, kind int, packed binary"
 PLACES = pa.schema([("th", pa.binary()), ("places", pa.binary())])
+HITS, LAYOUT, SEGMENTS = range(3)  # kinds of rows: places that repeat, where a block's places lie, text that goes on
+FAN_BLOCKS = 4096
 BASE = 0xD6E8FEB86659FD93
 LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -56,11 +59,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hasher:
     """Rolling hashes of a text's bytes, for any window size."""
 
+    symbol = 1  # bytes of a symbol
     _powers = powers(1 << 16)
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         self._add(LETTERS[data])
 
+    def symbols(self) -> np.ndarray:
+        return self.data
+
     def _add(self, letters: np.ndarray) -> None:
         if len(Hasher._powers[0]) <= len(letters):
             Hasher._powers = powers(2 * len(letters))
@@ -80,12 +88,18 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words(Hasher):
-    """Rolling hashes of a text's words."""
+    """Rolling hashes of a text's words; a word counts as its 64-bit hash."""
+
+    symbol = 8
 
     def __init__(self, data: np.ndarray):
         super().__init__(data)
         a, b = word_bounds(data)
-        self._add(mix((self.sums[b] - self.sums[a]) * self.up[a]))
+        self.words = mix((self.sums[b] - self.sums[a]) * self.up[a])
+        self._add(self.words)
+
+    def symbols(self) -> np.ndarray:
+        return self.words
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -131,116 +145,287 @@ def thick(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(expand(data), "<u4").astype(np.int64))
 
 
-def _send(keys: np.ndarray, index: np.ndarray, order: np.ndarray | None, block: bytes, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a block's keys dealt to buckets; order: an id per index that ranks documents, or None."""
-    bucket = (keys >> np.uint64(40)) % np.uint64(parts)
+def _cuts(bucket: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in the order of their buckets, and where each bucket ends."""
     by = np.argsort(bucket, kind="stable")
-    cut = np.append(np.searchsorted(bucket[by], np.arange(parts)), len(by))
-    out = Out(SENT)
-    for b in range(parts):
-        at = np.sort(by[cut[b] : cut[b + 1]])
-        if len(at):
-            where = thin(index[at])
-            ids = squeeze(order[at].astype("<i8").tobytes()) if order is not None else b""
-            out.add(b, block, np.array([len(at), len(where), len(ids)], "<u4").tobytes() + where + ids + keys[at].tobytes())
-    yield from out.ready(force=True)
+    return by, np.append(np.searchsorted(bucket[by], np.arange(parts)), len(by))
+
 
+def _layout(out: Out, block: bytes, parts: int, found: list[tuple[bytes, np.ndarray]], again: np.ndarray, same: np.ndarray) -> None:
+    """A block's texts, where their places end, which repeat for sure, and runs of places that share another run's fate."""
+    ends = np.cumsum([len(f[1]) for f in found]).astype("<i8")
+    positions = np.concatenate([f[1] for f in found]).astype("<u4")
+    data = np.array([len(found), len(again), len(same)], "<u4").tobytes() + b"".join(f[0] for f in found) + ends.tobytes() + again.astype("<u4").tobytes() + same.astype("<u4").tobytes()
+    out.add(parts + int.from_bytes(block[:4], "little") % parts, block, squeeze(data + np.diff(positions, prepend=np.uint32(0)).tobytes()))
+
+
+def _places(table: pa.Table) -> pa.Table:
+    """Positions by text from a block's layout and its hits."""
+    out_th, out_places = [], []
+    kinds, packed = table.column("kind").to_pylist(), table.column("packed")
+    hits = [thick(packed[i].as_py()) for i, k in enumerate(kinds) if k == HITS]
+    data = expand(packed[kinds.index(LAYOUT)].as_py())
+    n, local, runs = np.frombuffer(data, "<u4", 3).tolist()
+    ths = [data[12 + 16 * i : 28 + 16 * i] for i in range(n)]
+    ends = np.frombuffer(data, "<i8", n, at := 12 + 16 * n)
+    again = np.frombuffer(data, "<u4", local, at := at + 8 * n).astype(np.int64)
+    same = np.frombuffer(data, "<u4", 3 * runs, at := at + 4 * local).reshape(-1, 3).astype(np.int64)
+    positions = np.cumsum(np.frombuffer(data, "<u4", offset=at + 12 * runs), dtype=np.uint32)
+    marked = np.zeros(len(positions), bool)
+    marked[np.concatenate([again, *hits])] = True
+    for own, other, length in same.tolist():
+        marked[own : own + length] |= marked[other : other + length]
+    index = np.flatnonzero(marked)
+    cut = np.searchsorted(index, np.append(0, ends))
+    for i, th in enumerate(ths):
+        if len(at := index[cut[i] : cut[i + 1]]):
+            out_th.append(th)
+            out_places.append(thin(positions[at]))
+    return pa.table({"th": pa.array(out_th, pa.binary()), "places": pa.array(out_places, pa.binary())}, schema=PLACES)
+
+
+def _settled(marked: DataFrame, name: str) -> DataFrame:
+    """(th, places) from rows of hits and layouts."""
+    return materialise(marked.groupBy("block").applyInArrow(_places, "th binary, places binary").dropDuplicates(["th"]), name)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], entries) -> Iterator[tuple[bytes, list[tuple]]]:
+    """Blocks of texts as (key, [(th, doc_id, *entries(text bytes, extra))]), in the order of their ids; texts without entries are left out."""
+    for rows in sized(rows_of(batches, "th", "doc_id", "text", "extra"), lambda r: len(r[2]), BLOCK_BYTES):
+        found = []
+        for th, doc_id, text, extra in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+            got = entries(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), extra)
+            if len(got[0]):
+                found.append((th, doc_id, *got))
+        if found:
+            yield hashlib.blake2b(b"".join(f[0] for f in found), digest_size=16).digest(), found
+
+
+def _twice(table: pa.Table) -> pa.Table:
+    """Of a bucket's keys, where those lie that several blocks sent; layouts pass."""
+    parts, blocks = table.column("part"), table.column("block").to_pylist()
+    if parts[0].as_py() < 0:
+        return pa.table({"part": parts, "block": table.column("block"), "kind": pa.array([LAYOUT] * len(blocks), pa.int32()), "packed": table.column("packed")}, schema=MARKED)
+    keys, index = [], []
+    for packed in table.column("packed"):
+        data = packed.as_py()
+        k, a = np.frombuffer(data, "<u4", 2).tolist()
+        index.append(thick(data[8 : 8 + a]))
+        keys.append(np.frombuffer(data, "<u8", k, 8 + a))
+    of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    keys, index = np.concatenate(keys), np.concatenate(index)
+    by = np.argsort(keys, kind="stable")
+    same = keys[by[1:]] == keys[by[:-1]]
+    hit = np.zeros(len(keys), bool)
+    hit[by[1:]] |= same
+    hit[by[:-1]] |= same
+    del keys, by, same
+    out = Out(MARKED, 1 << 30)
+    for n, block in enumerate(blocks):
+        own = slice(*np.searchsorted(of, [n, n + 1]))
+        if len(at := index[own][hit[own]]):
+            out.add(0, block, HITS, thin(at))
+    return pa.Table.from_batches(list(out.ready(force=True)), schema=MARKED)
+
+
+def _repeated(texts: DataFrame, entries, parts: int, name: str) -> DataFrame:
+    """(th, places) of the entries whose 64-bit key occurs at least twice; entries(text bytes, extra) gives positions and keys of a text.
+
+    texts: (th, doc_id, text, extra). One pass gives a block's keys, each once, and its layout.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, found in _blocks(batches, entries):
+            keys = np.concatenate([f[3] for f in found])
+            by = np.argsort(keys, kind="stable")
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[by[1:]] != keys[by[:-1]]
+            again = np.sort(by[~new | np.append(~new[1:], False)])  # repeats within the block
+            first = np.sort(by[new])
+            del by, new
+            out = Out(SENT, 1 << 30)
+            _layout(out, block, parts, [(f[0], f[2]) for f in found], again, again[:0])
+            keys = keys[first]
+            by, cut = _cuts((keys >> np.uint64(40)) % np.uint64(parts), parts)
+            for b in range(parts):
+                if len(at := np.sort(by[cut[b] : cut[b + 1]])):
+                    where = thin(first[at])
+                    out.add(b, block, np.array([len(at), len(where)], "<u4").tobytes() + where + keys[at].tobytes())
+            yield from out.ready(force=True)
+
+    dealt = texts.mapInArrow(run, SENT_SQL).withColumn("part", F.when(F.col("part") >= parts, -1 - F.col("part")).otherwise(F.col("part")))
+    return _settled(dealt.groupBy("part").applyInArrow(_twice, MARKED_SQL), name)
+
+
+def ordered(strings: list[bytes], symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the strings, and the longest common prefix of each with the one before, in symbols (-1 for the first)."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    lcp = np.full(len(order), -1, np.int64)
+    for at in range(0, len(order) - 1, 4096):
+        part = [strings[i] for i in order[at : at + 4097]]
+        lengths = np.array([len(s) for s in part])
+        most = int(lengths.max())
+        rows = np.frombuffer(b"".join([s.ljust(most + 1, b"\0") for s in part]), np.uint8).reshape(len(part), most + 1)
+        differ = rows[1:] != rows[:-1]
+        first = np.where(differ.any(1), differ.argmax(1), most)
+        lcp[at + 1 : at + len(part)] = np.minimum(first, np.minimum(lengths[1:], lengths[:-1])) // symbol
+    return np.array(order, np.int64), lcp
+
+
+def previous_factors(left: list[bytes], right: list[bytes], document: np.ndarray, size: int, gram: int, symbol: int, keep_first: bool, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes have a factor of `size` symbols in common with another one, and which are the first with theirs.
+
+    Members stand in the order of their positions. right[i] starts at member i's anchor, left[i] runs backwards from it; the
+    suffix at offset d starts d symbols before the anchor. For each offset the suffixes are put in order by their text (left
+    part, then right part, from the two suffix orders and their common prefixes); in a run of suffixes that agree in `size`
+    symbols the order is that of positions, so the previous smaller position is the row before, and the next smaller one lies
+    beyond the run and agrees in fewer. A suffix's longest previous factor reaches `size` if it is not the first of its run.
+    Without keep_first any other member counts, with across only one of another document.
+    """
+    n, offsets = len(left), size - gram + 1
+    reach_left, reach_right = (np.array([len(s) // symbol for s in x]) for x in (left, right))
+    (by_left, lcp_left), (by_right, lcp_right) = ordered(left, symbol), ordered(right, symbol)
+    hit, lead = np.zeros((n, offsets), bool), np.zeros((n, offsets), bool)
+    own_left, own_right = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(offsets):
+        at = np.flatnonzero((reach_left >= d) & (reach_right >= size - d))
+        if not len(at):
+            continue
+        own_left[by_left] = np.cumsum(lcp_left < d)
+        own_right[by_right] = np.cumsum(lcp_right < size - d)
+        key = own_left[at] * (n + 1) + own_right[at]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        new = np.append(True, key[1:] != key[:-1])
+        run = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        first = document[at[starts]][run]
+        last = document[at[np.append(starts[1:], len(at)) - 1]][run]
+        if across:
+            hit[at, d] = first != document[at] if keep_first else first != last
+            lead[at, d] = first == document[at]
+        else:
+            hit[at, d] = ~new if keep_first else ~new | ~np.append(new[1:], True)
+            lead[at, d] = new
+    return hit, lead
 
-def _repeats(keep_first: bool, across: bool):
-    """Of a bucket's keys, where those lie that occur elsewhere (earlier, with keep_first; in an earlier document, with across)."""
+
+class Segments:
+    """Pieces of text around anchors: base (the number of a piece's first place in its block), left, right and document."""
+
+    def __init__(self) -> None:
+        self.base, self.before, self.after, self.document, self.ids, self.data = [], [], [], [], [], []
+
+    def pack(self, chosen=None) -> bytes:
+        chosen = range(len(self.base)) if chosen is None else chosen
+        numbers = np.array([[x[i] for i in chosen] for x in (self.base, self.before, self.after, self.document)], "<u4")
+        return squeeze(np.array([numbers.shape[1]], "<u4").tobytes() + numbers.tobytes() + np.array([self.ids[i] for i in chosen], "<i8").tobytes() + b"".join([self.data[i] for i in chosen]))
+
+    @classmethod
+    def unpack(cls, packed: bytes, symbol: int) -> Segments:
+        data, own = expand(packed), cls()
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        own.base, own.before, own.after, own.document = np.frombuffer(data, "<u4", 4 * n, 4).reshape(4, n).tolist()
+        own.ids, at = np.frombuffer(data, "<i8", n, 4 + 16 * n).tolist(), 4 + 24 * n
+        for a, b in zip(own.before, own.after, strict=True):
+            own.data.append(data[at : (at := at + (a + b) * symbol)])
+        return own
+
+
+def _factors(size: int, gram: int, symbol: int, keep_first: bool, across: bool, final: bool):
+    """Of a bucket's segments, the places with a long enough factor elsewhere; if not final also the segments that go on. Layouts pass."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")  # documents of one rank stand in the same order in all buckets
-        keys, index, order, of = [], [], [], []
-        for n, packed in enumerate(table.column("packed")):
-            data = packed.as_py()
-            k, a, b = np.frombuffer(data, "<u4", 3).tolist()
-            index.append(thick(data[12 : 12 + a]))
-            order.append(np.frombuffer(expand(data[12 + a : 12 + a + b]), "<i8") if b else np.zeros(k, np.int64))
-            keys.append(np.frombuffer(data, "<u8", k, 12 + a + b))
-            of.append(np.full(k, n, np.int32))
-        keys, index, order, of = (np.concatenate(x) for x in (keys, index, order, of))
-        by = np.lexsort((index, of, order, keys)) if keep_first else np.argsort(keys, kind="stable")
-        same = keys[by[1:]] == keys[by[:-1]]
-        hit = np.zeros(len(keys), bool)
-        hit[1:] |= same  # a previous position exists
-        if not keep_first:
-            hit[:-1] |= same  # or a next one
-        if across:  # a block sends a key for one document only, so the key's first block stands for its first document
-            first = np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(keys)))) if len(keys) else np.zeros(0, np.int64)
-            hit = of[by] != of[by[first]]
-        chosen = by[hit]
-        chosen = chosen[np.lexsort((index[chosen], of[chosen]))]
-        cut = np.searchsorted(of[chosen], np.arange(table.num_rows + 1))
         blocks = table.column("block").to_pylist()
-        kept = [n for n in range(table.num_rows) if cut[n] < cut[n + 1]]
-        return pa.table({"block": pa.array([blocks[n] for n in kept], pa.binary()), "packed": pa.array([thin(index[chosen[cut[n] : cut[n + 1]]]) for n in kept], pa.binary())}, schema=LAYOUT)
+        if table.column("part")[0].as_py() < 0:
+            return pa.table({"part": table.column("part"), "block": table.column("block"), "kind": pa.array([LAYOUT] * len(blocks), pa.int32()), "packed": table.column("packed")}, schema=MARKED)
+        held = [(block, Segments.unpack(packed.as_py(), symbol)) for block, packed in zip(blocks, table.column("packed"), strict=True)]
+        members = sorted((s.ids[i], block, s.document[i], s.base[i], n, i) for n, (block, s) in enumerate(held) for i in range(len(s.base)))
+        left, right, document, last = [], [], np.zeros(len(members), np.int64), None
+        for m, (_, block, of, _, n, i) in enumerate(members):
+            s = held[n][1]
+            data, a = s.data[i], s.before[i] * symbol
+            left.append(data[:a][::-1] if symbol == 1 else np.frombuffer(data[:a], "<u8")[::-1].tobytes())
+            right.append(data[a:])
+            document[m] = (0 if last is None else document[m - 1] + (last != (block, of)))
+            last = (block, of)
+        hit, lead = previous_factors(left, right, document, size, gram, symbol, keep_first, across)
+        out, found, on = Out(MARKED, 1 << 30), [[] for _ in held], [[] for _ in held]
+        for m, (_, _, _, base, n, i) in enumerate(members):
+            d = np.flatnonzero(hit[m])
+            if len(d):
+                found[n].append(base + held[n][1].before[i] - d[::-1])
+            if not final and lead[m].any():
+                on[n].append(i)
+        for n, (block, s) in enumerate(held):
+            if found[n]:
+                out.add(0, block, HITS, thin(np.sort(np.concatenate(found[n]))))
+            if on[n]:
+                out.add(table.column("part")[0].as_py(), block, SEGMENTS, s.pack(on[n]))
+        return pa.Table.from_batches(list(out.ready(force=True)), schema=MARKED)
 
     return run
 
 
-def _places(layouts: pa.Table, hits: pa.Table) -> pa.Table:
-    """Positions by text from a block's layout (texts, and where their entries end) and its hits."""
-    out_th, out_places = [], []
-    if hits.num_rows and not layouts.num_rows:
-        raise RuntimeError("a block's entries and its layout were cut differently")
-    if layouts.num_rows:
-        data = expand(layouts.column("packed")[0].as_py())
-        n, local = np.frombuffer(data, "<u4", 2).tolist()
-        ths = [data[8 + 16 * i : 24 + 16 * i] for i in range(n)]
-        ends = np.frombuffer(data, "<i8", n, 8 + 16 * n)
-        own = np.frombuffer(data, "<u4", local, 8 + 24 * n).astype(np.int64)
-        positions = np.frombuffer(data, "<u4", offset=8 + 24 * n + 4 * local)
-        index = np.unique(np.concatenate([own, *(thick(p.as_py()) for p in hits.column("packed"))]))
-        cut = np.searchsorted(index, np.append(0, ends))
-        for i, th in enumerate(ths):
-            at = index[cut[i] : cut[i + 1]]
-            if len(at):
-                out_th.append(th)
-                out_places.append(thin(positions[at]))
-    return pa.table({"th": pa.array(out_th, pa.binary()), "places": pa.array(out_places, pa.binary())}, schema=PLACES)
-
+def _matched(texts: DataFrame, unit: type[Hasher], size: int, gram: int, keep_first: bool, across: bool, parts: int, name: str) -> DataFrame:
+    """(th, places) of the windows whose longest previous (or other) factor reaches `size`, by the texts themselves.
 
-def _find(texts: DataFrame, entries, keep_first: bool, parts: int, name: str, across: bool = False) -> DataFrame:
-    """(th, places) of the entries that repeat; entries(text bytes, extra) gives positions and keys of a text.
-
-    texts: (th, doc_id, text, extra). It is read twice, for the keys and for the layouts; a block's key is a hash of what
-    it holds, so blocks that were cut differently stop the job instead of losing rows.
+    texts: (th, doc_id, text, extra), extra: the starts of the windows in question. Consecutive windows with one anchor are a
+    segment; equal segments of a block are sent once, to the bucket of the anchor's gram. A passage that many blocks hold is
+    reduced over groups of FAN_BLOCKS blocks first.
     """
+    symbol, width = unit.symbol, size - gram + 1
+
+    def entries(data: np.ndarray, places: bytes) -> tuple:
+        hasher, starts = unit(data), thick(places)
+        grams = hasher.windows(gram)
+        anchors = smallest(grams, width)[starts]
+        cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(anchors) > 0)) + 1
+        low = np.append(0, cut)
+        high = np.append(cut, len(starts)) - 1
+        a = anchors[low]
+        return starts, low, high, a - starts[low], starts[high] + size - a, grams[a], hasher.symbols()
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rows in sized(rows_of(batches, "th", "doc_id", "text", "extra"), lambda r: len(r[2]), BLOCK_BYTES):
-            found = []
-            for th, doc_id, text, extra in rows:
-                positions, keys = entries(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), extra)
-                if len(keys):
-                    found.append((th, doc_id, positions, keys))
-            if found:
-                keys = np.concatenate([f[3] for f in found])
-                rank = np.repeat(np.array([-(1 << 63) if f[1] is None else f[1] for f in found], np.int64), [len(f[3]) for f in found])
-                block = hashlib.blake2b(b"".join(f[0] + str(f[1]).encode() for f in found), digest_size=16).digest()
-                by = np.lexsort((np.arange(len(keys)), rank, keys)) if keep_first else np.argsort(keys, kind="stable")
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[by[1:]] != keys[by[:-1]]
-                if across:  # all places in the block's first document with the key are sent, those in its others are repeats
-                    document = np.repeat(np.arange(len(found)), [len(f[3]) for f in found])[by]
-                    new = document == document[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-                again = ~new if keep_first else ~new | np.append(~new[1:], False)  # repeats within the block
-                yield block, found, keys, rank, np.sort(by[new]), np.sort(by[again])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, keys, rank, first, _ in blocks(batches):
-            yield from _send(keys[first], first, rank[first] if keep_first else None, block, parts)
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, found, _, _, _, again in blocks(batches):
-            ends = np.cumsum([len(f[3]) for f in found]).astype("<i8")
-            data = np.array([len(found), len(again)], "<u4").tobytes() + b"".join(f[0] for f in found) + ends.tobytes() + again.astype("<u4").tobytes() + np.concatenate([f[2] for f in found]).astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([squeeze(data)], pa.binary())], schema=LAYOUT)
-
-    hits = texts.mapInArrow(send, "bucket int, block binary, packed binary").groupBy("bucket").applyInArrow(_repeats(keep_first, across), "block binary, packed binary")
-    layouts = texts.mapInArrow(lay, "block binary, packed binary")
-    return materialise(layouts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_places, "th binary, places binary").dropDuplicates(["th"]), name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, found in _blocks(batches, entries):
+            seen: dict[tuple, list] = {}  # a segment's text: its first document, places, and whether these are marked
+            again, same, base = np.zeros(sum(len(f[2]) for f in found), bool), [], 0
+            dealt: dict[int, Segments] = {}
+            for n, (_, doc_id, starts, low, high, before, after, keys, symbols) in enumerate(found):
+                bucket = ((keys >> np.uint64(40)) % np.uint64(parts)).tolist()
+                for since, x, y, a, b, part in zip(starts[low].tolist(), (low + base).tolist(), (high + base).tolist(), before.tolist(), after.tolist(), bucket, strict=True):
+                    piece = symbols[since : since + a + b].tobytes()
+                    first = seen.setdefault((a, piece), [n, x, y, False])
+                    if first[1] == x:
+                        s = dealt.setdefault(part, Segments())
+                        for to, v in zip((s.base, s.before, s.after, s.document, s.ids, s.data), (x, a, b, n, -(1 << 63) if doc_id is None else doc_id, piece), strict=True):
+                            to.append(v)
+                    elif across and first[0] == n:
+                        same.append((x, first[1], y - x + 1))
+                    else:
+                        again[x : y + 1] = True
+                        if not keep_first and not first[3]:
+                            first[3] = True
+                            again[first[1] : first[2] + 1] = True
+                base += len(starts)
+            out = Out(SENT, 1 << 30)
+            _layout(out, block, parts, [(f[0], f[2]) for f in found], np.flatnonzero(again), np.array(same, np.int64).reshape(-1, 3))
+            for part, s in sorted(dealt.items()):
+                out.add(part, block, s.pack())
+            yield from out.ready(force=True)
+
+    def factors(final: bool):
+        return _factors(size, gram, symbol, keep_first, across, final)
+
+    size_of_all = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    fan = -(-size_of_all // (BLOCK_BYTES * FAN_BLOCKS))
+    dealt = texts.mapInArrow(run, SENT_SQL).withColumn("part", F.when(F.col("part") >= parts, -1 - F.col("part")).otherwise(F.col("part")))
+    if fan <= 1:
+        return _settled(dealt.groupBy("part").applyInArrow(factors(True), MARKED_SQL), name)
+    salted = dealt.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(fan))).groupBy("part", "salt").applyInArrow(factors(False), MARKED_SQL)
+    salted = materialise(salted, f"{name}-reduced")
+    rest = salted.where(F.col("kind") == SEGMENTS).drop("kind").groupBy("part").applyInArrow(factors(True), MARKED_SQL)
+    return _settled(salted.where(F.col("kind") != SEGMENTS).unionByName(rest), name)
 
 
 def _by_text(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
@@ -277,9 +462,10 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_first: bool
         at = candidates(thick(places), smallest(hasher.windows(gram), width))
         return at, hasher.windows(size)[at]
 
-    repeated = _find(one.withColumn("extra", F.lit(None).cast("binary")), anchor_entries, False, max(1, parts // 8), "anchors")
-    windows = _find(_by_text(one, repeated, "inner").withColumnRenamed("places", "extra"), window_entries, keep_first, parts, "windows", unit is Words)
-    joined = _by_text(every, windows, "left").withColumnRenamed("places", "starts")
+    anchors = _repeated(one.withColumn("extra", F.lit(None).cast("binary")), anchor_entries, max(1, parts // 8), "anchors")
+    windows = _repeated(_by_text(one, anchors, "inner").withColumnRenamed("places", "extra"), window_entries, parts, "windows")
+    matched = _matched(_by_text(one, windows, "inner").withColumnRenamed("places", "extra"), unit, size, gram, keep_first, unit is Words, parts, "factors")
+    joined = _by_text(every, matched, "left").withColumnRenamed("places", "starts")
     joined = _by_text(joined, copies.drop("n", "m"), "left")
     if keep_first:
         is_copy = F.col("places").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
@@ -295,20 +481,40 @@ def removed(n: int, starts: bytes | None, whole: bool, size: int) -> np.ndarray:
     return covered(thick(starts), size) if starts else np.zeros((0, 2), np.int64)
 
 
-def digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of `docs(doc_id, text)`."""
+def digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_first: bool = False, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of `docs(doc_id, text)`.
+
+    With words also n_shared_words: how many of a text's words stand in a window of so many words that another document
+    holds too (an earlier one, with keep_first). It removes nothing.
+    """
+    shape = [("doc_id", "long"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *([("n_shared_words", "long")] if words else [])]
+    types = {"long": pa.int64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
-        for doc_id, text, starts, whole in rows_of(batches, "doc_id", "text", "starts", "whole"):
+        out = Out(pa.schema([(n, types[t]) for n, t in shape]))
+        for doc_id, text, starts, whole, word_starts, all_words in rows_of(batches, "doc_id", "text", "starts", "whole", "word_starts", "all_words"):
             data = (text or "").encode("utf-8", "surrogatepass")
             runs = removed(len(data), starts, whole, size)
-            out.add(doc_id, len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(_kept(data, runs)).hexdigest())
+            shared = []
+            if words:
+                shared = [len(data.split()) if all_words else int(np.diff(covered(thick(word_starts), words)).sum()) if word_starts else 0]
+            out.add(doc_id, len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(_kept(data, runs)).hexdigest(), *shared)
             yield from out.ready()
         yield from out.ready(force=True)
 
-    marked = spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), size, gram, keep_first)
-    return marked.select("doc_id", "text", "starts", "whole").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = spans(plain, size, gram, keep_first)
+    if words:
+        found = spans(plain, words, words // 2, keep_first, Words).where("starts is not null or whole")
+        found = found.select("th", F.col("doc_id").alias("__id"), F.coalesce("starts", F.lit(b"")).alias("places"), F.col("whole").alias("all_words"))
+        found = materialise(found.dropDuplicates(["th", "__id"] if keep_first else ["th"]), "shared-words")
+        size_ = found.agg(F.sum(F.length("places") + 64)).first()[0] or 0
+        found = found.withColumnsRenamed({"th": "__th", "places": "word_starts"})
+        same = (F.col("th") == F.col("__th")) & (F.col("doc_id").eqNullSafe(F.col("__id")) if keep_first else F.lit(True))
+        marked = marked.join(F.broadcast(found) if size_ <= BROADCAST_BYTES else found, same, "left")
+    else:
+        marked = marked.withColumns({"word_starts": F.lit(None).cast("binary"), "all_words": F.lit(False)})
+    return marked.select("doc_id", "text", "starts", "whole", "word_starts", "all_words").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in shape))
 
 
 def _kept(data: bytes, runs: np.ndarray) -> bytes:

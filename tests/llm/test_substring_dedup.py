@@ -119,3 +119,55 @@ def test_smallest_in_texts_beyond_the_position_bits(monkeypatch):
         grams = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(40)
         want = [i + int(np.argmin(grams[i : i + 7])) for i in range(n - 6)]
         assert substring_dedup.smallest(grams, 7).tolist() == want
+
+
+@pytest.mark.parametrize("keep_first,across", [(True, False), (False, False), (True, True), (False, True)])
+def test_previous_factors(keep_first, across):
+    """Each suffix against all others, symbol by symbol."""
+    rng, size, gram = random.Random(7), 12, 5
+    members, shared = [], bytes(rng.choices(b"ab", k=40))
+    for document in range(12):
+        for _ in range(3):
+            a, b = rng.randrange(0, 8), rng.randrange(0, 8)
+            text = bytearray(bytes(rng.choices(b"ab", k=8)) + b"-" * gram + bytes(rng.choices(b"ab", k=7)))
+            if rng.random() < 0.6:
+                text[:8], text[8 + gram :] = shared[:8], shared[8:15]
+            members.append((document, bytes(text[8 - a : 8]), bytes(text[8 : 8 + gram + b])))
+    hit, lead = substring_dedup.previous_factors([m[1][::-1] for m in members], [m[2] for m in members], np.array([m[0] for m in members]), size, gram, 1, keep_first, across)
+    runs = defaultdict(list)
+    for n, (_, left, right) in enumerate(members):
+        for d in range(len(left) + 1):
+            if d + len(right) >= size:
+                runs[d, (left[len(left) - d :] + right)[:size]].append(n)
+    want, first = np.zeros_like(hit), np.zeros_like(lead)
+    for (d, _), own in runs.items():
+        for n in own:
+            others = [m for m in own if (m < n if keep_first else m != n) and (not across or members[m][0] != members[n][0])]
+            want[n, d] = bool(others)
+            first[n, d] = members[n][0] == members[own[0]][0] if across else n == own[0]
+    assert want.any() and (hit == want).all() and (lead == first).all()
+
+
+def test_hot_passages_in_groups(spark, monkeypatch):
+    """Groups of blocks are reduced first; the result is the same."""
+    monkeypatch.setattr(substring_dedup, "FAN_BLOCKS", 1)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 500)
+    rows = corpus(40)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert Counter(map(tuple, substring_dedup.digest(df, 40, 20).collect())) == brute(rows, 40)
+
+
+def test_periodic_text(spark):
+    rows = [(1, "a" * 300_000), (2, "xyz" * 50_000 + "é"), (3, "xyz" * 300)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 300_000, 2: 150_000, 3: 900}
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_shared_words(spark, keep_first):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    p, own, copy = prose(60), prose(55), prose(52)
+    texts = {1: f"{prose(9)} {p}", 2: f"{p[: p.rindex(' ')]}\n{prose(7)}", 3: f"{own} x {own}", 4: prose(300), 5: copy, 6: copy, 7: None, 8: prose(20) + " " + " ".join(p.split()[5:55])}
+    got = {r.doc_id: r.n_shared_words for r in substring_dedup.digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), words=51, keep_first=keep_first).collect()}
+    assert got == {1: 0 if keep_first else 59, 2: 59, 3: 0, 4: 0, 5: 0 if keep_first else 52, 6: 52, 7: 0, 8: 0}
