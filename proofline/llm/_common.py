@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,19 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Give freed memory back at once: a worker lives on after its task, beside those of later stages."""
+    trim_threshold, mmap_threshold, arenas = -1, -3, -8  # mallopt's parameters
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        for parameter, value in ((mmap_threshold, 4 << 20), (trim_threshold, 16 << 20), (arenas, 2)):
+            ctypes.CDLL("libc.so.6").mallopt(parameter, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as Python tuples, a slice of 256 rows at a time."""
+    """Rows of Arrow batches as Python tuples, a slice of 256 rows at a time; runs in workers."""
+    lean()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -65,7 +79,7 @@ class Out:
             self.columns = [[] for _ in self.schema]
 
 
-def from_text(docs: DataFrame, added: list[tuple[str, str]], measure, slice_chars: int = 2_000_000, replace_text: bool = False) -> DataFrame:
+def from_text(docs: DataFrame, added: list[tuple[str, str]], measure, slice_chars: int = 1_000_000, replace_text: bool = False) -> DataFrame:
     """`docs` with columns that `measure(texts)` derives from its text, a slice of texts at a time.
 
     measure returns one sequence per added column, and the new texts before them if replace_text. Input columns named as
@@ -76,6 +90,7 @@ def from_text(docs: DataFrame, added: list[tuple[str, str]], measure, slice_char
     names, at_text = [f.name for f in keep], next(i for i, f in enumerate(keep) if f.name.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             texts, at = ((t.as_py(),) for t in batch.column(at_text)), 0
             for part in sized(texts, lambda r: len(r[0] or ""), slice_chars):

@@ -1,6 +1,6 @@
 """Operator 7: quality rules and a classifier over hashed word and character n-grams.
 
-Method. A logistic regression over hashed word unigrams and bigrams and character (UTF-8 byte) trigrams, each as its share of the text's
+Method. A logistic regression over hashed word unigrams and bigrams and character trigrams, each as its share of the text's
 n-grams, is fitted on at most `sample_rows` labelled rows outside the held-out fold; a second, disjoint part of the sample
 calibrates its probability (Platt scaling). Texts are scored in Arrow batches against fixed thresholds: the base rules
 (fewer than 50 words; more than half of the words in repeated 3-word windows) and a probability of quality.
@@ -35,9 +35,9 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def grams(texts: list[str | None], counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bins of character trigrams with the text of each, and of word unigrams and bigrams with the text of each."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    of = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) for r in raw])
+    held = [t or "" for t in texts]
+    data = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for t in held])
     h = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)
     inside = of[:-2] == of[2:]
     chars, chars_of = (h >> np.uint32(19)).astype(np.int32)[inside], of[:-2][inside]

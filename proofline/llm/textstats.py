@@ -10,7 +10,7 @@ from proofline.llm._common import WS
 from proofline.llm.vocab import words
 
 SYMBOLS = "#*$%&|<>"
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 class Numbers(dict):

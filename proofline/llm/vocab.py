@@ -46,7 +46,7 @@ def _byte_letters() -> dict[str, int]:
 class Codec:
     """ids(chunk) as little-endian unsigned 32-bit bytes, from a cache of two generations of at most `held` chunks."""
 
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 80_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
