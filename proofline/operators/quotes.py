@@ -9,6 +9,7 @@ from proofline.functions.text import mentions
 
 MAX_QUOTE = 300
 ANCHOR = 4
+BROADCAST_ROWS = 1_000_000  # of 8 bytes
 
 
 def collapsed(text: Column) -> Column:
@@ -27,6 +28,14 @@ def verify(fragments: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.withColumns({"status": status, "reason": reason}).drop("chunk_text", "known")
 
 
+def _windows(parts: Column, size: int, kind: str) -> Column:
+    """A hash of each run of `size` neighbours in an array: the array beside itself, shifted by 1, 2, ... places."""
+    if size == 1:
+        return F.transform(parts, lambda p: F.xxhash64(F.lit(kind), p))
+    shifted = [F.slice(parts, 1 + i, F.greatest(F.size(parts) - (size - 1), F.lit(0))).alias(f"p{i}") for i in range(size)]
+    return F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(F.lit(kind), *(z[f"p{i}"] for i in range(size))))
+
+
 def occurrences(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(quote_id, chunk_id) of chunks that hold a quote's text, white space collapsed.
 
@@ -35,25 +44,28 @@ def occurrences(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     characters are its anchor among the chunks' windows of characters. Chunks are cut only into sizes that occur.
     """
     words, length = F.size(F.split("quote", " ")), F.length("quote")
-    by_words = words > 2
-    chars = F.when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
-
-    def parts(text: str) -> Column:
-        return F.when(F.col("by_words"), F.split(text, " ")).otherwise(F.split(text, ""))
+    size = F.when(words > 2, F.least(F.lit(ANCHOR), words - 2)).otherwise(-F.when(length >= 8, 8).when(length >= 4, 4).otherwise(F.least(length, F.lit(2))))
+    every = [*range(1, ANCHOR + 1), -1, -2, -4, -8]  # of words, then of characters
 
-    def anchor(parts: Column, start: Column) -> Column:
-        return F.xxhash64("by_words", "size", F.call_function("array_join", F.slice(parts, start, F.col("size")), F.when(F.col("by_words"), " ").otherwise("")))
+    def pick(make) -> Column:
+        out = F.when(F.col("size") == every[0], make(every[0]))
+        for s in every[1:]:
+            out = out.when(F.col("size") == s, make(s))
+        return out
 
-    def windows(w: Column) -> Column:
-        return F.when(F.size(w) >= F.col("size"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - F.col("size") + 1), lambda i: anchor(w, i))))
+    def own(s: int) -> Column:
+        return _windows(F.slice(F.split("quote", " "), 2, s) if s > 0 else F.slice(F.split("quote", ""), 1, -s), abs(s), str(s))[0]
 
-    q = quotes.select("quote_id", collapsed(F.col("quote")).alias("quote")).where("quote != ''")
-    q = q.withColumns({"by_words": by_words, "size": F.when(by_words, F.least(F.lit(ANCHOR), words - 2)).otherwise(chars)})
-    q = q.withColumn("anchor", anchor(parts("quote"), F.when(F.col("by_words"), 2).otherwise(1)))
-    sizes = q.select("by_words", "size").distinct()  # eight rows at most
+    q = quotes.select("quote_id", collapsed(F.col("quote")).alias("quote")).where("quote != ''").withColumn("size", size).withColumn("anchor", pick(own))
+    sizes = sorted(r[0] for r in q.select("size").distinct().collect())  # eight rows at most
     anchors = q.select("anchor").distinct()
+    few = anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     c = chunks.where("text is not null").select("chunk_id", collapsed(F.col("text")).alias("text"))
-    near = c.join(F.broadcast(sizes)).select("chunk_id", F.explode(windows(parts("text"))).alias("anchor")).join(anchors, "anchor", "left_semi")
+    cut = c.withColumn("words", F.split("text", " ")) if any(s > 0 for s in sizes) else c
+    cut = cut.withColumn("letters", F.split("text", "")) if any(s < 0 for s in sizes) else cut
+    found = [_windows(F.col("words" if s > 0 else "letters"), abs(s), str(s)) for s in sizes]
+    near = cut.select("chunk_id", F.explode(F.array_distinct(F.concat(*found) if found else F.expr("cast(array() as array<bigint>)"))).alias("anchor"))
+    near = near.join(F.broadcast(anchors) if few else anchors, "anchor", "left_semi")
     pairs = near.join(q.select("anchor", "quote_id", "quote"), "anchor").select("chunk_id", "quote_id", "quote").distinct()
     return pairs.join(c, "chunk_id").where(F.col("text").contains(F.col("quote"))).select("quote_id", "chunk_id")
 
@@ -64,8 +76,12 @@ def only_home(found: DataFrame) -> DataFrame:
 
 
 def named(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
-    """`texts` joined to the names that they mention as whole tokens: an equi-join on the name's first token, then the full test."""
-    tokens = F.explode(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")))
-    first = F.regexp_extract(F.lower("name"), "([a-z0-9]+)", 1)
-    pairs = texts.withColumn("token", tokens).join(names.withColumn("token", first), "token").drop("token")
+    """`texts` joined to the names that they mention as whole tokens: an equi-join on the name's token that fewest names have, then the full test."""
+
+    def tokens(of: Column) -> Column:
+        return F.explode(F.array_distinct(F.filter(F.split(F.lower(of), "[^a-z0-9]+"), lambda t: t != "")))
+
+    own = names.select("name", tokens(F.col("name")).alias("token")).distinct()
+    rarest = own.join(own.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("name").agg(F.min_by("token", F.struct("n", -F.length("token"), "token")).alias("token"))
+    pairs = texts.withColumn("token", tokens(F.col(text))).join(names.join(rarest, "name"), "token").drop("token")
     return pairs.where(mentions(F.col(text), F.col("name")))

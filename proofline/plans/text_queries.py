@@ -162,13 +162,13 @@ def verify_quotes(t):
     return quotes.verify(cited, d.select(F.col("doc_id").alias("chunk_id"), "text")).drop("quote")
 
 
-@query(r"""select b.item_id as quote_id, d.doc_id as chunk_id from benchmark b join documents d on contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g'))) where len(string_split(trim(regexp_replace(b.text, '\s+', ' ', 'g')), ' ')) >= 6""")
+@query(r"""select b.item_id as quote_id, d.doc_id as chunk_id from benchmark b join documents d on contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g')))""")
 def quote_occurrences(t):
     return quotes.occurrences(t.benchmark.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), t.documents.select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 @query(r"""select b.item_id as quote_id, min(d.doc_id) as chunk_id from benchmark b join documents d on contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g')))
-           where len(string_split(trim(regexp_replace(b.text, '\s+', ' ', 'g')), ' ')) >= 6 group by b.item_id having count(distinct d.doc_id) = 1""")
+           group by b.item_id having count(distinct d.doc_id) = 1""")
 def quote_unique_home(t):
     return quotes.only_home(quote_occurrences(t))
 
