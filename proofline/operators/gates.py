@@ -78,12 +78,12 @@ def honesty(levels: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
 
 def missing_parameters(parts: DataFrame, required: DataFrame, stated: DataFrame) -> DataFrame:
     """Required parameters that a part lacks: part, kind, name, default (null: a question). parts(part, kind), required(kind, name, default), stated(part, name)."""
-    return parts.join(F.broadcast(required), "kind").join(stated.select("part", "name"), ["part", "name"], "left_anti").select("part", "kind", "name", "default", F.when(F.col("default").isNull(), "question").otherwise("assumption").alias("outcome"))
+    return parts.join(required, "kind").join(stated.select("part", "name"), ["part", "name"], "left_anti").select("part", "kind", "name", "default", F.when(F.col("default").isNull(), "question").otherwise("assumption").alias("outcome"))
 
 
 def conventions(parameters: DataFrame, rules: DataFrame) -> DataFrame:
     """parameters(owner, name, value) with rules(source, target) applied: where the target is missing it takes the source's value."""
-    wanted = parameters.join(F.broadcast(rules), parameters.name == rules.source).select("owner", F.col("target").alias("name"), "value")
+    wanted = parameters.join(rules, parameters.name == rules.source).select("owner", F.col("target").alias("name"), "value")
     return parameters.select("owner", "name", "value").unionAll(wanted.join(parameters.select("owner", "name"), ["owner", "name"], "left_anti"))
 
 

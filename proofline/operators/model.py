@@ -22,7 +22,7 @@ def variants(parameters: DataFrame) -> DataFrame:
 
 def bindings(parts: DataFrame, kind_params: DataFrame, parameters: DataFrame) -> DataFrame:
     """Each part's catalogue parameters with the stated value, else the default: part, name, value, note (stated, default or missing)."""
-    wanted = parts.join(F.broadcast(kind_params), "kind").join(parameters.select(F.col("owner").alias("part"), "name", F.col("value").alias("stated")), ["part", "name"], "left")
+    wanted = parts.join(kind_params, "kind").join(parameters.select(F.col("owner").alias("part"), "name", F.col("value").alias("stated")), ["part", "name"], "left")
     return wanted.select("part", "name", F.coalesce("stated", "default").alias("value"), F.when(F.col("stated").isNotNull(), "stated").when(F.col("default").isNotNull(), "default").otherwise("missing").alias("note"))
 
 
@@ -55,9 +55,9 @@ def unknown_operands(operands: DataFrame, known: DataFrame) -> DataFrame:
 def against_catalogue(parts: DataFrame, ports: DataFrame, kind_ports: DataFrame) -> DataFrame:
     """Parts of unknown kinds, and ports whose role, direction or domain the kind does not have: id, reason. parts(id, kind), ports(id, part, role, direction, domain)."""
     kinds = kind_ports.select("kind").distinct().withColumn("known", F.lit(True))
-    a = parts.join(F.broadcast(kinds), "kind", "left").where("known is null").select("id", F.lit("unknown kind").alias("reason"))
+    a = parts.join(kinds, "kind", "left").where("known is null").select("id", F.lit("unknown kind").alias("reason"))
     spec = kind_ports.select("kind", "role", F.col("direction").alias("d"), F.col("domain").alias("m"), F.lit(True).alias("has"))
-    j = ports.join(parts.select(F.col("id").alias("part"), "kind"), "part").join(F.broadcast(kinds), "kind").join(F.broadcast(spec), ["kind", "role"], "left")
+    j = ports.join(parts.select(F.col("id").alias("part"), "kind"), "part").join(kinds, "kind").join(spec, ["kind", "role"], "left")
     why = F.when(F.col("has").isNull(), "unknown role").when(F.col("direction") != F.col("d"), "wrong direction").when(F.col("domain") != F.col("m"), "wrong domain")
     return a.union(j.withColumn("reason", why).where("reason is not null").select("id", "reason"))
 
@@ -85,7 +85,7 @@ def only_value(required: DataFrame, stated: DataFrame) -> DataFrame:
     """Parts whose kind asks for one parameter and that state one value under another name: the value is adopted."""
     one = required.groupBy("kind").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1").drop("n")
     val = stated.groupBy("part", "kind").agg(F.count_distinct("value").alias("n"), F.min("value").alias("value")).where("n = 1").drop("n")
-    return val.join(F.broadcast(one), "kind").select("part", "name", "value")
+    return val.join(one, "kind").select("part", "name", "value")
 
 
 def renamed(traces: DataFrame, names: DataFrame) -> DataFrame:

@@ -28,9 +28,12 @@ def top_with_more(rows: DataFrame, by: str, order: list[Column], k: int) -> Data
     return top.join(counts, by).withColumn("more", F.greatest(F.col("c") - k, F.lit(0))).drop("c")
 
 
-def usage(calls: DataFrame, by: str) -> DataFrame:
-    """calls(by, input_tokens, output_tokens, cached) with the cost at the price per million tokens."""
-    return calls.groupBy(by).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count_if("cached").alias("cached"))
+def usage(calls: DataFrame, by: str, input_price: float = 2.5, output_price: float = 10.0) -> DataFrame:
+    """calls(by, input_tokens, output_tokens, cached) in sum, with the cost at prices a million tokens; cached calls cost nothing."""
+    cost = F.when(~F.col("cached"), (F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1e6).otherwise(0.0)
+    return calls.groupBy(by).agg(
+        F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count_if("cached").alias("cached"), F.round(F.sum(cost), 6).alias("cost_usd"),
+    )
 
 
 def exit_code(stages: DataFrame) -> DataFrame:

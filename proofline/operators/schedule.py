@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.numbers import NUMBER, finite
+from proofline.functions.numbers import finite
+
+SECONDS = r"\d+(?:\.\d+)?"
 
 
 def table_of(locator: Column) -> Column:
@@ -22,13 +24,19 @@ def value_column(cells: DataFrame) -> DataFrame:
 
 
 def press_times(texts: DataFrame, controls: DataFrame) -> DataFrame:
-    """texts(source, text) and controls(control, name): sorted times `name at N s` by control and source."""
+    """texts(source, text) and controls(control, name): the sorted times at which a text says that a control is pressed.
+
+    `name at N s` counts, and where the text has a column of times in seconds, a line with a number above one with the name.
+    The name stands as a whole token; a control may have several names, and matches inside a wider one have its time.
+    """
     from proofline.operators.quotes import named
 
     hits = named(texts, controls)
-    quoted = F.regexp_replace(F.col("name"), r"([\\.\[\]{}()*+?^$|/-])", r"\\$1")
-    pattern = F.concat(F.lit("(?i)"), quoted, F.lit(r"[^.;\n]{0,60}?\bat\s+(?:t\s*=\s*)?(" + NUMBER + r")\s*s\b"))
-    times = hits.select("control", "source", F.explode(F.regexp_extract_all("text", pattern, 1)).alias("t")).withColumn("t", F.col("t").cast("double"))
+    quoted = F.concat(F.lit("(?<![A-Za-z0-9])"), F.regexp_replace(F.trim("name"), r"([\\.\[\]{}()*+?^$|/-])", r"\\$1"), F.lit("(?![A-Za-z0-9])"))
+    said = F.concat(F.lit("(?i)"), quoted, F.lit(rf"\s+at\s+({SECONDS})\s*s\b"))
+    listed = F.concat(F.lit(rf"(?im)^[ \t]*({SECONDS})[ \t]*\r?\n[ \t]*"), quoted, F.lit(r"[ \t]*$"))
+    in_table = F.when(F.col("text").rlike(r"(?i)time\s*[(\[]\s*s\s*[)\]]"), F.regexp_extract_all("text", listed, 1)).otherwise(F.expr("cast(array() as array<string>)"))
+    times = hits.select("control", "source", F.explode(F.concat(F.regexp_extract_all("text", said, 1), in_table)).alias("t")).withColumn("t", F.col("t").cast("double"))
     return times.groupBy("control", "source").agg(F.array_sort(F.collect_set("t")).alias("times"))
 
 

@@ -108,7 +108,10 @@ def early_stop(reference: DataFrame, run: DataFrame, tolerance: float) -> DataFr
 
 def map_states(columns: DataFrame, machines: DataFrame) -> DataFrame:
     """columns(column, values array) to the one machine(machine, aliases array) that knows all its values; null if none or several."""
-    fits = columns.join(F.broadcast(machines), F.size(F.array_except("values", "aliases")) == 0)
+    asked = columns.select("column", F.explode(F.array_distinct("values")).alias("alias"))
+    known = machines.select("machine", F.explode(F.array_distinct("aliases")).alias("alias"))
+    need = asked.groupBy("column").agg(F.count("*").alias("need"))
+    fits = asked.join(known, "alias").groupBy("column", "machine").agg(F.count("*").alias("have")).join(need, "column").where("have = need")
     return columns.join(fits.groupBy("column").agg(F.count("*").alias("fits"), F.min("machine").alias("m")), "column", "left").select("column", F.coalesce("fits", F.lit(0)).alias("fits"), F.when(F.col("fits") == 1, F.col("m")).alias("machine"))
 
 

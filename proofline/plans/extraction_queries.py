@@ -74,7 +74,11 @@ PRESSED = """with p as (select 'B' || l_suppkey control, l_returnflag source, li
 
 
 def _pressed(t):
-    texts = t.lineitem.select(F.col("l_returnflag").alias("source"), F.concat(F.lit("Press button"), F.col("l_suppkey").cast("string"), F.lit(" at t = "), F.col("l_quantity").cast("string"), F.lit(" s, then wait.")).alias("text"))
+    button, when = F.concat(F.lit("BUTTON"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("string")
+    prose = F.concat(F.lit("Press PB-"), button, F.lit("  at "), when, F.lit(" s, then wait; "), button, F.lit(" is left at 900 s."))
+    table = F.concat(F.lit("time [s]\n"), when, F.lit("\n "), button, F.lit(" \n7 s\nother"))
+    text = F.when(F.col("l_linenumber") % 2 == 0, table).otherwise(prose)
+    texts = t.lineitem.select(F.col("l_returnflag").alias("source"), text.alias("text"))
     return schedule.press_times(texts, t.supplier.select(F.concat(F.lit("B"), F.col("s_suppkey").cast("string")).alias("control"), F.concat(F.lit("button"), F.col("s_suppkey").cast("string")).alias("name")))
 
 
