@@ -37,6 +37,7 @@ KINDS = ("assign", "access", "hex")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})(?:\\u([0-9A-Fa-f]{4}))?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+# A secret has at least 14 characters (`token=` and eight), so its base64 form has at least 18, whatever the phase.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}+={0,2}")
 LINE_END = re.compile(r"\n[ \t]*+[A-Za-z0-9+/_-]")
 LINES = re.compile(r"(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")

@@ -67,3 +67,18 @@ def test_knn_with_many_rows_of_one_query_id(spark):
     for pivots in (4, 64):
         got = sorted((r["rank"], r.vec_id, r.score) for r in knn.search(df, "vec_id % 100 = 0", pivots=pivots).collect())
         assert got == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
+def test_knn_prunes_clusters(spark):
+    """Tight clusters: most rows go to no group but their own, and nothing is lost."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(0, 1, (16, 24))
+    rows = [(i, (middles[i % 16] + rng.normal(0, 0.02, 24)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = knn.prepare(df, "vec_id % 100 = 0", pivots=64, groups=64, block=16)
+    sent = sum(len(r.ids) // 8 for r in plan.replicas().collect())
+    groups = plan.asked.select("cell").distinct().count()
+    assert groups >= 4 and sent <= 0.25 * groups * len(rows)
+    q = [(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v in rows]
+    want = {(i, n, j, -s) for i, v in q if i % 100 == 0 for n, (s, j) in enumerate(sorted((-int(v @ x), j) for j, x in q if j != i)[:10], 1)}
+    assert {tuple(r) for r in knn.search(df, "vec_id % 100 = 0", groups=64, block=16).collect()} == want
