@@ -11,9 +11,12 @@ those has no partner. The others keep the h + 1 rarest of their words (with rari
 have one of those in common); words of one class alone then drop out. A class that has h words or fewer, so that the
 argument fails, also takes part with its shingles in place of words, against others like it.
 
-Verification. Classes that share a kept word make families. In a family, blocks of at most `block` classes are compared
-pair by pair of blocks: sizes, then the Hamming distance of bit sketches, then the sets themselves, and only for pairs
-that are not connected yet. Each pair of blocks gives a spanning forest of its links, so no pair list is ever built.
+Verification. Classes that share a kept word make families. In a family of more than `block` classes a few members are
+pivots first: every member is compared with them, and what a pivot links is connected, so the core of a family of copies
+costs one comparison a member. From then on only members that are not connected yet meet. They are compared block by block:
+a member goes to the blocks of the others of its family, the large connected core only to those of the rest. Within a pair of
+blocks sizes, then the Hamming distance of bit sketches, then the sets themselves are compared, and only pairs that are not
+connected. Each pair of blocks gives a spanning forest of its links, so no pair list is ever built.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text of one to four words is one shingle;
 repeated rows have equal sets and link; a null doc_id takes part, and a component's id is the smallest id that is not
@@ -27,18 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.llm._common import Out, buckets, materialise, rows_of, sized
 from proofline.llm.bpe import expand, squeeze
 from proofline.llm.textstats import SLICE_CHARS, Numbers
 from proofline.operators.graph import components
+from proofline.operators.skew import join_one
 
 WORDS_A_SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_ROWS = 500_000  # of 24 bytes
+BROADCAST_BYTES = 48 << 20
+PIVOTS = 4
 DEALT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SHARED = pa.schema([("cls", pa.int64()), ("scheme", pa.int32()), ("need", pa.int32()), ("total", pa.int32()), ("word", pa.int64()), ("classes", pa.int32())])
 
 
@@ -105,11 +112,12 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(x) + len(y) - common)
 
 
-def links_of(ids: list[int], sets: list[np.ndarray], left: list[int], right: list[int] | None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two lists of members, or within one."""
+def links_of(ids: list[int], sets: list[np.ndarray], left: list[int], right: list[int] | None, groups: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of members, or within one; members of a group count as connected."""
     sizes = np.array([len(s) for s in sets])
     bits = np.stack([np.packbits((np.bincount((s & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
-    parent = list(range(len(ids)))
+    head: dict[int, int] = {}
+    parent = [head.setdefault(g, n) for n, g in enumerate(groups)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -209,6 +217,77 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
     return each.where(room > 0).select("cls", F.explode(F.slice("words", F.lit(1), room)).alias("w")).select("cls", F.col("w.word").alias("word")).distinct()
 
 
+def _links(members: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between the sets of members(root, cls, packed, members): enough of them to connect what is connected.
+
+    members counts a root's classes. Families of one block are compared as they are.
+    """
+    sized_ = members.withColumn("large", F.col("members") > block)
+    large = sized_.where("large")
+    if large.isEmpty():
+        return _blocks(sized_.withColumns({"core": F.lit(False), "group": F.col("cls"), "own": F.lit(0), "others": F.lit(1)}), block)
+    first = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("cls"), "cls"))
+    chosen = large.select("root", "cls").withColumn("place", first).where(F.col("place") <= PIVOTS).select("cls")
+    pivots = materialise(large.join(chosen, "cls").select("root", F.col("cls").alias("pivot"), F.col("packed").alias("pivot_set")), "pivots")
+    bytes_ = pivots.agg(F.sum(F.length("pivot_set"))).first()[0] or 0
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(LINK)
+        for cls, packed, pivot, pivot_set in rows_of(batches, "cls", "packed", "pivot", "pivot_set"):
+            if cls != pivot and similar(np.frombuffer(expand(packed), np.uint64), np.frombuffer(expand(pivot_set), np.uint64)):
+                out.add(cls, pivot)
+            yield from out.ready()
+        yield from out.ready(force=True)
+
+    star = large.join(F.broadcast(pivots) if bytes_ <= BROADCAST_BYTES else pivots, "root").select("cls", "packed", "pivot", "pivot_set").mapInArrow(near, "a long, b long")
+    star = materialise(star, "star-links")
+    grouped = large.join(components(star).select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    grouped = materialise(grouped, "family-groups")
+    sizes = grouped.groupBy("root", "group").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("root").agg(F.max_by("group", "n").alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    per = per.where(F.col("all") > F.col("most")).select("root", F.col("largest"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("others"))
+    rest = join_one(grouped, per, "root", "inner").withColumn("core", F.col("group") == F.col("largest")).drop("largest")
+    rest = rest.withColumn("own", F.when(F.col("core"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("cls"), F.col("others")).cast("int")))
+    little = sized_.where("not large").withColumns({"core": F.lit(False), "group": F.col("cls"), "own": F.lit(0), "others": F.lit(1)})
+    return star.unionByName(_blocks(little.unionByName(rest.select(little.columns)), block))
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """Links between members(root, cls, packed, core, group, own, others) of different groups, by pairs of blocks.
+
+    A root has `others` blocks of members outside its core; own is a member's block. The core is dealt to as many parts as it
+    needs, and each part meets every block; so what is sent grows with the core's size times the number of those blocks.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(pa.schema([("root", pa.int64()), ("cls", pa.int64()), ("group", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("packed", pa.binary())]), 256)
+        for root, cls, group, core, own, others, n, packed in rows_of(batches, "root", "cls", "group", "core", "own", "others", "members", "packed"):
+            part = -1 - cls % max(1, n // block)
+            for other in range(others):
+                if core:
+                    out.add(root, cls, group, part, other, part, packed)
+                else:
+                    out.add(root, cls, group, min(own, other), max(own, other), own, packed)
+                yield from out.ready()
+            if not core and n > block:
+                for part in range(-1, -1 - max(1, n // block), -1):
+                    out.add(root, cls, group, part, own, own, packed)
+                    yield from out.ready()
+        yield from out.ready(force=True)
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows = {c: (o, g, p) for c, o, g, p in zip(*(table.column(n).to_pylist() for n in ("cls", "own", "group", "packed")), strict=True)}
+        ids = sorted(rows)
+        sets = [np.frombuffer(expand(rows[c][2]), np.uint64) for c in ids]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = ([n for n, c in enumerate(ids) if rows[c][0] == b] for b in (i, j))
+        found = links_of(ids, sets, left, None if i == j else right, [rows[c][1] for c in ids])
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    sent = members.select("root", "cls", "group", "core", "own", "others", "members", "packed").mapInArrow(send, "root long, cls long, group long, i int, j int, own int, packed binary")
+    return sent.groupBy("root", "i", "j").applyInArrow(solve, "a long, b long")
+
+
 def join(docs: DataFrame, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, cls (the key of its set), th and root (the key of its component) for each row of `docs(doc_id, text)`."""
     spark = docs.sparkSession
@@ -219,46 +298,34 @@ def join(docs: DataFrame, block: int = 256) -> DataFrame:
     leaders = kept.groupBy("word").agg(F.min("cls").alias("leader"))
     family = components(kept.join(leaders, "word").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct())
     sizes = family.groupBy("root").agg(F.count("*").alias("members"))
-    members = family.join(sizes, "root").select(F.col("node").alias("cls"), "root", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    members = join_one(family, sizes, "root", "inner").select(F.col("node").alias("cls"), "root", "members")
     texts = every.where("cls is not null").groupBy("cls").agg(F.min("th").alias("th"))
-    wanted = materialise(members.join(texts, "cls").select("th", "cls", "root", "blocks"), "family-members")
+    wanted = materialise(members.join(texts, "cls").select("th", "cls", "root", "members"), "family-members")
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    chosen = docs.select("text").withColumn("th", F.xxhash64("text")).where("text is not null").join(F.broadcast(wanted) if small else wanted, "th").select("text", "cls", "root", "blocks")
+    chosen = docs.select("text").withColumn("th", F.xxhash64("text")).where("text is not null").join(F.broadcast(wanted) if small else wanted, "th").select("text", "cls", "root", "members")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(pa.schema([("root", pa.int64()), ("cls", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("packed", pa.binary())]), 256)
+        out = Out(pa.schema([("root", pa.int64()), ("cls", pa.int64()), ("members", pa.int64()), ("packed", pa.binary())]), 256)
         seen: set[int] = set()  # repeated texts of this task
-        for rows in sized(rows_of(batches, "text", "cls", "root", "blocks"), lambda r: len(r[0]), SLICE_CHARS):
+        for rows in sized(rows_of(batches, "text", "cls", "root", "members"), lambda r: len(r[0]), SLICE_CHARS):
             fresh = list({r[1]: r for r in rows if r[1] not in seen}.values())
             seen.update(r[1] for r in fresh)
-            for (_, cls, root, blocks), s in zip(fresh, shingle_sets([r[0] for r in fresh]), strict=True):
-                if class_of(s) != cls:
-                    continue  # another text with the same hash
-                own = cls % blocks
-                packed = squeeze(s.tobytes())
-                for other in range(blocks):
-                    out.add(root, cls, min(own, other), max(own, other), own, packed)
+            for (_, cls, root, n), s in zip(fresh, shingle_sets([r[0] for r in fresh]), strict=True):
+                if class_of(s) == cls:  # else another text with the same hash
+                    out.add(root, cls, n, squeeze(s.tobytes()))
                     yield from out.ready()
             if len(seen) > 1_000_000:
                 seen.clear()
         yield from out.ready(force=True)
 
-    def solve(table: pa.Table) -> pa.Table:
-        rows = {c: (o, p) for c, o, p in zip(*(table.column(n).to_pylist() for n in ("cls", "own", "packed")), strict=True)}
-        ids = sorted(rows)
-        sets = [np.frombuffer(expand(rows[c][1]), np.uint64) for c in ids]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = ([n for n, c in enumerate(ids) if rows[c][0] == b] for b in (i, j))
-        found = links_of(ids, sets, left, None if i == j else right)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    links = chosen.mapInArrow(load, "root long, cls long, i int, j int, own int, packed binary").groupBy("root", "i", "j").applyInArrow(solve, "a long, b long")
-    roots = components(links)
+    loaded = chosen.mapInArrow(load, "root long, cls long, members long, packed binary")
+    loaded = materialise(loaded.dropDuplicates(["cls"]), "family-sets")
+    roots = components(_links(loaded, block))
     per_class = every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
-    linked = per_class.join(roots, per_class.cls == roots.node, "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
+    linked = materialise(per_class.join(roots, per_class.cls == roots.node, "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root")), "linked")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("component"))
-    resolved = linked.join(lowest, "root").select("cls", "component", "root")
-    return every.join(resolved, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", "th", "root")
+    resolved = join_one(linked, lowest, "root", "inner").select("cls", "component", "root")
+    return join_one(every, resolved, "cls").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", "th", "root")
 
 
 def keep_one(docs: DataFrame, block: int = 256) -> DataFrame:
@@ -268,7 +335,7 @@ def keep_one(docs: DataFrame, block: int = 256) -> DataFrame:
     """
     found = materialise(join(docs, block), "near-duplicates")
     first = found.where("cls is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k")).select("root", F.col("k.doc_id").alias("keep_id"), F.col("k.th").alias("keep_th"))
-    judged = found.where("cls is not null").join(first, "root")
+    judged = join_one(found.where("cls is not null"), first, "root", "inner")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))
     dropped = materialise(judged.where(~stays).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t")).distinct(), "dropped")
     repeated = materialise(judged.where(stays).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__t")).count().where("count > 1").drop("count"), "repeated")

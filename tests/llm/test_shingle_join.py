@@ -69,3 +69,26 @@ def test_distance_bound():
             if t == u < 1000:
                 assert len(np.setdiff1d(x, y)) <= len(np.setxor1d(a, b))
 
+
+
+def test_large_family_costs_its_rest(spark):
+    """A family of copies around one text: a comparison a member with each pivot, and none between blocks."""
+    rows = list(enumerate(variants(5, 200, 120, 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(1, shingle_join.class_of(s), len(rows), shingle_join.squeeze(s.tobytes())) for s in shingle_join.shingle_sets([t for _, t in rows])]
+    sets = list({s[1]: s for s in sets}.values())
+    members = spark.createDataFrame(sets, "root long, cls long, members long, packed binary")
+    links = shingle_join._links(members, 8).collect()
+    assert len(links) <= shingle_join.PIVOTS * len(sets)
+    assert {r.component_id for r in shingle_join.join(df, block=8).collect()} == {0}
+
+
+def test_hot_keys(spark, monkeypatch):
+    from proofline.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    rows = [(i, "one two three four five six seven eight nine ten " + ("x" if i % 9 else f"y{i}")) for i in range(200)] + [(500 + i, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in shingle_join.join(df).collect())
+    assert got == brute(rows)
+    assert sorted(r.doc_id for r in shingle_join.keep_one(df).collect()) == sorted({c for _, n, c in ((d, n, int(c)) for d, n, c in brute(rows)) if n} | {500 + i for i in range(9)})
