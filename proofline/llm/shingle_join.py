@@ -44,6 +44,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_ROWS = 500_000  # of 24 bytes
 BROADCAST_BYTES = 48 << 20
 PIVOTS = 4
+BUCKET_SHINGLES = 2_000_000  # words of so many shingles meet in one bucket
 DEALT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SHARED = pa.schema([("cls", pa.int64()), ("scheme", pa.int32()), ("need", pa.int32()), ("total", pa.int32()), ("word", pa.int64()), ("classes", pa.int32())])
@@ -290,10 +291,9 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 
 def join(docs: DataFrame, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, cls (the key of its set), th and root (the key of its component) for each row of `docs(doc_id, text)`."""
-    spark = docs.sparkSession
-    parts = max(1, buckets(spark) // 2)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = classes(docs)
+    parts = max(1, buckets(docs.sparkSession) // 2, -(-(every.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES))
     kept = materialise(candidates(docs, parts), "kept-words")
     leaders = kept.groupBy("word").agg(F.min("cls").alias("leader"))
     family = components(kept.join(leaders, "word").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct())
