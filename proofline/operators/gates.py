@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.operators.skew import numbered
+
 
 def repeated_ids(tables: list[DataFrame], id_: str = "id") -> DataFrame:
     """Ids that occur more than once over all tables: id, n."""
@@ -89,7 +91,5 @@ def conventions(parameters: DataFrame, rules: DataFrame) -> DataFrame:
 
 def stated_assumptions(hints: DataFrame) -> DataFrame:
     """hints(text, affects array, ord): one per exact text with the union of what it affects, numbered as first seen."""
-    from pyspark.sql import Window
-
     each = hints.groupBy("text").agg(F.min("ord").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("affects")))).alias("affects"))
-    return each.withColumn("number", F.row_number().over(Window.orderBy("at"))).drop("at")
+    return numbered(each, "at").drop("at")

@@ -124,16 +124,53 @@ def similar_names(names: DataFrame) -> DataFrame:
     return both.where("n = 2").drop("n")
 
 
-def columns(links: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(node, column): the longest path from a node without predecessors, in a graph without cycles (`most` bounds the rounds)."""
+def without_loops(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """links(a, b) without those that close a loop in a walk in depth from the nodes that nothing feeds, in the order of names.
+
+    The walk depends on the order, so it runs inside connected blocks; a block must fit one task.
+    """
+    plain = links.select("a", "b").distinct()
+    blocks = components(plain).select("node", "root")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        for a, b in rows[["a", "b"]].itertuples(index=False):
+            after.setdefault(a, []).append(b)
+        fed, every = set(rows["b"]), sorted(set(rows["a"]) | set(rows["b"]))
+        done: dict = {}  # False while a node is on the way, True after it
+        kept = []
+        for start in [*(n for n in every if n not in fed), *(n for n in every if n in fed)]:
+            if start in done:
+                continue
+            done[start] = False
+            way = [(start, iter(sorted(after.get(start, []))))]
+            while way:
+                node, rest = way[-1]
+                nxt = next(rest, None)
+                if nxt is None:
+                    done[node] = True
+                    way.pop()
+                elif done.get(nxt) is not False:
+                    kept.append((node, nxt))
+                    if nxt not in done:
+                        done[nxt] = False
+                        way.append((nxt, iter(sorted(after.get(nxt, [])))))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype=object)
+
+    types = dict(plain.dtypes)
+    return plain.join(blocks, plain.a == blocks.node).select("root", "a", "b").groupBy("root").applyInPandas(run, f"a {types['a']}, b {types['b']}")
+
+
+def columns(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, column): the longest path from a node without predecessors; links that close a loop are left out first."""
+    links = materialise(without_loops(links, nodes), "acyclic")
     now = nodes.select("node", F.lit(0).alias("column"))
-    for _ in range(most):
+    while True:
         pushed = links.join(now, links.a == now.node).groupBy("b").agg((F.max("column") + 1).alias("next"))
         new = materialise(now.join(pushed, now.node == pushed.b, "left").select("node", F.greatest("column", F.coalesce("next", F.lit(0))).alias("column"), F.col("column").alias("old")), "columns")
         now = new.select("node", "column")
         if new.where("column <> old").isEmpty():
             return now
-    raise ValueError("the graph has a cycle or a longer path")
 
 
 def rows_in_columns(links: DataFrame, placed: DataFrame) -> DataFrame:

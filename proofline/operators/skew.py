@@ -1,8 +1,8 @@
-"""Joins whose key may hold a large share of all rows."""
+"""Joins whose key may hold a large share of all rows, and numbering of all rows without bringing them to one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.storage import materialise
@@ -25,3 +25,13 @@ def join_one(rows: DataFrame, table: DataFrame, key: str, how: str = "left") ->
     small = F.broadcast(table.join(F.broadcast(heavy), key, "left_semi"))
     usual = rows.join(F.broadcast(heavy), key, "left_anti").join(table, key, how)
     return rows.join(F.broadcast(heavy), key, "left_semi").join(small, key, how).unionByName(usual)
+
+
+def numbered(rows: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """`rows` numbered from 1 in the order of a column whose values differ: sorted ranges, each with the rows of those before."""
+    at = F.col(order)
+    ranges = materialise(rows.repartitionByRange(at).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("__p").agg(F.count("*").alias("__n"))  # a row a partition
+    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(at))
+    return ranges.withColumn("__i", own).join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__before")).drop("__p", "__i", "__before")

@@ -20,6 +20,17 @@ SCHEMAS = {
     "connections": f"id string, from_port string, to_port string, medium_or_signal string, assumption_ids array<string>, trace array<{TRACE}>",
     "parameters": f"id string, owner string, name string, value array<double>, is_list boolean, unit string, status string, authority string, assumption_ids array<string>, trace array<{TRACE}>",
     "requirements": f"id string, text string, status string, superseded_by string, satisfied_by array<string>, trace array<{TRACE}>",
+    "criteria": f"id string, tags array<string>, text string, mode string, condition string, start_s double, end_s double, reason string, trace array<{TRACE}>",
+    "machines": f"id string, owner string, initial string, assumption_ids array<string>, trace array<{TRACE}>",
+    "states": "machine string, ord int, state string, name string, tags array<string>, actions array<string>, outputs array<struct<port:string,value:string>>",
+    "transitions": "machine string, id string, from_state string, to_state string, trigger string, guard string, actions array<string>, priority int",
+    "events": "machine string, event string, port string, edge string",
+    "timers": "machine string, timer string, duration string",
+    "regions": "machine string, id string, name string, states array<string>, initial string",
+    "assumptions": f"id string, text string, basis string, affects array<string>, confidence double, trace array<{TRACE}>",
+    "questions": "id string, text string, options array<string>, default_if_unanswered string, affects array<string>, answer string",
+    "conflicts": "id string, subject string, field string, resolution string, rationale string",
+    "candidates": "id string, value string, source_id string, rank int, element string",
     "replies": "model string, schema string, response string",
 }
 
@@ -115,6 +126,19 @@ def settings(defaults: dict, environ: dict[str, str], file: str | None = None, p
     return out
 
 
+def load_run(spark: SparkSession, folder: str, wanted: list[str]) -> DataFrame:
+    """(name, state, reason, text) of the artefacts of a run folder: loaded, missing, or invalid JSON. A name may be a folder of parts."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    text = F.decode("content", "utf-8")
+    name = F.coalesce(*(F.when(F.col("path").contains(f"/{n}"), n) for n in wanted))
+    held = files.withColumn("name", name).where("name is not null and length > 0").groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", text.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    asked = spark.createDataFrame([(n,) for n in wanted], "name string").join(held, "name", "left")
+    bad = F.col("name").endswith(".json") & F.call_function("try_parse_json", F.col("text")).isNull()
+    state = F.when(F.col("text").isNull(), "missing").when(bad, "invalid").otherwise("loaded")
+    reason = F.when(F.col("text").isNull(), "not written by this run").when(bad, "not valid JSON")
+    return asked.select("name", state.alias("state"), reason.alias("reason"), F.when(state == "loaded", F.col("text")).alias("text"))
+
+
 def artefacts(found: list[tuple[str, str | None, str | None]], wanted: list[str], spark: SparkSession) -> DataFrame:
     """(name, state, reason) of a run's files: loaded, missing or invalid."""
     known = {n: (s, r) for n, s, r in found}
