@@ -53,8 +53,29 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7, which SQL can express."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op4's base patterns, which SQL can express."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+WORD = "[^\\x20\\x09-\\x0D]"
 LOWER = ("".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))
 SQL = {
+    "base_quality_counts": f"""
+        with w as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{WORD}+') ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{WORD}')) ls from documents),
+             g as (select doc_id, unnest(range(1, len(ws) - 1)) i, unnest([ws[i:i + 2] for i in range(1, len(ws) - 1)]) x from w),
+             r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, x) n from g) where n > 1),
+             c as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from r) group by 1)
+        select w.doc_id, len(ws) as n_words, coalesce(list_sum([length(x) for x in ws]), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+               coalesce(n, 0) as n_repeat_words, len(ws) < 50 or 100 * coalesce(n, 0) > 50 * len(ws) as base_failed from w left join c on c.doc_id = w.doc_id""",
+    "base_secret_counts": r"""
+        select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) as n_assign,
+               len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) as n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) as n_hex from documents""",
     "op3_warc": """
         with d as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) x from pages),
              b as (select *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1 as int), 1) for i in range(32)], '') digest,
@@ -79,7 +100,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "base_")) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
