@@ -57,6 +57,21 @@ def evaluate(run: DataFrame, mode: str, condition: str, names: dict[str, str], s
     return found.select("series", F.when(unchecked, "NOT CHECKED").otherwise(verdict).alias("status"), F.when(unchecked, 0).otherwise(samples).cast("long").alias("samples"), F.when(~unchecked, when).alias("at"), F.when(unchecked, reason).alias("reason"))
 
 
+def results(criteria: DataFrame, evaluated: DataFrame, stopped_by: str | None = None, not_run: str | None = None) -> DataFrame:
+    """One result a criterion of criteria(id, checkable, reason), by evaluated(id, status, reason) where it was evaluated.
+
+    stopped_by is the message of the assertion that ended the run: a criterion that it begins with (`id:`) has failed. not_run
+    says why there is no run at all. What has no check is not checked, for its stated reason.
+    """
+    j = criteria.select("id", "checkable", F.col("reason").alias("stated")).join(evaluated.select("id", F.col("status").alias("found"), F.col("reason").alias("why")), "id", "left")
+    failed = F.lit(stopped_by).startswith(F.concat(F.col("id").cast("string"), F.lit(":"))) if stopped_by else F.lit(False)
+    none = F.lit(not_run is not None) | F.col("found").isNull()
+    status = F.when(failed, "FAIL").when(~F.col("checkable") | none, "NOT CHECKED").otherwise(F.col("found"))
+    missing = F.lit(f"not evaluated: {not_run or 'there is no simulation result'}")
+    reason = F.when(failed, F.lit(stopped_by)).when(~F.col("checkable"), F.coalesce("stated", F.lit("no machine-checkable form"))).when(none, missing).otherwise(F.col("why"))
+    return j.select("id", status.alias("status"), reason.alias("reason"))
+
+
 def overall(statuses: DataFrame, ran: Column) -> DataFrame:
     """One verdict per run of statuses(run, status): FAIL wins, then NOT RUN, PASS only if something passed, else NOT CHECKED."""
     found = statuses.groupBy("run").agg(F.bool_or(F.col("status") == "FAIL").alias("failed"), F.bool_or(F.col("status") == "PASS").alias("passed"), F.bool_and(ran).alias("ran"))

@@ -180,6 +180,14 @@ def rows_in_columns(links: DataFrame, placed: DataFrame) -> DataFrame:
     return placed.join(mean, placed.node == mean.b, "left").select("node", "column", F.row_number().over(Window.partitionBy("column").orderBy(F.asc_nulls_last("mean"), "node")).alias("row"))
 
 
-def icon_place(n: Column, of: Column) -> Column:
-    """Even places along a side from -1 to 1."""
-    return 1.0 - 2.0 * n / (of + 1)
+def icon_positions(ports: DataFrame) -> DataFrame:
+    """ports(part, port, direction, ord) with side (right for outputs, else left) and y, even along the side in their order."""
+    side = F.when(F.col("direction") == "out", "right").otherwise("left")
+    w = Window.partitionBy("part", "side")
+    placed = ports.withColumn("side", side).withColumn("n", F.row_number().over(w.orderBy("ord"))).withColumn("of", F.count("*").over(w))
+    return placed.withColumn("y", icon_place(F.col("n"), F.col("of"))).drop("n", "of")
+
+
+def icon_place(n: Column, of: Column, size: int = 100) -> Column:
+    """Even places along a side from size to -size, in whole steps."""
+    return F.rint(size - 2 * size * (n - 0.5) / of)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from proofline.operators import honesty, matching
+from proofline.operators import acceptance, graph, honesty, matching
 from proofline.plans.registry import query
 
 
@@ -314,3 +314,19 @@ def declared_defaults(t):
 def summary_lines(t):
     parts = t.part.select(F.concat(F.lit("p"), text("p_partkey")).alias("id"), F.col("p_type").alias("kind"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("class"))
     return honesty.summary_lines(parts, t.orders.select(F.concat(F.lit("o"), text("o_orderkey")).alias("id"), F.concat(F.lit("c"), text("o_custkey")).alias("from_port"), F.col("o_orderstatus").alias("to_port")))
+
+
+@query("""select o_orderkey as id, case when o_orderkey = 77 then 'FAIL' when o_orderkey % 3 = 0 or o_orderkey % 7 = 0 then 'NOT CHECKED' when o_orderstatus = 'F' then 'PASS' else 'FAIL' end as status,
+                 case when o_orderkey = 77 then '77: level too high' when o_orderkey % 3 = 0 then coalesce(case when o_orderkey % 2 = 0 then o_orderpriority end, 'no machine-checkable form') when o_orderkey % 7 = 0 then 'not evaluated: there is no simulation result' else o_orderstatus end as reason from orders""")
+def criteria_results(t):
+    k = F.col("o_orderkey")
+    criteria = t.orders.select(k.alias("id"), (k % 3 != 0).alias("checkable"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("reason"))
+    evaluated = t.orders.where("o_orderkey % 7 <> 0").select(k.alias("id"), F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("FAIL").alias("status"), F.col("o_orderstatus").alias("reason"))
+    return acceptance.results(criteria, evaluated, "77: level too high")
+
+
+@query("""with p as (select s_nationkey part, s_suppkey port, case when s_suppkey % 3 = 0 then 'left' else 'right' end side from supplier)
+          select part, port, side, round_even(100 - 200 * (row_number() over (partition by part, side order by port) - 0.5) / count(*) over (partition by part, side), 0)::double as y from p""")
+def icon_positions(t):
+    ports = t.supplier.select(F.col("s_nationkey").alias("part"), F.col("s_suppkey").alias("port"), F.when(F.col("s_suppkey") % 3 == 0, "in").otherwise("out").alias("direction"), F.col("s_suppkey").alias("ord"))
+    return graph.icon_positions(ports).select("part", "port", "side", "y")
