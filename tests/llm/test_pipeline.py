@@ -2,14 +2,14 @@
 
 from collections import Counter, defaultdict
 
-import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from proofline.llm import quality_rules, secrets, substring_dedup
+from proofline.llm import quality_rules, secrets
 from proofline.llm._common import materialise
+from tests.llm.test_passages import brute as passages
 from tests.llm.test_shingle_join import brute, variants
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,15 +36,7 @@ def test_stages(spark, sf):
     assert len(rows[2]) == len({c for _, n, c in component if n} - {"None"}) + sum(c == "None" for _, n, c in component if n) + sum(n == 0 for _, n, _ in component)
     assert Counter(rows[2]) <= Counter(rows[1]) and sum(r[0] in range(5000, 5007) for r in rows[2]) == len({c for d, _, c in component if d.isdigit() and 5000 <= int(d) < 5007})
 
-    seen, want = {}, {}
-    for d, t, *_ in sorted(rows[2], key=lambda r: (r[0] is not None, r[0] or 0)):
-        b, gone = t.encode(), np.zeros(len(t.encode()), bool)
-        for p in range(len(b) - 399):
-            if seen.setdefault(b[p : p + 400], (d, p)) != (d, p):
-                gone[p : p + 400] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]]))).reshape(-1, 2)
-        runs = [substring_dedup.inside_characters(b, int(x), int(y)) for x, y in edges]
-        want[d] = substring_dedup._kept(b, np.array(runs, int).reshape(-1, 2)).decode()
+    want, _ = passages([r[:2] for r in rows[2]])
     assert {r[0]: r[1] for r in rows[3]} == want and all(r[4] == len(r[1]) for r in rows[3]) and len(rows[3]) == len(rows[2])
 
     for before, after in zip(sorted(rows[3], key=str), sorted(rows[4], key=str), strict=True):
