@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm._common import Out, rows_of
-from proofline.llm.vocab import codec, resolve
+from proofline.llm.vocab import HELD, codec, resolve
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -45,13 +45,15 @@ def cuts(tokens: int, capacity: int, waste: float) -> list[tuple[int, int, int]]
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, waste: float = 0.02, keep_ids: bool = False) -> DataFrame:
-    """Pack `docs(doc_id, text)`: one row per piece, with its ids as little-endian unsigned 32-bit bytes if keep_ids."""
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, waste: float = 0.02, keep_ids: bool = False, cached: int = HELD) -> DataFrame:
+    """Pack `docs(doc_id, text)`: one row per piece, with its ids as little-endian unsigned 32-bit bytes if keep_ids.
+
+    cached: how many words a worker caches."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, base, made = codec(resolve(vocabulary)), TaskContext.get().partitionId() << 32, 0
+        ids_of, base, made = codec(resolve(vocabulary), cached), TaskContext.get().partitionId() << 32, 0
         end, out = end_id.to_bytes(4, "little"), Out(PIECES)
         open_: dict[int, list[tuple]] = {}
 

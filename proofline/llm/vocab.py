@@ -26,6 +26,7 @@ INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"[^\S \n]|\0")
 LETTERS = re.compile(rf"[{LETTER}]+")
 SIMPLE = re.compile(rf"( ?[{LETTER}]+)([.,;:!?]*)")
+HELD = 400_000  # chunks of a generation of the cache, some 200 bytes each
 END = b"\xff"  # stands for the end of a word; no UTF-8 text holds it
 
 
@@ -46,7 +47,7 @@ def _byte_letters() -> dict[str, int]:
 class Codec:
     """ids(chunk) as little-endian unsigned 32-bit bytes, from a cache of two generations of at most `held` chunks."""
 
-    def __init__(self, path: str, held: int = 80_000):
+    def __init__(self, path: str, held: int = HELD):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -122,9 +123,9 @@ def spaced(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
+def codec(path: str, held: int = HELD) -> Codec:
     """One codec a worker process and file."""
-    return Codec(path)
+    return Codec(path, held)
 
 
 def public_path(name: str) -> str:
