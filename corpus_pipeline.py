@@ -14,6 +14,7 @@ from proofline.llm._common import documents, materialise, table
 
 ORACLE_SQL = None
 WORDS = 51
+CACHED_WORDS = 80_000  # workers of earlier stages still hold memory
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 4096 tokens."""
-    return packing.pack(docs, "word_bpe_49k.json").drop("ids")
+    return packing.pack(docs, "word_bpe_49k.json", cached=CACHED_WORDS).drop("ids")
 
 
 def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
