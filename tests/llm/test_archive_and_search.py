@@ -33,6 +33,21 @@ def test_warc(spark, sf):
     assert {r[0] for r in warc.read(warc.write(pages, min_bytes=10**9)).select("record_type").collect()} == {"response"}
 
 
+def test_warc_hot_payloads(spark, monkeypatch):
+    """One payload with most rows, rows without ids among them, and rows that are wholly equal: each is written once, one as response."""
+    monkeypatch.setattr(warc.skew, "LEAST", 5)
+    monkeypatch.setattr(warc, "REPEATS", 7)
+    rows = [(i, f"u{i}", "hot") for i in range(40)] + [(None, None, "hot")] * 9 + [(39, "u39", "hot")] * 30 + [(39, "other", "hot")] + [(None, "x", "bare")] * 16 + [(7, None, "cold")] * 2 + [(8, "y", "one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as sha", "2 as first").repartition(5)
+    index = warc.write(df)
+    got = warc.read(index, keep_payload=True).collect()
+    assert Counter((r.page_id, r.url) for r in got) == Counter((i, u) for i, u, _ in rows)
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload) for r in got if r.record_type == "response") == [(False, 7, b"cold"), (False, 8, b"one"), (False, 39, b"hot"), (True, 0, b"bare")]
+    assert all(r.refers_to == (39 if r.payload_bytes == 3 else None if r.page_id is None else 7) for r in got if r.record_type == "revisit")
+    every = warc.write(df, min_bytes=4)
+    assert warc.read(every).where("record_type = 'response'").count() == sum(h in ("hot", "one") for _, _, h in rows) + 2
+
+
 def test_ranges():
     assert [(a, b, len(p)) for a, b, p in warc.ranges([(0, 10), (10, 10), (100, 5), (1000, 9)], gap=80, most=500)] == [(0, 105, 3), (1000, 1009, 1)]
 
