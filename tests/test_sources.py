@@ -44,6 +44,39 @@ def test_readers():
         assert read[p][1] == "unread" and read[p][2]
 
 
+def pdf_of(*objects):
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects) + b"trailer << /Root 1 0 R /Info 20 0 R >>\n"
+
+
+def stream(data, head=b"", squeeze=True):
+    return b"<< /Length %d %s %s >>\nstream\n%s\nendstream" % (len(data), head, b"/Filter /FlateDecode" if squeeze else b"", zlib.compress(data) if squeeze else data)
+
+
+def test_pdf():
+    """Pages in the order of the tree, fonts with maps of their own, objects in streams, a damaged page, one without text."""
+    cmap = b"2 beginbfchar <0001> <0048> <0002> <00E9> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange 1 beginbfrange <0020> <0021> [<0066> <00660069>] endbfrange"
+    inner = [(10, b"<< /Type /Page /Contents [11 0 R 12 0 R] /Resources << /Font << /F1 13 0 R >> >> >>"), (13, b"<< /Subtype /Type0 /ToUnicode 14 0 R >>")]
+    at, starts = 0, []
+    for _, o in inner:
+        starts.append(at)
+        at += len(o) + 1
+    header = b" ".join(b"%d %d" % (n, a) for (n, _), a in zip(inner, starts, strict=True)) + b" "
+    data = pdf_of(
+        (1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [10 0 R 3 0 R 4 0 R 5 0 R 2 0 R] /Resources << /Font << /F2 15 0 R >> >> >>"), (3, b"<< /Type /Page /Contents 16 0 R >>"),
+        (4, b"<< /Type /Page /Contents 17 0 R >>"), (5, b"<< /Type /Page /Contents 18 0 R >>"),
+        (9, stream(header + b" ".join(o for _, o in inner), b"/Type /ObjStm /N 2 /First %d" % len(header))),
+        (11, stream(b"BT /F1 12 Tf 1 0 0 1 50 700 Tm <00010002> Tj 1 0 0 1 90 700 Tm [<0010> -20 <0011> -400 <0020 0021>] TJ")), (12, stream(b"0 -14 Td <0012> Tj ET", squeeze=False)), (14, stream(cmap)), (15, b"<< /Subtype /Type1 >>"),
+        (16, stream(b"BT /F2 9 Tf (1. Scope \\(a\\051) Tj T* (more) Tj T* (AC-01 - an item) Tj 30 0 Td (cell) ' ET")), (17, b"<< /Filter /FlateDecode >>\nstream\nnot deflate\nendstream"), (18, stream(b"0 0 m 9 9 l S")),
+        (20, b"<< /Title <FEFF0041002000E9> >>"),
+    )
+    fmt, status, reason, title, chunks = R.read_one("a.pdf", data)
+    assert (fmt, status, reason, title) == ("pdf", "partial", "2 pages without text", "A é")
+    assert [c[:2] for c in chunks[:3]] == [("page 1, lines 1-2", "Hé ab ffi\nc"), ("page 2, lines 1-2", "1. Scope (a)\nmore"), ("page 2, lines 3-4", "AC-01 - an item\ncell")]
+    assert [(c[0], c[2]) for c in chunks[3:]] == [("page 3", "problem"), ("page 4", "problem")] and chunks[4][1] == "no text"
+    assert R.read_one("a.pdf", data.replace(b"trailer <<", b"trailer << /Encrypt 30 0 R"))[1:3] == ("unread", "encrypted")
+    assert R.read_one("a.pdf", b"%PDF-1.4\n")[1:3] == ("unread", "no text layer")
+
+
 def test_csv_profile():
     fmt, status, _, _, chunks = R.read_one("d.csv", "﻿time_s,level,state\n0,1.5,on\n10,2,off\n\n20,,on,x\n".encode())
     said = [c[1] for c in chunks]
