@@ -9,6 +9,7 @@ from proofline.functions.text import make_id, mentions, name_key
 from proofline.functions.units import to_si
 from proofline.operators.graph import components
 from proofline.operators.precedence import rank_of
+from proofline.storage import materialise
 
 # The order in which roles are read; headers that name a row's quantity, best first; domains of signals.
 ROLE_ORDER = (
@@ -130,7 +131,7 @@ def resolve_connections(fragments: DataFrame, names: DataFrame, parts: DataFrame
         .when(F.col("none") & (F.size("pairs") == 0), "no port pair with matching domains").when(F.col("none") & (F.size("pairs") > 1), "ambiguous ports")
         .when(~F.col("none") & (F.size("signals") == 0), "no signal port").when(~F.col("none") & (F.size("signals") > 1), "ambiguous ports")
     )
-    j = j.withColumn("reason", reason)
+    j = materialise(j.withColumn("reason", reason).drop("from_tag", "to_tag", "from_role", "to_role", "a", "b"), "fragments")  # read by all that follows
 
     def port(part: str, role: Column) -> Column:
         return F.concat_ws("_", F.col(part), role)
