@@ -70,3 +70,33 @@ def test_ranking_edges(spark, model):
     assert len(rows) == 4 and {r.score for r in rows} == {0.5} and not [r for r in rows if r.doc_id is None][0].held_out
     x = ranking.features([None, "", "a", "b c\nd", "z" * 1000])
     assert x.shape[0] == 5 and np.isfinite(x).all()
+
+
+def test_bradley_terry_against_the_full_likelihood():
+    """The weights against Newton's solution over all pairs, the cut against the quantile, the slope against a fine grid."""
+    rng = np.random.default_rng(3)
+    y = np.repeat([1, 0], [50, 70])
+    x = rng.normal(0, 1, (120, 4)) * [1, 5, 0.1, 2] + np.outer(y, [1.2, -4, 0.05, 0])
+    model = ranking.bradley_terry(x, y, pairs=40_000)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+    w = np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(4), d.T @ p / len(d) - 1e-3 * w)
+    assert model.weights @ w / np.linalg.norm(model.weights) / np.linalg.norm(w) > 0.99 and 0.9 < np.linalg.norm(model.weights) / np.linalg.norm(w) < 1.1
+    strength = z @ model.weights
+    assert model.cut == pytest.approx(np.quantile(strength, 70 / 120))
+    scores = model.score(x)
+    assert (np.argsort(scores, kind="stable") == np.argsort(strength, kind="stable")).all()
+    assert ((scores >= ranking.THRESHOLD) == (strength >= model.cut)).mean() == 1 and (scores >= ranking.THRESHOLD).sum() == 50
+
+
+def test_ranking_scores_whole_texts(spark):
+    """Each row's score is the model's for its own whole text, whatever batch it stands in."""
+    rng = np.random.default_rng(5)
+    texts = [*ODD, "z" * 300_000 + " tail?"]
+    x = ranking.features(texts * 4)
+    model = ranking.bradley_terry(x, rng.integers(0, 2, len(x)), pairs=500, steps=20)
+    got = {r.doc_id: r.score for r in ranking.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), model).collect()}
+    assert len(got) == len(texts) and all(got[i] == pytest.approx(float(model.score(ranking.features([t]))[0])) for i, t in enumerate(texts))

@@ -60,6 +60,22 @@ def test_join(spark, sf, block):
     assert shingle_join.join(df.limit(0)).count() == 0
 
 
+def test_families_of_several_blocks(spark):
+    """At the block size of the query: copies around one text, a chain in which only near members link, and texts with most words in common."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    around = variants(11, 40, 299, 3)
+    chain = [" ".join(words[2 * i : 2 * i + 60]) for i in range(560)]
+    common = " ".join(words[:12])
+    unlike = [" ".join(x for w in words[:12] for x in (w, f"n{i}")) + " " + common for i in range(60)]
+    rows = list(enumerate([*around, *chain, *unlike]))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in shingle_join.join(df).collect())
+    assert got == brute(rows)
+    assert {c for d, _, c in got if 300 <= int(d) < 860} == {"300"}
+
+
 def test_distance_bound():
     rng = np.random.default_rng(1)
     for n in (5, 40, 300, 2000):
