@@ -48,3 +48,9 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one table of the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
