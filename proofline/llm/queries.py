@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, knn, packing, quality_rules, ranking, secrets, shingle_join, sstable, substring_dedup, warc
+from proofline.llm import bpe, centroids, html_text, knn, packing, quality_rules, ranking, secrets, shingle_join, sstable, substring_dedup, warc, whitening
 from proofline.llm._common import documents, table
 
 
@@ -53,16 +53,53 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op7, which SQL can express."""
     return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def base_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of op11's fit list and its exact deviations, which SQL can express."""
+    return op11_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op4's base patterns, which SQL can express."""
     return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
+def lloyd_sql(rounds: int) -> str:
+    """The rounds of op12 one after the other: assignments a, sums s, centroids c."""
+    whole = "len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+    parts = [
+        f"v as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) q from embeddings where {whole})",
+        "c0 as materialized (select cast(row_number() over (order by sha256('2:' || vec_id)) - 1 as integer) c, q from v where vec_id is not null order by c limit 40)",
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} as materialized (select rid, c, d from (select rid, c, cast(list_sum(list_transform(list_zip(v.q, c{n}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) d from v, c{n})
+                qualify row_number() over (partition by rid order by d, c) = 1)"""
+        )
+        parts.append(f"s{n} as (select c, i, sum(x) s, count(*) n from (select c, unnest(range(1, 65)) i, unnest(q) x from a{n} join v using (rid)) group by c, i)")
+        parts.append(f"c{n + 1} as materialized (select c, coalesce(m.q, o.q) q from c{n} o left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) q from s{n} group by c) m using (c))")
+    return f"""
+        with {", ".join(parts)}
+        select vec_id, c as "cluster", d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(q, ',')) as centroid_sha256
+        from a{rounds} join v using (rid) join c{rounds} using (c)"""
+
+
 WORD = "[^\\x20\\x09-\\x0D]"
 LOWER = ("".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))
 SQL = {
@@ -73,6 +110,13 @@ SQL = {
              c as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from r) group by 1)
         select w.doc_id, len(ws) as n_words, coalesce(list_sum([length(x) for x in ws]), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
                coalesce(n, 0) as n_repeat_words, len(ws) < 50 or 100 * coalesce(n, 0) > 50 * len(ws) as base_failed from w left join c on c.doc_id = w.doc_id""",
+    "op12_centroids": lloyd_sql(5),
+    "base_whitening": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) q from embeddings
+                   where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             f as (select distinct q from v), n as (select count(*) n from f),
+             s as (select list(s order by i) s from (select i, cast(sum(x) as bigint) s from (select unnest(range(1, len(q) + 1)) i, unnest(q) x from f) group by i))
+        select vec_id, n, cast(list_sum(list_transform(list_zip(q, s), lambda z: (n * z[1] - z[2]) * (n * z[1] - z[2]))) as bigint) as deviation from v, n, s""",
     "base_secret_counts": r"""
         select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) as n_assign,
                len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) as n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) as n_hex from documents""",
