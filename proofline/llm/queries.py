@@ -96,7 +96,7 @@ def lloyd_sql(rounds: int) -> str:
         parts.append(f"c{n + 1} as materialized (select c, coalesce(m.q, o.q) q from c{n} o left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) q from s{n} group by c) m using (c))")
     return f"""
         with {", ".join(parts)}
-        select vec_id, c as "cluster", d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(q, ',')) as centroid_sha256
+        select vec_id, c as "cluster", d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.q, ',')) as centroid_sha256
         from a{rounds} join v using (rid) join c{rounds} using (c)"""
 
 
