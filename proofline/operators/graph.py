@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.storage import materialise
+from proofline.operators.skew import hot_keys, join_hot, join_one, numbered
+from proofline.storage import materialise, new_path
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,9 +18,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).union(links.select("a", "b").where("a = b")).distinct()
     both = materialise(both, "links")
+    heavy = hot_keys(both, "b")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
+        near = join_hot(both, labels.withColumnRenamed("node", "b"), "b", "inner", heavy).groupBy("a").agg(F.min("root").alias("near"))
         stepped = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         up = labels.select(F.col("node").alias("mid"), F.col("root").alias("up"))
         labels = materialise(stepped.join(up, "mid").select("node", "old", F.least("mid", "up").alias("root")), "labels")
@@ -31,33 +33,44 @@ def components(links: DataFrame) -> DataFrame:
 def components_with_veto(links: DataFrame, formal: str) -> DataFrame:
     """(node, root) where two components that hold different formal tags (nodes that match the pattern `formal`) never join.
 
-    The outcome depends on the order of `links(a, b, ord)`. Links never leave a plain component, so those are the groups
-    in which the ordered union runs.
+    The outcome is that of a union along `links(a, b, ord)` in the order of ord (then of a and b), which skips a link whose
+    ends both hold a tag by then; root is the smallest node. It is found in rounds: a component without a tag surely joins
+    along its first link, for no earlier link touches it and a tag on one side only never forbids. Links between components
+    that both hold a tag go, as tags are never lost. Each round at least halves the components without a tag that have a link.
     """
-    plain = components(links.select("a", "b"))
-    grouped = links.join(plain, links.a == plain.node).select("root", "a", "b", "ord")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        parent: dict[str, str] = {}
-        tag: dict[str, str | None] = {}
-
-        def top(x: str) -> str:
-            if x not in parent:
-                parent[x], tag[x] = x, x if re.search(formal, x) else None
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in rows.sort_values("ord")[["a", "b"]].itertuples(index=False):
-            x, y = sorted((top(a), top(b)))
-            if x != y and not (tag[x] and tag[y]):  # different roots hold different tags
-                parent[y], tag[x] = x, tag[x] or tag[y]
-        return pd.DataFrame({"node": list(parent), "root": [top(n) for n in parent]}, dtype=object)
-
-    return grouped.groupBy("root").applyInPandas(run, "node string, root string")
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    owner = materialise(nodes.select("node", F.col("node").alias("comp")), "components")
+    tagged = {x: F.coalesce(F.col(x).rlike(formal), F.lit(False)) for x in ("a", "b")}
+    open_ = links.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), tagged["a"].alias("tx"), tagged["b"].alias("ty"), F.struct("ord", "a", "b").alias("at"))
+    while True:
+        ends = F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        tags = F.struct(F.when(F.col("x") < F.col("y"), F.col("tx")).otherwise(F.col("ty")).alias("tx"), F.when(F.col("x") < F.col("y"), F.col("ty")).otherwise(F.col("tx")).alias("ty"))
+        open_ = open_.where("x <> y and not (tx and ty)").groupBy(ends.alias("e")).agg(F.first(tags).alias("t"), F.min("at").alias("at")).select("e.x", "e.y", "t.tx", "t.ty", "at")
+        open_ = materialise(open_, "open-links")
+        if open_.isEmpty():
+            break
+        sides = open_.select(F.col("x").alias("c"), F.col("tx").alias("t"), F.col("y").alias("other"), "at").union(open_.select("y", "ty", "x", "at"))
+        first = materialise(sides.groupBy("c").agg(F.first("t").alias("t"), F.min(F.struct("at", "other")).alias("f")).select("c", "t", F.col("f.other").alias("other"), F.col("f.at").alias("at")), "first-links")
+        theirs = first.select(F.col("c").alias("other"), F.col("other").alias("back"), F.col("t").alias("other_t"), F.col("at").alias("back_at"))
+        top = F.col("t") | ((F.col("back") == F.col("c")) & (F.col("back_at") == F.col("at")) & ~F.col("other_t") & (F.col("c") < F.col("other")))
+        up = materialise(first.join(theirs, "other").select("c", F.when(top, F.col("c")).otherwise(F.col("other")).alias("up"), "t"), "pointers")
+        up = pointed(up)
+        owner = materialise(owner.join(up.select(F.col("c").alias("comp"), F.col("up").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "components")
+        for end, tag in (("x", "tx"), ("y", "ty")):
+            to = up.select(F.col("c").alias(end), F.col("up").alias("__to"), F.col("top_t").alias("__t"))
+            open_ = open_.join(to, end).withColumns({end: F.col("__to"), tag: F.col("__t")}).drop("__to", "__t")
+    roots = owner.groupBy("comp").agg(F.min("node").alias("root"))
+    return join_one(owner, roots, "comp").select("node", "root")
+
+
+def pointed(up: DataFrame) -> DataFrame:
+    """Pointers (c, up, t) followed to their tops by doubling: c, up, top_t (the top's t). A top points to itself."""
+    while True:
+        over = up.select(F.col("c").alias("up"), F.col("up").alias("over"), F.col("t").alias("top_t"))
+        new = materialise(up.join(over, "up").select("c", F.col("up").alias("old"), F.col("over").alias("up"), "t", "top_t"), "pointers")
+        if new.where("old <> up").isEmpty():
+            return new.select("c", "up", "top_t")
+        up = new.select("c", "up", "t")
 
 
 def single_drivers(links: DataFrame) -> DataFrame:
@@ -124,13 +137,28 @@ def similar_names(names: DataFrame) -> DataFrame:
     return both.where("n = 2").drop("n")
 
 
-def without_loops(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def before_loops(links: DataFrame) -> DataFrame:
+    """Of distinct links(a, b), those from which a loop can be reached: links into nodes without links out are peeled until none is left."""
+    left, n = links, links.count()
+    while n:
+        left = materialise(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "links")
+        if (now := left.count()) == n:
+            break
+        n = now
+    return left
+
+
+def without_loops(links: DataFrame) -> DataFrame:
     """links(a, b) without those that close a loop in a walk in depth from the nodes that nothing feeds, in the order of names.
 
-    The walk depends on the order, so it runs inside connected blocks; a block must fit one task.
+    The walk depends on the order. What lies behind the last loop cannot change it, so only the loops and the nodes that
+    lead to them are walked, each connected block of these in one task; every other link is kept as it is.
     """
-    plain = links.select("a", "b").distinct()
-    blocks = components(plain).select("node", "root")
+    plain = materialise(links.select("a", "b").distinct(), "links")
+    looped = before_loops(plain)
+    if looped.isEmpty():
+        return plain
+    blocks = components(looped).select("node", "root")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         after: dict = {}
@@ -158,12 +186,17 @@ def without_loops(links: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.DataFrame(kept, columns=["a", "b"], dtype=object)
 
     types = dict(plain.dtypes)
-    return plain.join(blocks, plain.a == blocks.node).select("root", "a", "b").groupBy("root").applyInPandas(run, f"a {types['a']}, b {types['b']}")
+    walked = looped.join(blocks, looped.a == blocks.node).select("root", "a", "b").groupBy("root").applyInPandas(run, f"a {types['a']}, b {types['b']}")
+    return plain.join(looped, ["a", "b"], "left_anti").unionByName(walked)
 
 
 def columns(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, column): the longest path from a node without predecessors; links that close a loop are left out first."""
-    links = materialise(without_loops(links, nodes), "acyclic")
+    return longest_paths(materialise(without_loops(links), "acyclic"), nodes)
+
+
+def longest_paths(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, column) along links(a, b) without loops."""
     now = nodes.select("node", F.lit(0).alias("column"))
     while True:
         pushed = links.join(now, links.a == now.node).groupBy("b").agg((F.max("column") + 1).alias("next"))
@@ -173,11 +206,33 @@ def columns(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return now
 
 
-def rows_in_columns(links: DataFrame, placed: DataFrame) -> DataFrame:
-    """`placed(node, column)` with row: by the mean name order of predecessors, those without last."""
-    order = placed.withColumn("at", F.row_number().over(Window.partitionBy("column").orderBy("node")))
-    mean = links.join(order, links.a == order.node).groupBy("b").agg(F.avg("at").alias("mean"))
-    return placed.join(mean, placed.node == mean.b, "left").select("node", "column", F.row_number().over(Window.partitionBy("column").orderBy(F.asc_nulls_last("mean"), "node")).alias("row"))
+COLUMN_STEP, ROW_STEP = 50, 40  # fixed values: the diagram's distances between columns and rows
+
+
+def layout(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, column, row, x, y) of each of `nodes(node)`.
+
+    Columns are longest paths over the links without loops. Rows are placed column after column: by the mean row of a node's
+    predecessors, then by name; x and y are the node's origin, its column centred on 0. A round a column; each numbers its
+    nodes in sorted ranges, so a column may hold most of the nodes.
+    """
+    spark = links.sparkSession
+    kept = materialise(without_loops(links.where("a <> b")), "acyclic")
+    placed = materialise(longest_paths(kept, nodes), "columns")
+    sizes = {r.column: r.n for r in placed.groupBy("column").agg(F.count("*").alias("n")).collect()}  # a row a column
+    path, done = new_path(spark, "rows"), None
+    for column in sorted(sizes):
+        members = placed.where(F.col("column") == column)
+        if done is None:
+            ordered = members.withColumn("mean", F.lit(0.0))
+        else:
+            mean = done.select(F.col("node").alias("a"), "row").join(kept, "a").groupBy("b").agg(F.avg("row").alias("mean"))
+            ordered = members.join(mean.withColumnRenamed("b", "node"), "node", "left")
+        number = numbered(ordered, [F.asc_nulls_last("mean"), F.col("node")], "row")
+        y = F.rint(((sizes[column] - 1) / 2 - (F.col("row") - 1)) * ROW_STEP).cast("long")
+        number.select("node", "column", (F.col("row") - 1).alias("row"), (F.col("column") * COLUMN_STEP).alias("x"), y.alias("y")).write.mode("append").parquet(path)
+        done = spark.read.parquet(path)
+    return done if done is not None else placed.selectExpr("node", "column", "0L as row", "column as x", "0L as y")
 
 
 def icon_positions(ports: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def test_graph(spark):
     nodes = spark.createDataFrame([(n,) for n in "abcd"], "node string")
     placed = graph.columns(dag, nodes)
     assert {r.node: r.column for r in placed.collect()} == {"a": 0, "b": 1, "c": 2, "d": 1}
-    assert {(r.node, r.row) for r in graph.rows_in_columns(dag, placed).collect()} == {("a", 1), ("b", 1), ("d", 2), ("c", 1)}
+    assert {(r.node, r.row) for r in graph.layout(dag, nodes).collect()} == {("a", 0), ("b", 0), ("d", 1), ("c", 0)}
 
 
 def test_series(spark):
