@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,6 +40,15 @@ def lean() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
 
 
+def with_own_columns(docs: DataFrame, work: Callable[[DataFrame], DataFrame], kept: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """`work(docs)` with the columns of docs, where work must not meet names that it uses itself.
+
+    All columns but `kept` get other names for the work and their own, by position, in the result; work gives them back.
+    """
+    inner = [n if n in kept else f"__own_{i}" for i, n in enumerate(docs.columns)]
+    return work(docs.toDF(*inner)).select(*inner).toDF(*docs.columns)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python tuples, a slice of 256 rows at a time; runs in workers."""
     lean()

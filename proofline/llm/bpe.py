@@ -5,8 +5,9 @@ distinct word of the corpus meets in one bucket and is encoded once. The ids of
 in the order of its word list and are joined to the text by position. Decoding maps ids through the id-to-piece table,
 whose size is the vocabulary's. A word is a run between ASCII white space, at which the vocabulary always splits.
 
-Texts travel compressed. A block's key is a hash of its contents, so its words and its texts find each other after any
-retry; if the two passes cut blocks differently, the job fails instead of giving wrong rows.
+The blocks are written once, compressed, to files in the shared folder, and a table tells where each lies. What hands out
+words and what joins ids back both read the blocks from there, so the input may come from a shuffle, in any order, and a
+retried task finds the same blocks. Texts are not shuffled.
 
 Defined cases: a null text counts as empty (no ids, the hash of the empty string); repeated rows each give a row;
 an empty table gives none; other columns of the input are ignored.
@@ -15,6 +16,7 @@ an empty table gives none; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm._common import Out, buckets, rows_of, sized
+from proofline.llm._common import Out, buckets, materialise, new_path, rows_of, sized
+from proofline.llm.sstable import file_system
 from proofline.llm.vocab import codec, pieces, resolve, words
 
 BLOCK_CHARS = 6_000_000
-WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
-TEXTS = pa.schema([("block", pa.binary()), ("packed", pa.binary())])
+BUCKET_BYTES = 32 << 20  # of compressed text, whose distinct words a bucket has to hold
+WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("packed", pa.binary())])
+PLACES = pa.schema([("block", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
@@ -60,10 +64,34 @@ def unpack_docs(data: bytes) -> tuple[list, list]:
     return t.column(0).to_pylist(), t.column(1).to_pylist()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[bytes, bytes, list[tuple]]]:
-    for rows in sized(rows_of(batches, "doc_id", "text"), lambda r: len(r[1] or ""), chars):
-        packed = pack_docs(rows)
-        yield hashlib.blake2b(packed, digest_size=16).digest(), packed, rows
+def write_blocks(docs: DataFrame, path: str, chars: int) -> DataFrame:
+    """Write `docs(doc_id, text)` in blocks, a file a task: block, path, offset, length of each."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = file_system(path)
+        sink, at, out = None, 0, Out(PLACES)
+        for rows in sized(rows_of(batches, "doc_id", "text"), lambda r: len(r[1] or ""), chars):
+            if sink is None:
+                files.create_dir(folder, recursive=True)
+                name = uuid.uuid4().hex
+                sink = files.open_output_stream(f"{folder}/{name}", compression=None)
+            data = squeeze(pack_docs(rows), 3)
+            sink.write(data)
+            out.add(f"{name} {at}", f"{path}/{name}", at, len(data))
+            at += len(data)
+        if sink:
+            sink.close()
+        yield from out.ready(force=True)
+
+    return materialise(docs.mapInArrow(save, "block string, path string, offset long, length long"), "block-places")
+
+
+def read_block(path: str, offset: int, length: int) -> tuple[list, list]:
+    """Ids and texts of a block."""
+    files, at = file_system(path)
+    with files.open_input_file(at) as source:
+        source.seek(offset)
+        return unpack_docs(expand(source.read(length)))
 
 
 def distinct_words(texts: list[str | None]) -> dict[str, int]:
@@ -84,17 +112,19 @@ def bucket_of(word: str, parts: int) -> int:
 def encode(docs: DataFrame, vocabulary: str, hashes_only: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode and decode `docs(doc_id, text)`: doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded.
 
-    docs is read twice and must come in the same order both times: read it from files (or materialise it first).
     vocabulary: path of a tokenizers file whose words end at white space, or the name of a public one.
     hashes_only: leave ids and decoded null.
     """
-    parts = buckets(docs.sparkSession)
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    places = write_blocks(docs, new_path(spark, "blocks"), block_chars)
+    n_blocks, size = places.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(buckets(spark), -(-size // BUCKET_BYTES))
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, rows in _blocks(batches, block_chars):
+        for block, path, offset, length in rows_of(batches, "block", "path", "offset", "length"):
             dealt: dict[int, list[str]] = {}
-            for w in distinct_words([r[1] for r in rows]):
+            for w in distinct_words(read_block(path, offset, length)[1]):
                 dealt.setdefault(bucket_of(w, parts), []).append(w)
             out = Out(WORDS)
             for bucket, held in sorted(dealt.items()):
@@ -119,28 +149,20 @@ def encode(docs: DataFrame, vocabulary: str, hashes_only: bool = False, block_ch
             out.append(squeeze(np.array([len(found), *(int(k[2]) for k in kinds)], "<u4").tobytes() + sizes.astype(kinds[0]).tobytes() + own.astype(kinds[1]).tobytes(), 3))
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "packed": pa.array(out, pa.binary())}, schema=WORDS)
 
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, packed, _ in _blocks(batches, block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([squeeze(packed, 3)], pa.binary())], schema=TEXTS)
-
     def join_back(texts: pa.Table, coded: pa.Table) -> pa.Table:
         names = pieces(resolve(vocabulary))
         numbers = list(map(str, range(len(names))))
         lists = {b: expand(p) for b, p in zip(coded.column("bucket").to_pylist(), coded.column("packed").to_pylist(), strict=True)}
         done = []
-        for packed in texts.column("packed").to_pylist():
-            doc_ids, held = unpack_docs(expand(packed))
+        for _, path, offset, length in rows_of(texts.to_batches(), "block", "path", "offset", "length"):
+            doc_ids, held = read_block(path, offset, length)
             order: dict[int, list[str]] = {}
             for w in distinct_words(held):
                 order.setdefault(bucket_of(w, parts), []).append(w)
-            if set(order) - set(lists):
-                raise RuntimeError("a block's words and texts were cut differently")
             number_text, piece_text, counts, ids_of = {}, {}, {}, {}
             for bucket, of in order.items():
                 data = lists[bucket]
                 n, small, wide = np.frombuffer(data, "<u4", 3).tolist()
-                if n != len(of):
-                    raise RuntimeError("a block's words and texts were cut differently")
                 sizes = np.frombuffer(data, f"<u{small}", n, 12)
                 ids = np.frombuffer(data, f"<u{wide}", offset=12 + small * n).tolist()
                 at = 0
@@ -164,7 +186,7 @@ def encode(docs: DataFrame, vocabulary: str, hashes_only: bool = False, block_ch
             done += out.ready(force=True)
         return pa.Table.from_batches(done, schema=ENCODED)
 
-    dealt = docs.mapInArrow(hand_out, "bucket int, block binary, packed binary")
-    coded = dealt.groupBy("bucket").applyInArrow(encode_bucket, "bucket int, block binary, packed binary")
-    texts = docs.mapInArrow(carry, "block binary, packed binary")
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    tasks = max(1, min(n_blocks, buckets(spark)))
+    dealt = places.repartition(tasks).mapInArrow(hand_out, "bucket int, block string, packed binary")
+    coded = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(encode_bucket, "bucket int, block string, packed binary")
+    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")

@@ -1,10 +1,11 @@
 """Operator 4: secret scan with a recursive decoding worklist.
 
 Method. Every text is scanned with the base patterns. Then a worklist takes layers: URL and Unicode escapes are decoded
-where they stand, base64 runs are unwrapped from all four phases, and each new layer is scanned and searched for further
-layers, until no new one appears. All patterns are ASCII, so decoded bytes are read as Latin-1, whatever they are. Where
-a compressed stream starts in decoded bytes, it is expanded piece by piece, with all that follows it, and the pieces are
-scanned in their turn. A layer that was seen before at the same place, or a stream inside itself (by their contents'
+where they stand (in form data a plus is a space), base64 runs are unwrapped from all four phases, and each new layer is
+scanned and searched for further layers, until no new one appears. All patterns are ASCII, so decoded bytes are read as
+Latin-1, whatever they are. Where a compressed stream starts in decoded or expanded bytes (gzip, zlib, bzip2, xz, zstd,
+a deflated ZIP member; a bare deflate stream only as the whole of a base64 run), it is expanded piece by piece, with all
+that follows it, and the pieces are scanned in their turn. A layer that was seen before at the same place, or a stream inside itself (by their contents'
 hash), is not taken again, which ends cycles. Each character of a layer knows the span of the
 original text that it came from; a match counts only if it covers a decoded character, and gets the original's span.
 
@@ -35,7 +36,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so the least length can
 KINDS = ("assign", "access", "hex")
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})(?:\\u([0-9A-Fa-f]{4}))?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+FORM, FORM_PART = re.compile(r"[!-~]++"), re.compile(r"\+|(?:%[0-9A-Fa-f]{2})+")
+UNICODE = re.compile(r"%u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})(?:\\u([0-9A-Fa-f]{4}))?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
 # A secret has at least 14 characters (`token=` and eight), so its base64 form has at least 18, whatever the phase.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}+={0,2}")
@@ -45,10 +47,10 @@ BREAK = re.compile(r"[\r\n\t ]+")
 
 # The first bytes of gzip, bzip2, xz, zstd (also its skippable frames) and zlib streams.
 ZLIB = [bytes([c, f]) for c in range(0x08, 0x80, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32]
-MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18|" + b"|".join(map(re.escape, ZLIB)), re.S)
+MAGIC = re.compile(rb"\x1f\x8b\x08|PK\x03\x04.{4}\x08\0|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18|" + b"|".join(map(re.escape, ZLIB)), re.S)
 # Without one of these, decoded bytes hold neither a match nor a further layer, compressed ones aside.
-TELLING = re.compile(rb"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-](?:[\r\n\t ]*[A-Za-z0-9+/_-]){17}")
-PIECE, SLICE, ZSTD_SLICE = 1 << 20, 1 << 16, 256
+TELLING = re.compile(rb"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-fu]|\\[uUx]|[A-Za-z0-9+/_-](?:[\r\n\t ]*[A-Za-z0-9+/_-]){17}")
+PIECE, SLICE, ZSTD_SLICE, WINDOW = 1 << 20, 1 << 16, 256, 4096
 CUT = re.compile(rb"""(?s).*(?:[^A-Za-z0-9+/=_.\-"':%\\{}\s]|\n|(?<=[^%\\]{63}[^%\\:=\s"'}])\x20(?=[^%\\:=\s"']))""")
 ENCODED, TAIL = re.compile(rb"[A-Za-z0-9+/_-]+"), re.compile(rb"[A-Za-z0-9+/_-]*\Z")
 
@@ -124,6 +126,43 @@ def sliced(data: bytes, start: int = 0) -> Iterator[bytes]:
     return (data[i : i + SLICE] for i in range(start, len(data), SLICE))
 
 
+class Member:
+    """A decoder of a deflated ZIP member, which starts with its local header."""
+
+    def __init__(self) -> None:
+        self.head, self.body = b"", zlib.decompressobj(-15)
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        if self.head is not None:
+            self.head += data
+            size = 30 + sum(int.from_bytes(self.head[i : i + 2], "little") for i in (26, 28)) if len(self.head) >= 30 else 30
+            if len(self.head) < size or size == 30 == len(self.head):
+                return b""
+            data, self.head = self.head[size:], None
+        return self.body.decompress(data, most)
+
+    eof = property(lambda self: self.body.eof)
+    unused_data = property(lambda self: self.body.unused_data)
+    unconsumed_tail = property(lambda self: self.body.unconsumed_tail)
+
+
+def bare(data: bytes) -> bool:
+    """Whether the bytes start with a whole deflate stream that has neither header nor checksum."""
+    try:
+        zlib.decompressobj(-15).decompress(data[:256], 64)  # nearly all other bytes fail here
+        d, at = zlib.decompressobj(-15), 0
+        while at < len(data) and not d.eof:
+            part, at = data[at : at + SLICE], at + SLICE
+            while part and not d.eof:
+                d.decompress(part, PIECE)
+                part = d.unconsumed_tail
+        while not d.eof and d.decompress(b"", PIECE):
+            pass
+    except zlib.error:
+        return False
+    return d.eof and len(data) - len(d.unused_data) >= 8
+
+
 def decoder(head: bytes):
     """A new decoder for the stream that starts with these bytes, or None."""
     if (m := MAGIC.match(head)) is None:
@@ -136,11 +175,13 @@ def decoder(head: bytes):
         import zstandard
 
         return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+    if m[0].startswith(b"PK"):
+        return Member()
     return zlib.decompressobj(31 if m[0].startswith(b"\x1f\x8b") else 15)
 
 
-def expanded(source: Source) -> Iterator[bytes]:
-    """What the gzip, zlib, bzip2, xz or zstd streams at the start of the source hold, one after the other, in pieces."""
+def expanded(source: Source, first=None) -> Iterator[bytes]:
+    """What the compressed streams at the start of the source hold, one after the other, in pieces; first: the first one's decoder."""
     while True:
         while len(source.held) < 10 and source.more():
             pass
@@ -148,7 +189,8 @@ def expanded(source: Source) -> Iterator[bytes]:
         if padding:  # zeros may stand between streams
             source.take(padding)
             continue
-        if (d := decoder(source.held)) is None:
+        d, first = first or decoder(source.held), None
+        if d is None:
             return
         small = type(d).__module__.startswith("zstandard")  # has no bound on what a call gives, so it gets little at a time
         try:
@@ -203,8 +245,8 @@ def segments(pieces: Iterable[bytes]) -> Iterator[str]:
     yield held.decode("latin-1")
 
 
-def kinds_inside(make: Callable[[], Source], path: frozenset[bytes]) -> set[int]:
-    """The kinds of secrets in a compressed stream and in what it holds; path: hashes of the streams around it."""
+def kinds_inside(make: Callable[[], Source], path: frozenset[bytes], first=None) -> set[int]:
+    """The kinds of secrets in a compressed stream and in what it holds; path: hashes of the streams around it; first: makes its decoder."""
     h = hashlib.blake2b(digest_size=16)
     source = make()
     while source.held or source.more():
@@ -212,15 +254,75 @@ def kinds_inside(make: Callable[[], Source], path: frozenset[bytes]) -> set[int]
     if h.digest() in path:
         return set()
     path |= {h.digest()}
-    found = {k for text in segments(expanded(make())) for _, k, _ in scan(text, path)[1]}
-    head = Source(expanded(make()))
-    while len(head.held) < 10 and head.more():
-        pass
-    if MAGIC.match(head.held):
-        found |= kinds_inside(lambda: Source(expanded(make())), path)
+    content = lambda: expanded(make(), first and first())
+    found = {k for text in segments(content()) for _, k, _ in scan(text, path)[1]}
+    for inner in streams_inside(content):
+        found |= kinds_inside(inner, path)
     return found
 
 
+def from_offset(pieces: Iterable[bytes], start: int) -> Iterator[bytes]:
+    for piece in pieces:
+        if start < len(piece):
+            yield piece[start:]
+        start = max(0, start - len(piece))
+
+
+def probe(window: bytes) -> tuple[str, int]:
+    """What a stream's first bytes come to: none, over (with the bytes it took), damaged, or open, which needs more of them."""
+    d, out, part = decoder(window), 0, window
+    if d is None:
+        return "none", 0
+    try:
+        while not d.eof:
+            got = d.decompress(part) if type(d).__module__.startswith("zstandard") else d.decompress(part, PIECE)
+            out += len(got)
+            part = getattr(d, "unconsumed_tail", b"")
+            if not part and (not got or len(got) < PIECE):
+                break
+    except Exception:
+        return ("damaged" if out else "none"), len(window)
+    return ("over", len(window) - len(d.unused_data)) if d.eof else ("open", len(window))
+
+
+def streams_inside(content: Callable[[], Iterator[bytes]]) -> Iterator[Callable[[], Source]]:
+    """Sources of the compressed streams that start anywhere in the content.
+
+    Most places that look like a start fail within a window, which is all that is read of them. A stream that goes on
+    beyond is read from the content anew, so streams cost the square of their number where one holds very many large ones.
+    """
+    held, at, done = b"", 0, 0
+    for piece in _and_none(content()):
+        held += piece or b""
+        stop = len(held) if piece is None else max(0, len(held) - WINDOW)
+        for m in MAGIC.finditer(held):
+            k = m.start()
+            if k >= stop:
+                break
+            if at + k < done:
+                continue
+            window = held[k : k + WINDOW]
+            state, used = probe(window)
+            if state == "none" or state == "open" and piece is None and len(window) < 10:
+                continue
+            if state == "open" and (piece is not None or k + WINDOW < len(held)):
+                make = lambda start=at + k: Source(from_offset(content(), start))
+                source = make()
+                if not sum(map(len, expanded(source))):
+                    continue
+                done = at + k + source.used
+            else:
+                make = lambda window=window: Source([window])
+                done = at + k + (used if state == "over" else len(m[0]))
+            yield make
+        held, at = held[stop:], at + stop
+
+
+def _and_none(pieces: Iterable[bytes]) -> Iterator[bytes | None]:
+    yield from pieces
+    yield None
+
+
 def url_layer(layer: Layer) -> Layer | None:
     parts = []
     for m in URL.finditer(layer.text):
@@ -229,11 +331,23 @@ def url_layer(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
+def form_layer(layer: Layer) -> Layer | None:
+    """Form data: in a run of printable characters that holds URL escapes, a plus is a space."""
+    parts = []
+    for run in FORM.finditer(layer.text) if "%" in layer.text and "+" in layer.text else ():
+        if "+" in run[0] and URL.search(run[0]):
+            for m in FORM_PART.finditer(run[0]):
+                at = np.zeros(1, np.int64) if m[0] == "+" else np.arange(0, len(m[0]), 3)
+                new = " " if m[0] == "+" else bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+                parts.append((run.start() + m.start(), run.start() + m.end(), new, at, at + (1 if m[0] == "+" else 3)))
+    return layer.replaced(parts) if parts else None
+
+
 def unicode_layer(layer: Layer) -> Layer | None:
     parts = []
     for m in UNICODE.finditer(layer.text):
-        if m[2]:
-            first, second = int(m[2], 16), int(m[3], 16) if m[3] else None
+        if m[3]:
+            first, second = int(m[3], 16), int(m[4], 16) if m[4] else None
             if second is not None and 0xD800 <= first < 0xDC00 <= second < 0xE000:
                 new, size = chr(0x10000 + ((first - 0xD800) << 10) + second - 0xDC00), [(0, 12)]
             elif second is not None:
@@ -241,7 +355,7 @@ def unicode_layer(layer: Layer) -> Layer | None:
             else:
                 new, size = chr(first), [(0, 6)]
         else:
-            code = int(m[1] or m[4] or m[5], 16)
+            code = int(m[1] or m[2] or m[5] or m[6], 16)
             if code > 0x10FFFF:
                 continue
             new, size = chr(code), [(0, m.end() - m.start())]
@@ -281,7 +395,7 @@ def base64_layers(layer: Layer) -> list[Layer]:
         for phase in range(4):
             part = run[phase : len(run) - ((len(run) - phase) % 4 == 1)]
             data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
-            if not (TELLING.search(data) or MAGIC.search(data)):
+            if not (TELLING.search(data) or MAGIC.search(data) or bare(data)):
                 continue
             at = np.arange(len(data), dtype=np.int64)
             since, until = phase + at * 8 // 6, phase + (at * 8 + 13) // 6
@@ -295,6 +409,9 @@ def base64_layers(layer: Layer) -> list[Layer]:
 def compressed(layer: Layer, path: frozenset[bytes]) -> Iterator[Span]:
     """Spans of the compressed streams in a layer's decoded bytes, with each kind that they hold."""
     data, done = layer.text.encode("latin-1", "replace"), 0
+    if layer.end is not None and bare(data):
+        kinds = kinds_inside(lambda: Source(sliced(data)), path, lambda: zlib.decompressobj(-15))
+        yield from ((int(layer.starts.min()), kind, layer.end) for kind in kinds)
     for m in MAGIC.finditer(data):
         k = m.start()
         if k < done or not layer.decoded[k]:
@@ -325,7 +442,7 @@ def scan(text: str | None, path: frozenset[bytes] = frozenset()) -> tuple[list[S
                 if layer.decoded[a:b].any():
                     found.add((int(layer.starts[a:b].min()), kind, int(layer.ends[a:b].max())))
             found.update(compressed(layer, path))
-        work.extend(x for x in (url_layer(layer), unicode_layer(layer)) if x is not None)
+        work.extend(x for x in (url_layer(layer), form_layer(layer), unicode_layer(layer)) if x is not None)
         work.extend(base64_layers(layer))
     return plain, sorted(found)
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm._common import Out, buckets, materialise, rows_of, sized
+from proofline.llm._common import Out, buckets, materialise, rows_of, sized, with_own_columns
 from proofline.llm.bpe import expand, squeeze
 from proofline.llm.textstats import SLICE_CHARS, Numbers
 from proofline.operators.graph import components
@@ -331,8 +331,12 @@ def join(docs: DataFrame, block: int = 256) -> DataFrame:
 def keep_one(docs: DataFrame, block: int = 256) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest id, of rows that share it the smallest hash.
 
-    Documents without words stay. All columns stay as they are.
+    Documents without words stay. All columns stay as they are, whatever their names.
     """
+    return with_own_columns(docs, lambda d: _keep_one(d, block))
+
+
+def _keep_one(docs: DataFrame, block: int) -> DataFrame:
     found = materialise(join(docs, block), "near-duplicates")
     first = found.where("cls is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k")).select("root", F.col("k.doc_id").alias("keep_id"), F.col("k.th").alias("keep_th"))
     judged = join_one(found.where("cls is not null"), first, "root", "inner")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm._common import WS, Out, buckets, materialise, rows_of, sized
+from proofline.llm._common import WS, Out, buckets, materialise, rows_of, sized, with_own_columns
 from proofline.llm.bpe import expand, squeeze
 from proofline.llm.shingle_join import mix
 
@@ -552,8 +552,13 @@ def united(runs: list[tuple[int, int]]) -> np.ndarray:
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """`docs` with later repeats cut out of their texts (characters that a run only touches stay); other columns stay.
 
-    A repeat has at least `size` bytes or, if words is given, so many words that an earlier document holds as well.
+    A repeat has at least `size` bytes or, if words is given, so many words that an earlier document holds as well. Other
+    columns stay whatever their names.
     """
+    return with_own_columns(docs, lambda d: _dedup(d, size, gram, words))
+
+
+def _dedup(docs: DataFrame, size: int, gram: int, words: int | None) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def marks_of(unit: type[Hasher], size: int, gram: int, starts: str) -> DataFrame:

@@ -52,6 +52,26 @@ def test_stages(spark, sf):
     assert got == tokens
 
 
+CLASHING = ["__t", "__id", "__th", "__bytes", "__words", "__own_0", "kept", "quality", "n_words", "base_failed", "root", "cls", "starts", "whole", "Kept_by", "spans"]
+
+
+def test_clashing_columns_come_back(spark, sf):
+    """Columns with the names that stages use themselves stay as they were; what the stages decide does not change."""
+    text = variants(9, 150, 3, 2)
+    rows = [(i, t) for i, t in enumerate([*text, text[0], None, "", "x password=abcdefgh1 " + variants(8, 90, 0, 0)[0]])] + [(0, text[0]), (None, text[1])]
+    plain = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    tagged = plain.select("doc_id", *(F.concat_ws("|", F.lit(c), "doc_id", F.md5("text")).alias(c) for c in CLASHING), "text", "n_chars")
+    for name, stage in P.STAGES[:-1]:
+        a, b = stage(spark, plain, sf), stage(spark, tagged, sf)
+        assert b.columns == tagged.columns and b.dtypes == tagged.dtypes
+        got = b.collect()
+        assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == Counter(tuple(r) for r in a.collect()), name
+        known = {tuple(r[c] for c in CLASHING) for r in tagged.collect()}
+        assert all(tuple(r[c] for c in CLASHING) in known and r["__th"].split("|")[0] == "__th" for r in got)
+    pieces = P.packing_stage(spark, tagged, sf)
+    assert pieces.select("doc_id", "length").exceptAll(P.packing_stage(spark, plain, sf).select("doc_id", "length")).count() == 0
+
+
 def test_run(spark, sf):
     assert [n for n, _ in P.STAGES] == ["quality_rules", "shingle_join", "substring_dedup", "secrets", "packing"]
     out = P.run(spark, sf)

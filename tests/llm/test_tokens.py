@@ -33,6 +33,9 @@ def test_encode_and_decode(spark, docs):
     got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.ids) for r in bpe.encode(docs, "word_bpe_49k.json", block_chars=50_000).collect())
     assert got == want
     assert bpe.encode(docs.limit(0), "word_bpe_49k.json").count() == 0
+    shuffled = docs.repartition(5).orderBy(F.rand()).repartition(3)  # another order each time that it is read
+    got = shuffled.transform(bpe.encode, "word_bpe_49k.json", True, 30_000).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == [w[:4] for w in want]
 
 
 def test_packing(spark, docs):
