@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the documents that the next one works on; the last gives the pieces of
 the packed sequences. SQL cannot express the stages; tests/llm/test_pipeline.py holds each against a brute-force version.
+
+Defined cases, in every stage: a null id or text stays null (a null text has no words, so the quality stage rejects it); an
+empty table gives one; rows that repeat id and text count as copies, of which one stays; columns beside doc_id and text
+come back as they were, whatever their names, but for n_chars, which follows the text where it changes.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm import packing, quality_rules, secrets, shingle_join, substring_dedup
-from proofline.llm._common import documents, materialise, table
+from proofline.llm._common import documents, materialise, table, with_own_columns
 
 ORACLE_SQL = None
 WORDS = 51
@@ -20,7 +24,7 @@ CACHED_WORDS = 80_000  # workers of earlier stages still hold memory
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.score(docs, model).where("kept").select(*docs.columns)
+    return with_own_columns(docs, lambda d: quality_rules.score(d, model).where("kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return changed
+    kind = docs.schema["n_chars"].dataType
+    return changed.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 
 
 STAGES = [("quality_rules", quality_stage), ("shingle_join", near_duplicate_stage), ("substring_dedup", substring_stage), ("secrets", secret_stage), ("packing", packing_stage)]
