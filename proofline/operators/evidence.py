@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.text import line_range
+from proofline.operators.skew import carried, numbered, running
+from proofline.storage import materialise
 
 MAX_CHUNK, MAX_BATCH, MAX_QUOTE = 900, 4000, 300
 
@@ -55,14 +57,52 @@ def paragraphs(sources: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def headings(rows: DataFrame, key: str, order: str, heading: str) -> DataFrame:
-    """`rows` with the heading in force carried down as `section`."""
-    return rows.withColumn("section", F.last(heading, True).over(Window.partitionBy(key).orderBy(order)))
+    """`rows` with the heading in force carried down as `section`; a source of any size is carried over sorted ranges."""
+    return carried(rows, heading, [order], "section", [key])
 
 
 def chunk_keys(chunks: DataFrame, source: str, order: str) -> DataFrame:
-    """`chunks` with pos (from 0) and chunk_id `source#pos`."""
-    pos = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
-    return chunks.withColumn("pos", pos).withColumn("chunk_id", F.concat_ws("#", F.col(source).cast("string"), F.col("pos").cast("string")))
+    """`chunks` with pos (from 0) and chunk_id `source#pos`; a source of any size is numbered over sorted ranges."""
+    return numbered(chunks, [order], "pos", [source]).withColumn("pos", (F.col("pos") - 1).cast("int")).withColumn("chunk_id", F.concat_ws("#", F.col(source).cast("string"), F.col("pos").cast("string")))
+
+
+def ruled_blocks(lines: DataFrame, key: str, order: str, size: Column, opens: Column, cap: int = MAX_CHUNK) -> DataFrame:
+    """`lines` with block (from 0) and its first line's place `start` (from 0) by the rule of block_starts, a row a line.
+
+    For sources of any length: nothing holds a source whole. Each line's next start is found by search in the running sums,
+    carried over sorted ranges; those that can be reached from a source's first line are found by doubling the steps. size
+    is above 0; opens is true where a line opens a block.
+    """
+    rows = lines.withColumns({"__s": size.cast("long"), "__o": F.coalesce(opens, F.lit(False))})
+    own = numbered(running(rows, "__s", [order], "__end", [key]), [order], "__n", [key]).withColumn("__n", F.col("__n") - 1)
+    slim = materialise(own.select(key, "__n", "__s", "__o", "__end"), "line-sizes")
+    # A block from line n holds what ends by its own beginning plus cap: the first line that ends later starts the next one.
+    ends = slim.select(key, F.col("__end").alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ask"), F.col("__n").alias("at"))
+    asks = slim.select(key, (F.col("__end") - F.col("__s") + cap).alias("v"), F.lit(0).alias("kind"), F.col("__n").alias("ask"), F.lit(None).cast("long").alias("at"))
+    down = ends.unionAll(asks).select(key, (-F.col("v")).alias("v"), "kind", "ask", "at")
+    full = carried(down, "at", ["v", "kind"], "full", [key]).where("ask is not null").select(key, F.col("ask").alias("__n"), F.when(F.col("full").isNotNull(), F.greatest("full", F.col("ask") + 1)).alias("full"))
+    marks = slim.select(key, (-F.col("__n")).alias("v"), F.when(F.col("__o"), F.col("__n")).alias("at"))
+    marked = carried(marks, "at", ["v"], "here", [key]).select(key, (-F.col("v") - 1).alias("__n"), F.col("here").alias("broken"))
+    step = materialise(full.join(marked, [key, "__n"], "left").select(key, F.col("__n").alias("n"), F.least("full", "broken").alias("to")).where("to is not null"), "next-starts")
+    reached = materialise(slim.select(key).distinct().select(key, F.lit(0).cast("long").alias("n")), "starts")
+    while not step.isEmpty():
+        more = reached.join(step, [key, "n"]).select(key, F.col("to").alias("n"))
+        reached = materialise(reached.union(more).distinct(), "starts")
+        over = step.select(key, F.col("n").alias("to"), F.col("to").alias("__over"))
+        step = materialise(step.join(over, [key, "to"]).select(key, "n", F.col("__over").alias("to")), "next-starts")
+    first = own.join(reached.select(key, F.col("n").alias("__n"), F.lit(1).alias("__first")), [key, "__n"], "left").withColumn("__start", F.when(F.col("__first") == 1, F.col("__n")))
+    counted = running(carried(first, "__start", ["__n"], "start", [key]), "__first", ["__n"], "block", [key])
+    return counted.withColumn("block", F.col("block") - 1).select(*lines.columns, F.col("__n").alias("place"), "start", "block")
+
+
+def blocks_of_lines(lines: DataFrame, key: str, order: str, line: str = "line", cap: int = MAX_CHUNK, starts_block: str | None = None) -> DataFrame:
+    """What `blocks` gives, for sources whose lines are rows: key, block, first_line, last_line, locator, chunk."""
+    opens = F.regexp_like("__line", F.lit(starts_block)) if starts_block else F.lit(False)
+    cut = ruled_blocks(lines.select(key, order, F.coalesce(F.col(line), F.lit("")).alias("__line")), key, order, F.length("__line") + 1, opens, cap)
+    whole = cut.groupBy(key, "block").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.array_sort(F.collect_list(F.struct("place", "__line"))).alias("l"))
+    chunk = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["__line"]), "\n"), "^\n+|\n+$", "")
+    out = whole.select(key, F.col("block").cast("int").alias("block"), (F.col("a") + 1).cast("int").alias("first_line"), (F.col("b") + 1).cast("int").alias("last_line"), chunk.alias("chunk"))
+    return out.where(F.trim("chunk") != "").withColumn("locator", line_range(F.col("first_line"), F.col("last_line")))
 
 
 def batches(sources: DataFrame, key: str, chunks: str, cap: int = MAX_BATCH) -> DataFrame:
@@ -79,8 +119,8 @@ def with_roles(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def newest_first(messages: DataFrame, thread: str, when: str, pos: str) -> DataFrame:
-    """`messages` with rank in the thread: newest first, undated last, ties in their order."""
-    return messages.withColumn("rank", F.row_number().over(Window.partitionBy(thread).orderBy(F.desc_nulls_last(when), pos)))
+    """`messages` with rank in the thread: newest first, undated last, ties in their order; a thread of any size is numbered over sorted ranges."""
+    return numbered(messages, [F.desc_nulls_last(when), F.col(pos)], "rank", [thread]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def source_ids(files: DataFrame, path: str = "path") -> DataFrame:

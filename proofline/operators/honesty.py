@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.operators.series import contained
+
 # The groups of a trace report in their order; defaults of an experiment (seconds, intervals).
 GROUPS = [
     "Parts", "Ports", "Connections", "Parameters", "State machines", "States", "Transitions", "Events", "Timers", "Regions",
@@ -151,10 +153,8 @@ def operands(uses: DataFrame, ports: DataFrame, parameters: DataFrame, outputs:
 def asserted(criteria: DataFrame, uses: DataFrame, controllers: DataFrame) -> DataFrame:
     """criteria(id) that a controller can assert: all names that they use, of uses(id, name), are ones that it reads, of
     controllers(controller, name): id, controller (the first that can; null if none)."""
-    need = uses.distinct().groupBy("id").agg(F.count("*").alias("need"))
-    have = uses.distinct().join(controllers.distinct(), "name").groupBy("id", "controller").agg(F.count("*").alias("have"))
-    able = have.join(need, "id").where("have = need").groupBy("id").agg(F.min("controller").alias("controller"))
-    return criteria.select("id").join(able, "id", "left")
+    able = contained(uses.groupBy("id").agg(F.collect_set("name").alias("names")), controllers.groupBy("controller").agg(F.collect_set("name").alias("reads")))
+    return criteria.select("id").join(able.select("id", F.col("first").alias("controller")), "id", "left")
 
 
 def repeated_names(names: DataFrame) -> DataFrame:
@@ -193,6 +193,7 @@ def question_lines(questions: DataFrame) -> DataFrame:
         return F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.array_join(column, between)).otherwise(none)
 
     answer = F.coalesce(F.concat(F.lit("answer: "), "answer"), F.lit("unanswered"))
+    # The wording and marks of a report's lines, here and below.
     parts = ["- ", F.col("id"), ": ", F.col("text"), " Options: ", listed("options", " / ", "none listed"), "; default if unanswered: ", F.coalesce("default", F.lit("none stated")), "; ", answer, ". Affects: ", listed("affects", ", ", "—"), "."]
     return questions.select("id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("line"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.numbers import close
+from proofline.operators.skew import before_ranges, joined_same, running, sorted_ranges
 
 # Authority of a source's role; an unapproved change record ranks last.
 RANK = {
@@ -72,9 +73,16 @@ def questions(found: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def clusters(rows: DataFrame, key: str, value: str, order: str, rel: float = 1e-9, abs_: float = 1e-12) -> DataFrame:
     """Values of a key that agree with a cluster's first member: key, head, members. Clusters depend on the order, as
-    closeness is not transitive. Equal values are counted before the fold, which holds one entry a distinct value."""
+    closeness is not transitive. Equal values are counted first; then a key's sorted values are cut at each gap that is wider
+    than the tolerance, as nothing agrees across it, and only the values of such a chain are folded in their order."""
     each = rows.groupBy(key, value).agg(F.min(order).alias("at"), F.count("*").alias("n"))
-    listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col(value).alias("v"), "n"))).alias("l"))
+    ranges = sorted_ranges(each, [key], [value])
+    last = before_ranges(ranges, [key], F.max(value), lambda c: F.last(c, True)).withColumnRenamed("__before", "__last")
+    below = F.lag(value).over(Window.partitionBy("__p", key).orderBy(value))
+    joined = joined_same(ranges.withColumn("__below", below), F.broadcast(last), [key, "__p"], "left").withColumn("__below", F.coalesce("__below", "__last"))
+    gap = F.when(F.col("__below").isNull() | ~close(F.col("__below"), F.col(value), rel, abs_), 1).otherwise(0)
+    chained = running(joined.withColumn("__gap", gap).drop("__p", "__below", "__last"), "__gap", [value], "__chain", [key])
+    listed = chained.groupBy(key, "__chain").agg(F.array_sort(F.collect_list(F.struct("at", F.col(value).alias("v"), "n"))).alias("l"))
     empty = F.expr("cast(array() as array<struct<v:double,n:bigint>>)")
 
     def step(done: Column, x: Column) -> Column:

@@ -23,23 +23,40 @@ def value_column(cells: DataFrame) -> DataFrame:
     return cells.select("table").distinct().join(one, "table", "left").select("table", F.when(F.col("n") == 1, F.col("h")).alias("header"))
 
 
-def press_times(texts: DataFrame, controls: DataFrame) -> DataFrame:
+def press_times(texts: DataFrame, controls: DataFrame, fields: str | None = None) -> DataFrame:
     """texts(source, text) and controls(control, name): the sorted times at which a text says that a control is pressed.
 
-    `name at N s` counts, and where the text has a column of times in seconds, a line with a number above one with the name.
-    The name stands as a whole token; a control may have several names, and matches inside a wider one have its time.
+    `name at N s` counts. Where the text has a column of times in seconds, so does the number on the line above one that holds
+    nothing but the name. Where texts have `fields` (a map of a row's headers to its cells), the row's one time in seconds
+    counts if a cell is the name. The name stands as a whole token; a control may have several names, and matches inside a
+    wider one have its time.
     """
     from proofline.operators.quotes import named
 
     hits = named(texts, controls)
-    quoted = F.concat(F.lit("(?<![A-Za-z0-9])"), F.regexp_replace(F.trim("name"), r"([\\.\[\]{}()*+?^$|/-])", r"\\$1"), F.lit("(?![A-Za-z0-9])"))
-    said = F.concat(F.lit("(?i)"), quoted, F.lit(rf"\s+at\s+({SECONDS})\s*s\b"))
-    listed = F.concat(F.lit(rf"(?im)^[ \t]*({SECONDS})[ \t]*\r?\n[ \t]*"), quoted, F.lit(r"[ \t]*$"))
-    in_table = F.when(F.col("text").rlike(r"(?i)time\s*[(\[]\s*s\s*[)\]]"), F.regexp_extract_all("text", listed, 1)).otherwise(F.expr("cast(array() as array<string>)"))
-    times = hits.select("control", "source", F.explode(F.concat(F.regexp_extract_all("text", said, 1), in_table)).alias("t")).withColumn("t", F.col("t").cast("double"))
+    name, number = F.lower(F.trim("name")), rf"^{SECONDS}$"
+    none = F.expr("cast(array() as array<string>)")
+    escaped = F.regexp_replace(name, r"([^A-Za-z0-9\s])", r"\\$1")
+    behind = F.split(F.lower("text"), F.concat(F.lit(r"(?<![a-z0-9])"), escaped, F.lit(r"(?![a-z0-9])")))
+    said = F.transform(F.slice(behind, 2, F.size(behind)), lambda x: F.regexp_extract(x, rf"^\s+at\s+({SECONDS})\s*s\b", 1))
+    lines = F.transform(F.split(F.lower("text"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
+    above = F.transform(lines, lambda x, i: F.when((x == name) & (i > 0) & F.get(lines, i - 1).rlike(number), F.get(lines, i - 1)))
+    listed = F.when(in_seconds(F.col("text")), above).otherwise(none)
+    stated = F.filter(F.concat(said, listed), lambda t: t.isNotNull() & (t != ""))
+    if fields:
+        cells = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("k"), F.trim(e["value"]).alias("v")))
+        seconds = F.transform(F.filter(cells, lambda e: in_seconds(e["k"]) & e["v"].rlike(number)), lambda e: e["v"])
+        meant = (F.size(seconds) == 1) & F.exists(cells, lambda e: F.lower(e["v"]) == name)
+        stated = F.concat(stated, F.when(F.coalesce(meant, F.lit(False)), seconds).otherwise(none))
+    times = hits.select("control", "source", F.explode(stated).alias("t")).withColumn("t", F.col("t").cast("double"))
     return times.groupBy("control", "source").agg(F.array_sort(F.collect_set("t")).alias("times"))
 
 
+def in_seconds(header: Column) -> Column:
+    """Whether a header, or a text with such a header, gives times in seconds."""
+    return F.lower(header).rlike(r"time *[(\[] *s *[)\]]")
+
+
 def agreed_schedules(found: DataFrame) -> DataFrame:
     """Schedules that all sources of a control share: control, sources, times (null where they differ: a question)."""
     return found.groupBy("control").agg(F.count("*").alias("sources"), F.when(F.count_distinct("times") == 1, F.min("times")).alias("times"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.storage import materialise
+
 
 def _bucketed(rows: DataFrame, width: float) -> DataFrame:
     return rows.withColumn("bucket", F.floor(F.col("t") / width))
@@ -108,11 +110,26 @@ def early_stop(reference: DataFrame, run: DataFrame, tolerance: float) -> DataFr
 
 def map_states(columns: DataFrame, machines: DataFrame) -> DataFrame:
     """columns(column, values array) to the one machine(machine, aliases array) that knows all its values; null if none or several."""
-    asked = columns.select("column", F.explode(F.array_distinct("values")).alias("alias"))
-    known = machines.select("machine", F.explode(F.array_distinct("aliases")).alias("alias"))
-    need = asked.groupBy("column").agg(F.count("*").alias("need"))
-    fits = asked.join(known, "alias").groupBy("column", "machine").agg(F.count("*").alias("have")).join(need, "column").where("have = need")
-    return columns.join(fits.groupBy("column").agg(F.count("*").alias("fits"), F.min("machine").alias("m")), "column", "left").select("column", F.coalesce("fits", F.lit(0)).alias("fits"), F.when(F.col("fits") == 1, F.col("m")).alias("machine"))
+    found = contained(columns.select("column", "values"), machines.select("machine", "aliases"))
+    return columns.select("column").join(found, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("fits"), F.when(F.col("n") == 1, F.col("first")).alias("machine"))
+
+
+def contained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """For each of asked(id, members): n, how many of known(id, members) hold all of its members, and first, the smallest id of these.
+
+    Equal sets are one set on both sides, with how many have it. A set meets only those that hold its rarest member, and is
+    compared there in full; so a member that all have pairs nothing. Ids without members, and those that none holds, are left out.
+    """
+    (a, a_set), (b, b_set) = asked.columns, known.columns
+    each = asked.select(a, F.array_sort(F.array_distinct(a_set)).alias("members")).where(F.size("members") > 0)
+    sets = known.select(b, F.array_sort(F.array_distinct(b_set)).alias("holds")).groupBy("holds").agg(F.count("*").alias("n"), F.min(b).alias("first"))
+    sets = materialise(sets, "sets").where(F.size("holds") > 0)
+    held = sets.select(F.explode("holds").alias("member")).groupBy("member").agg(F.count("*").alias("often"))
+    wanted = each.select("members").distinct()
+    rarest = wanted.select("members", F.explode("members").alias("member")).join(held, "member", "left").groupBy("members").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "member")).alias("r"))
+    pairs = rarest.where("r.often > 0").select("members", F.col("r.member").alias("member")).join(sets.select(F.explode("holds").alias("member"), "holds", "n", "first"), "member")
+    fits = pairs.where(F.size(F.array_except("members", "holds")) == 0).groupBy("members").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return each.join(fits, "members").select(a, "n", "first")
 
 
 def best_match(left: DataFrame, right: DataFrame) -> DataFrame:

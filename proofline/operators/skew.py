@@ -50,13 +50,13 @@ def before_ranges(ranges: DataFrame, keys: list[str], part: Column, total) -> Da
     if keys:  # a key with one range has nothing before it, and these are most keys
         ends = ranges.groupBy("__p").agg(F.min(F.struct(*keys)).alias("__a"), F.max(F.struct(*keys)).alias("__b"))
         edge = ends.select("__p", F.explode(F.array_distinct(F.array("__a", "__b"))).alias("__k")).select("__p", *(F.col(f"__k.{k}").alias(k) for k in keys))
-        each = _same(each, F.broadcast(edge), [*keys, "__p"], "left_semi")
+        each = joined_same(each, F.broadcast(edge), [*keys, "__p"], "left_semi")
     w = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     return each.select(*keys, "__p", total(F.col("__part")).over(w).alias("__before")).where("__before is not null")
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """A join on columns of which null equals null."""
+def joined_same(a: DataFrame, b: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """A join on columns of which null equals null, without the other side's copies of them."""
     other = b.select(*(F.col(c).alias(f"__r_{c}") for c in columns), *(c for c in b.columns if c not in columns))
     on = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in columns]
     return a.join(other, on, how).drop(*(f"__r_{c}" for c in columns))
@@ -71,7 +71,7 @@ def numbered(rows: DataFrame, order, name: str = "number", keys: list[str] | Non
     ranges = sorted_ranges(rows, keys, order)
     own = F.row_number().over(Window.partitionBy("__p", *keys).orderBy(*(F.col(o) if isinstance(o, str) else o for o in order)))
     before = before_ranges(ranges, keys, F.count("*"), F.sum)
-    joined = _same(ranges.withColumn("__i", own), F.broadcast(before), [*keys, "__p"], "left")
+    joined = joined_same(ranges.withColumn("__i", own), F.broadcast(before), [*keys, "__p"], "left")
     return joined.withColumn(name, F.col("__i") + F.coalesce("__before", F.lit(0))).drop("__p", "__i", "__before")
 
 
@@ -81,7 +81,7 @@ def carried(rows: DataFrame, value: str, order: list, name: str, keys: list[str]
     w = Window.partitionBy("__p", *keys).orderBy(*(F.col(o) if isinstance(o, str) else o for o in order)).rowsBetween(Window.unboundedPreceding, 0)
     last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*(F.col(o) for o in order))))
     before = before_ranges(ranges, keys, last, lambda c: F.last(c, True))
-    joined = _same(ranges.withColumn("__own", F.last(value, True).over(w)), F.broadcast(before), [*keys, "__p"], "left")
+    joined = joined_same(ranges.withColumn("__own", F.last(value, True).over(w)), F.broadcast(before), [*keys, "__p"], "left")
     return joined.withColumn(name, F.coalesce("__own", "__before")).drop("__p", "__own", "__before")
 
 
@@ -90,5 +90,5 @@ def running(rows: DataFrame, value: str, order: list, name: str, keys: list[str]
     ranges = sorted_ranges(rows, keys, order)
     w = Window.partitionBy("__p", *keys).orderBy(*(F.col(o) if isinstance(o, str) else o for o in order)).rowsBetween(Window.unboundedPreceding, 0)
     before = before_ranges(ranges, keys, F.sum(value), F.sum)
-    joined = _same(ranges.withColumn("__own", F.coalesce(F.sum(value).over(w), F.lit(0))), F.broadcast(before), [*keys, "__p"], "left")
+    joined = joined_same(ranges.withColumn("__own", F.coalesce(F.sum(value).over(w), F.lit(0))), F.broadcast(before), [*keys, "__p"], "left")
     return joined.withColumn(name, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__p", "__own", "__before")
