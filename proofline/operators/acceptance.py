@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.expressions import ConditionError, compile_, parse
+from proofline.functions.expressions import ConditionError, compile_, parse, run_steps, steps
 from proofline.functions.numbers import event_slack
+from proofline.storage import materialise
 
 
 def evaluate(run: DataFrame, mode: str, condition: str, names: dict[str, str], start: float | None = None, end: float | None = None, truths: tuple[str, ...] = (), states: dict[str, tuple[str, int]] | None = None, complete: bool = True) -> DataFrame:
@@ -57,6 +58,61 @@ def evaluate(run: DataFrame, mode: str, condition: str, names: dict[str, str], s
     return found.select("series", F.when(unchecked, "NOT CHECKED").otherwise(verdict).alias("status"), F.when(unchecked, 0).otherwise(samples).cast("long").alias("samples"), F.when(~unchecked, when).alias("at"), F.when(unchecked, reason).alias("reason"))
 
 
+BROADCAST_ROWS = 20_000
+
+
+def evaluate_all(run: DataFrame, criteria: DataFrame, truths: tuple[str, ...] = (), states: dict[str, tuple[str, int]] | None = None, complete: bool = True) -> DataFrame:
+    """Many criteria in one job: id, series, status, samples, at, reason, by the rules of `evaluate`.
+
+    run(series, ord, t, values: a map from names to numbers) and criteria(id, series, mode, condition, start, end). Conditions
+    become rows of postfix steps, which a fold evaluates on each sample of the criterion's series up to the window's end;
+    the plan does not grow with the criteria. A criterion whose series has no rows gives no result.
+    """
+    spans = run.groupBy("series").agg(F.min("t").alias("run_start"), F.max("t").alias("run_end"))
+    known = run.select("series", F.explode(F.map_keys("values")).alias("name")).distinct().groupBy("series").agg(F.collect_set("name").alias("known"))
+    of_state = F.create_map(*(F.lit(x) for s, (c, n) in (states or {}).items() for x in (s, c))) if states else F.expr("cast(map() as map<string,string>)")
+    number = F.create_map(*(F.lit(x) for s, (_, n) in (states or {}).items() for x in (s, float(n)))) if states else F.expr("cast(map() as map<string,double>)")
+    read = criteria.withColumn("p", steps(F.col("condition"))).select("id", "series", "mode", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("last"), "p.steps", F.col("p.reason").alias("unread"))
+    asked = materialise(read.join(spans, "series").join(known, "series", "left"), "criteria")
+    lost = F.filter("steps", lambda s: (s["what"] == "timer_expired") | ((s["what"] == "in_state") & of_state[s["name"]].isNull()) | ((s["what"] == "name") & ~F.coalesce(F.array_contains("known", s["name"]), F.lit(False))))
+    first_lost = F.get(lost, F.lit(0))
+    no_series = F.when(first_lost["what"] == "name", F.concat(first_lost["name"], F.lit(" has no series"))).when(first_lost.isNotNull(), F.concat(first_lost["what"], F.lit("("), first_lost["name"], F.lit(") has no series")))
+    asked = asked.withColumn("why", F.coalesce("unread", no_series)).withColumn("first", F.coalesce("start", "run_start")).drop("known", "unread")
+    able = asked.where("why is null").select("id", "series", "steps", "first", "last")
+    able = F.broadcast(able) if able.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else able
+
+    def value(name: Column) -> Column:
+        own = F.col("values")[name]
+        return F.when(name.isin(*truths), (own > 0.5).cast("double")).otherwise(own) if truths else own
+
+    def state(name: Column) -> Column:
+        return F.round(F.col("values")[of_state[name]]) == number[name]
+
+    rows = run.join(able, "series").where(F.col("last").isNull() | (F.col("t") < F.col("last")))
+    rows = rows.withColumn("holds", F.coalesce(run_steps(F.col("steps"), value, state) != 0, F.lit(False)))
+    slack = event_slack(F.col("first"))
+    inside = (F.col("t") > F.col("first") + slack) & (F.col("last").isNull() | (F.col("t") < F.col("last") - event_slack(F.col("last"))))
+    upto = F.col("t") <= F.col("first") + slack
+    found = rows.groupBy("id").agg(
+        F.max_by("holds", F.when(upto, F.struct("t", "ord"))).alias("at_start"), F.count_if(upto).alias("before"), F.count_if(inside).alias("n"), F.min(F.when(inside & ~F.col("holds"), F.col("t"))).alias("bad"), F.min(F.when(inside & F.col("holds"), F.col("t"))).alias("good")
+    )
+    j = asked.join(found, "id", "left").withColumns({"before": F.coalesce("before", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+    samples = F.col("n") + F.when(F.col("before") > 0, 1).otherwise(0)
+    violated = F.when((F.col("before") > 0) & ~F.col("at_start"), F.col("first")).otherwise(F.col("bad"))
+    held = F.when((F.col("before") > 0) & F.col("at_start"), F.col("first")).otherwise(F.col("good"))
+    over = event_slack(F.col("run_end"))
+    late = F.col("first") > F.col("run_end") + over
+    past = (F.col("mode") != "at") & F.when(F.col("last").isNotNull(), F.col("last") > F.col("run_end") + over).otherwise(F.lit(not complete))
+    reason = F.coalesce("why", F.when(late, "starts after the run ended").when(past, "the window runs past the end of the run").when(samples == 0, "no samples inside the window"))
+    ok = F.when(F.col("mode") == "at", F.coalesce("at_start", F.lit(False))).when(F.col("mode") == "always", violated.isNull()).otherwise(held.isNotNull())
+    when = F.when(F.col("mode") == "at", F.when(~F.col("at_start"), F.col("first"))).when(F.col("mode") == "always", violated).otherwise(held)
+    judged = j.withColumn("reason", reason)
+    return judged.select(
+        "id", "series", F.when(F.col("reason").isNotNull(), "NOT CHECKED").when(ok, "PASS").otherwise("FAIL").alias("status"), F.when(F.col("reason").isNull(), samples).otherwise(0).cast("long").alias("samples"),
+        F.when(F.col("reason").isNull(), when).alias("at"), "reason",
+    )
+
+
 def results(criteria: DataFrame, evaluated: DataFrame, stopped_by: str | None = None, not_run: str | None = None) -> DataFrame:
     """One result a criterion of criteria(id, checkable, reason), by evaluated(id, status, reason) where it was evaluated.
 

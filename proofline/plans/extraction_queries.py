@@ -87,6 +87,14 @@ def press_times(t):
     return _pressed(t)
 
 
+@query("""select 'B' || l_suppkey as control, l_returnflag || l_linestatus as source, list(distinct cast(l_quantity as double) order by cast(l_quantity as double)) as times from lineitem where l_suppkey in (select s_suppkey from supplier) group by 1, 2""")
+def press_times_of_rows(t):
+    fields = F.create_map(F.lit("Time [s]"), F.col("l_quantity").cast("string"), F.lit("Control"), F.concat(F.lit(" BUTTON"), F.col("l_suppkey").cast("string")), F.lit("Line"), F.col("l_linenumber").cast("string"))
+    texts = t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("source"), F.array_join(F.map_values(fields), " | ").alias("text"), fields.alias("fields"))
+    k = F.col("s_suppkey").cast("string")
+    return schedule.press_times(texts, t.supplier.select(F.concat(F.lit("B"), k).alias("control"), F.concat(F.lit("button"), k).alias("name")), "fields")
+
+
 @query(PRESSED + " select control, count(*) as sources, case when count(distinct times) = 1 then min(times) end as times from p group by 1")
 def press_schedules(t):
     return schedule.agreed_schedules(_pressed(t))

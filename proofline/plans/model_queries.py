@@ -325,6 +325,26 @@ def criteria_always_eventually_at(t):
     return found[0].union(found[1]).union(found[2]).select("mode", "series", "status", "samples", "at")
 
 
+MANY = RUN.replace("value > 10 and not (event_type = 'click') h", "event_type <> 'click' c") + """w as (select e.*, x.k, (v > x.k and c) or v < 1 h from e, (values (2), (10), (40), (90)) x(k)),
+       g as (select series, k, arg_max(h, (t, ord)) filter (where t <= a + x) h0, count(*) filter (where t > a + x) n, min(t) filter (where t > a + x and not h) bad, min(t) filter (where t > a + x and h) good, min(a) a from w group by series, k)
+"""
+
+
+@query(MANY + """select 'always ' || k || ' ' || series as id, case when h0 and bad is null then 'PASS' else 'FAIL' end as status, n + 1 as samples, case when not h0 then a else bad end as at, cast(null as varchar) as reason from g
+       union all select 'eventually ' || k || ' ' || series, case when h0 or good is not null then 'PASS' else 'FAIL' end, n + 1, case when h0 then a else good end, null from g
+       union all select 'at ' || k || ' ' || series, case when h0 then 'PASS' else 'FAIL' end, n + 1, case when not h0 then a end, null from g
+       union all select distinct 'unknown ' || series, 'NOT CHECKED', 0, null, 'other has no series' from g""")
+def criteria_of_all_series(t):
+    run = t.events.select(F.col("user_id").alias("series"), F.col("event_id").alias("ord"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.create_map(F.lit("level"), "value", F.lit("state"), F.when(F.col("event_type") == "click", 1.0).otherwise(2.0)).alias("values"))
+    levels = F.explode(F.array(*(F.lit(k) for k in (2, 10, 40, 90)))).alias("k")
+    each = t.events.select(F.col("user_id").alias("series")).distinct().select("series", levels).select("*", F.explode(F.array(*(F.lit(m) for m in ("always", "eventually", "at")))).alias("mode"))
+    condition = F.concat(F.lit("(level > "), F.col("k").cast("string"), F.lit(" and not in_state(clicked)) or level < 1"))
+    none = F.lit(None).cast("double")
+    criteria = each.select(F.concat_ws(" ", "mode", "k", "series").alias("id"), "series", "mode", condition.alias("condition"), none.alias("start"), none.alias("end"))
+    unknown = each.select(F.concat_ws(" ", F.lit("unknown"), "series"), "series", F.lit("always"), F.lit("other > level"), none, none).distinct()
+    return acceptance.evaluate_all(run, criteria.union(unknown), states={"clicked": ("state", 1)}).select("id", "status", "samples", "at", "reason")
+
+
 @query("""with l as (select distinct doc_id id, unnest(string_split_regex(lower(source || ' ' || lang), '[^a-z0-9]+')) token from documents), r as (select distinct n_name as name, unnest(['src' || n_nationkey, case when n_regionkey = 0 then 'en' else 'fr' end]) token from nation),
           s as (select id, name, count(*) hits from l join r using (token) group by 1, 2), k as (select *, rank() over (partition by id order by hits desc) place from s)
           select id, max(hits) as hits, case when count(*) = 1 then min(name) end as name from k where place = 1 group by id""")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from proofline.functions import text as X
 from proofline.functions.numbers import parse_value
 from proofline.operators import evidence, profile, quotes
-from proofline.plans.registry import query
+from proofline.plans.registry import SQL, query
 
 
 @query("select doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g') as name_key from documents")
@@ -51,6 +51,12 @@ def chunk_capped_blocks(t):
     return evidence.blocks(t.documents, "doc_id")
 
 
+@query(SQL["chunk_capped_blocks"])
+def chunk_blocks_of_lines(t):
+    lines = t.documents.where("text is not null").select("doc_id", F.posexplode(evidence.lines(F.col("text"))).alias("n", "line"))
+    return evidence.blocks_of_lines(lines, "doc_id", "n")
+
+
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) n from documents where text is not null),
           r as (select *, sum(case when trim(line) = '' then 1 else 0 end) over (partition by doc_id order by n) run from l),
           p as (select doc_id, run, cast(min(n) + 1 as int) first_line, cast(max(n) + 1 as int) last_line, string_agg(line, chr(10) order by n) chunk from r where trim(line) <> '' group by doc_id, run)
