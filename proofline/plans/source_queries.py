@@ -81,13 +81,16 @@ def model_table_of_json(t):
     return tables.read_table(t.spark, path, "machines").select("id", "owner", "initial")
 
 
-@query("select * from (values ('notes.txt', 'loaded', null), ('model.json', 'loaded', null), ('log.json', 'invalid', 'not valid JSON'), ('plot.txt', 'missing', 'not written by this run')) v(name, state, reason)")
+@query("""select 'notes.txt' as name, 'loaded' as state, null as reason, sum(length(c_name) + 1)::bigint as chars from customer union all select 'log.json', 'invalid', 'not valid JSON', null from supplier where s_suppkey = (select min(s_suppkey) from supplier)
+          union all select 'model.json', 'loaded', null, sum(length('{"id":' || p_partkey || ',"kind":"' || p_type || '"},'))::bigint + 2 from part union all select 'plot.txt', 'missing', 'not written by this run', null from region where r_regionkey = 0""")
 def run_artefacts(t):
     path = new_path(t.spark, "run")
-    tables.write_json(t.region.where("r_regionkey = 0"), f"{path}/model.json", ["r_regionkey"])
-    tables.write_lines(t.region.select("r_regionkey", F.lit("{").alias("line")).limit(1), f"{path}/log.json", ["r_regionkey"])
-    tables.write_lines(t.region.select("r_regionkey", F.col("r_name").alias("line")), f"{path}/notes.txt", ["r_regionkey"])
-    return tables.load_run(t.spark, path, ["notes.txt", "model.json", "log.json", "plot.txt"]).drop("text")
+    each = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"))))
+    tables.write_lines(t.part.agg(F.to_json(each).alias("line")), f"{path}/model.json", ["line"])
+    tables.write_lines(t.supplier.select("s_suppkey", F.concat(F.lit("{"), "s_name").alias("line")), f"{path}/log.json", ["s_suppkey"])
+    tables.write_lines(t.customer.select("c_custkey", F.col("c_name").alias("line")), f"{path}/notes.txt", ["c_custkey"])
+    found = tables.load_run(t.spark, path, ["notes.txt", "model.json", "log.json", "plot.txt"])
+    return found.select("name", "state", "reason", F.length("text").cast("long").alias("chars"))
 
 
 @query("select event_id, date_trunc('minute', ts) as at from events")

@@ -6,6 +6,8 @@ from proofline.functions import text as X
 from proofline.functions.numbers import parse_value
 from proofline.operators import evidence, profile, quotes
 from proofline.plans.registry import SQL, query
+from proofline.sources import json_tables, published
+from proofline.storage import new_path
 
 
 @query("select doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g') as name_key from documents")
@@ -150,6 +152,30 @@ def json_props(t):
     return kids.select("event_id", F.concat(F.lit("$."), F.col("key")).alias("path"), F.col("value").cast("string").alias("value"))
 
 
+@query("""with e as (select user_id u, list('{"id": ' || event_id || ', "type": "' || event_type || '"}' order by event_id) l, sum(length(event_id::varchar) + length(event_type) + 20) + 2 * count(*) n from events group by 1)
+          select u as user_id, '$.user' as path, u::varchar as text, cast(null as varchar) as kind from e union all select u, '$.events', '[' || array_to_string(l, ', ') || ']', null from e where n <= 900
+          union all select u, '$.events[' || i || ']', l[i + 1], regexp_extract(l[i + 1], '"type": "(.*)"', 1) from (select u, l, unnest(range(len(l))) i from e where n > 900)""")
+def json_records(t):
+    each = F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))))
+    texts = t.events.groupBy("user_id").agg(F.to_json(F.struct(F.col("user_id").alias("user"), each.alias("events"))).alias("text"))
+    return json_tables.records(texts, "user_id").select("user_id", "path", "text", F.col("fields")["type"].alias("kind"))
+
+
+@query("""select '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' as value from customer""")
+def published_lines(t):
+    path = new_path(t.spark, "published")
+    published.publish(t.customer.select("c_mktsegment", "c_custkey"), path, ["c_custkey"])
+    return published.published(t.spark, path).select("value")
+
+
+@query("select o_orderpriority || ' ' || o_custkey as key, case when count(*) filter (where o_orderstatus <> 'F') > 0 then min(o_orderkey::varchar) filter (where o_orderstatus <> 'F') else min(o_orderkey::varchar) end as value from orders group by 1")
+def cache_first_writer(t):
+    path, key = new_path(t.spark, "cache"), F.concat_ws(" ", "o_orderpriority", "o_custkey").alias("k")
+    published.put(t.orders.where("o_orderstatus <> 'F'").select(key, "o_orderkey"), path, "k", "o_orderkey")
+    published.put(t.orders.select(key, "o_orderkey"), path, "k", "o_orderkey")
+    return published.cached(t.spark, path)
+
+
 @query("select doc_id, sha256(to_json([text, lang, source])::varchar) as key from documents")
 def content_hash(t):
     return t.documents.select("doc_id", X.content_key(F.col("text"), F.col("lang"), F.col("source")).alias("key"))

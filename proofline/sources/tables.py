@@ -146,13 +146,13 @@ def artefacts(found: list[tuple[str, str | None, str | None]], wanted: list[str]
 
 
 def write_json(df: DataFrame, path: str, order: list[str]) -> None:
-    """A report-sized table as one JSON file in a fixed order."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
+    """A table as JSON lines in a fixed order: its parts, in the order of their names, are the output."""
+    df.orderBy(*order).write.mode("overwrite").json(path)
 
 
 def write_lines(df: DataFrame, path: str, order: list[str], line: str = "line") -> None:
-    """A report as one text file."""
-    df.orderBy(*order).coalesce(1).select(line).write.mode("overwrite").text(path)
+    """A report as lines in a fixed order: its parts, in the order of their names, are the output."""
+    df.orderBy(*order).select(line).write.mode("overwrite").text(path)
 
 
 def write_model(tables: dict[str, DataFrame], path: str) -> None:
