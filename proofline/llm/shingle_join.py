@@ -1,7 +1,7 @@
 """Operator 10: Jaccard self-join on 5-word shingles by parity sketches.
 
-Method. A document's shingles are hashed to 64 bits. Documents with equal sets form a class; from then on each class
-counts once. In a size band (sizes from 2**t) the shingles are dealt to m_t parts by their hash, and each part's hashes
+Method. A document's shingles are hashed to 64 bits. Documents with equal sets form a class (sets are told apart by 128
+bits of hashes); from then on each class counts once. In a size band (sizes from 2**t) the shingles are dealt to m_t parts by their hash, and each part's hashes
 are XORed to one word: the words are a parity sketch. A shingle that only one of two sets has changes one word at most,
 so the number of words that differ (their Hamming distance) is a lower bound of the symmetric difference D. Two sets of
 sizes a <= b have Jaccard similarity of at least 4/5 exactly if D <= (a + b) / 9, so all but h = (a + b) / 9 words agree.
@@ -78,9 +78,15 @@ def shingle_sets(texts: list[str | None], width: int = WORDS_A_SHINGLE) -> list[
     return out
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit key of a set."""
-    return int(np.int64(xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)))
+def key_of(shingles: np.ndarray, seed: int = 0, bits: int = 64) -> int:
+    """A signed hash of a set."""
+    return (xxhash.xxh3_64_intdigest(shingles.tobytes(), seed) >> (64 - bits)) - (1 << 63)
+
+
+def class_of(shingles: np.ndarray, shared: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """The 64-bit key of a set's class: its hash or, where different sets share that hash, one of that and a second hash."""
+    first = key_of(shingles, bits=bits)
+    return first if first not in shared else xxhash.xxh3_64_intdigest(b"%d %d" % (first, key_of(shingles, 1))) - (1 << 63)
 
 
 def sketches(shingles: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -142,27 +148,38 @@ def links_of(ids: list[int], sets: list[np.ndarray], left: list[int], right: lis
     return found
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """`docs(doc_id, text)` with th (the text's hash), n_shingles and cls (null for an empty set), written and read back."""
+def classes(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, frozenset[int]]:
+    """`docs(doc_id, text)` with th (the text's hash), n_shingles and cls (null for an empty set), written and read back; and the
+    hashes that different sets share.
+
+    Two hashes tell sets apart as one of 128 bits does. Few hashes are shared at any size: about n^2 / 2^65 of n sets, one
+    in 6 billion documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sized(rows_of(batches, "doc_id", "th", "text"), lambda r: len(r[2] or ""), SLICE_CHARS):
             sets = shingle_sets([r[2] for r in rows])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "th", "n_shingles", "cls"]
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([key_of(s, *how) if len(s) else None for s in sets], pa.int64()) for how in ((0, bits), (1,)))], names=["doc_id", "th", "n_shingles", "cls", "second"]
             )
 
-    return materialise(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, cls long"), "classes")
+    every = materialise(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, cls long, second long"), "classes")
+    apart = every.groupBy("cls").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b")
+    shared = frozenset(r.cls for r in apart.select("cls").collect())
+    if shared:  # as class_of has them
+        both = F.udf(lambda a, b: None if a is None else xxhash.xxh3_64_intdigest(b"%d %d" % (a, b)) - (1 << 63), "long")
+        every = every.withColumn("cls", F.when(F.col("cls").isin(*shared), both("cls", "second")).otherwise(F.col("cls")))
+    return every.drop("second"), shared
 
 
-def candidates(docs: DataFrame, parts: int) -> DataFrame:
+def candidates(docs: DataFrame, parts: int, key) -> DataFrame:
     """(cls, word) of the kept words that several classes share."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sized(rows_of(batches, "text"), lambda r: len(r[0] or ""), 4 * SLICE_CHARS):
             entities, words, of, seen = [], [], [], set()
             for s in shingle_sets([r[0] for r in rows]):
-                cls = class_of(s)
+                cls = key(s)
                 if len(s) and cls not in seen:
                     seen.add(cls)
                     for scheme, need, w in sketches(s):
@@ -289,12 +306,18 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     return sent.groupBy("root", "i", "j").applyInArrow(solve, "a long, b long")
 
 
-def join(docs: DataFrame, block: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls (the key of its set), th and root (the key of its component) for each row of `docs(doc_id, text)`."""
+def join(docs: DataFrame, block: int = 256, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id, cls (the key of its set), th and root (the key of its component) for each row of `docs(doc_id, text)`.
+
+    bits: of the first hash of a set; fewer only test what happens where different sets share it."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    every = classes(docs)
+    every, shared_keys = classes(docs, bits)
+
+    def key(shingles: np.ndarray) -> int:
+        return class_of(shingles, shared_keys, bits)
+
     parts = max(1, buckets(docs.sparkSession) // 2, -(-(every.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES))
-    kept = materialise(candidates(docs, parts), "kept-words")
+    kept = materialise(candidates(docs, parts, key), "kept-words")
     leaders = kept.groupBy("word").agg(F.min("cls").alias("leader"))
     family = components(kept.join(leaders, "word").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct())
     sizes = family.groupBy("root").agg(F.count("*").alias("members"))
@@ -311,7 +334,7 @@ def join(docs: DataFrame, block: int = 256) -> DataFrame:
             fresh = list({r[1]: r for r in rows if r[1] not in seen}.values())
             seen.update(r[1] for r in fresh)
             for (_, cls, root, n), s in zip(fresh, shingle_sets([r[0] for r in fresh]), strict=True):
-                if class_of(s) == cls:  # else another text with the same hash
+                if key(s) == cls:  # else another text with the same hash
                     out.add(root, cls, n, squeeze(s.tobytes()))
                     yield from out.ready()
             if len(seen) > 1_000_000:
