@@ -192,6 +192,42 @@ def controller_lines(t):
     return render.controller_text(states, transitions)
 
 
+TIMED = """
+    with k as (select s_nationkey m, s_suppkey k, 's' || s_suppkey % 3 f, case when s_suppkey % 5 = 0 then 'history' else 's' || (s_suppkey + 1) % 3 end t, s_suppkey % 4 a from supplier),
+    own as (select distinct m, t st, 't1' x from k where a = 1 and t <> 'history' union select n_nationkey, 's1', 't2' from nation), cnt as (select m, st, list(x || '_remaining := ' || x || '_deadline - time;' order by x) l from own group by 1, 2),
+    fro as (select distinct own.m, x from own join k on k.m = own.m and k.f = st and a = 0),
+    ret as (select m, list('if history == State.' || st || ' then ' || l || ' end if;' order by st) r from (select m, st, string_agg(x || '_deadline := time + ' || x || '_remaining;', ' ' order by x) l from own join fro using (m, x) group by 1, 2) group by m),
+    ln as (select k.m, k, ['// ' || k || ': n' || f[2:2] || ' -> ' || case when t = 'history' then t else 'n' || t[2:2] end] || case a when 0 then ['history := State.' || f || ';'] || coalesce(l, []) when 1 then ['t1_deadline := time + d1;', 'history := State.s0;'] else [] end
+                  || case when t = 'history' then ['state := history;'] || coalesce(r, []) else ['state := State.' || t || ';'] || case when t = 's1' then ['t2_deadline := time + d2;'] else [] end end x
+           from k left join cnt on cnt.m = k.m and st = f left join ret on ret.m = k.m)
+"""
+
+
+def _timed(t):
+    nation, k = t.nation.select(F.col("n_nationkey").alias("machine")), F.col("s_suppkey")
+    none = F.expr("cast(array() as array<string>)")
+    states = nation.select("machine", F.inline(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"s{i}").alias("state"), F.lit(f"n{i}").alias("name"), F.array(F.lit("start_timer(t2)")).alias("actions") if i == 1 else none.alias("actions")) for i in range(3)))))
+    actions = F.when(k % 4 == 0, F.array(F.lit("save_history"))).when(k % 4 == 1, F.array(F.lit("start_timer( t1 )"), F.lit("clear_history"))).otherwise(none)
+    to = F.when(k % 5 == 0, "history").otherwise(F.concat(F.lit("s"), ((k + 1) % 3).cast("string")))
+    transitions = t.supplier.select(F.col("s_nationkey").alias("machine"), k.alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("from_state"), to.alias("to_state"), actions.alias("actions"))
+    timers = nation.select("machine", F.inline(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"t{i}").alias("timer"), F.lit(f"d{i}").alias("duration")) for i in (1, 2, 3)))))
+    return render.controller_timers(states, transitions, timers)
+
+
+@query(TIMED + "select m as machine, k as id, cast(i - 1 as int) as n, x[i] as line from (select *, unnest(range(1, len(x) + 1)) i from ln)")
+def controller_statements(t):
+    return _timed(t)[0]
+
+
+@query(TIMED + """select n_nationkey as machine, n, line from nation, lateral (
+       select 0 n, 'State history(start = State.s0, fixed = true);' as line where exists (select 1 from k where m = n_nationkey and (a in (0, 1) or t = 'history')) union all
+       select 3, case when exists (select 1 from k where m = n_nationkey and a = 1) then 'discrete Real t1_deadline(start = Modelica.Constants.inf, fixed = true);' else 'parameter Real t1_deadline = Modelica.Constants.inf;' end union all
+       select 5, 'discrete Real t2_deadline(start = Modelica.Constants.inf, fixed = true);' union all select 7, 'parameter Real t3_deadline = Modelica.Constants.inf;' union all
+       select case x when 't1' then 4 else 6 end, 'discrete Real ' || x || '_remaining(start = 0, fixed = true);' from fro where m = n_nationkey)""")
+def controller_declarations(t):
+    return _timed(t)[1]
+
+
 @query("""select p_partkey, 'model M' || p_partkey || chr(10) || '  import SI = Modelica.Units.SI;' || chr(10) || '  Real final_(unit = "m2");' || chr(10) || '  Real y = final_.x;' || chr(10) || 'end M;' as text from part""")
 def text_fixes(t):
     source = F.concat(F.lit("model M"), text("p_partkey"), F.lit('\n  Real final(unit = "m^2");\n  Real y = final.x;\nend M;'))
