@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.operators.skew import hot_keys, join_hot, join_one, numbered
+from proofline.operators.skew import join_one, numbered
 from proofline.storage import materialise, new_path
 
 
@@ -14,14 +14,14 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links(a, b)`; root is the smallest node of its component.
 
     Each round takes the smallest label among a node and its neighbours and then that label's own label, and is written
-    to the shared folder. Rounds grow with the logarithm of the longest path.
+    to the shared folder. Rounds grow with the logarithm of the longest path. labels has one row a node, so adaptive execution
+    splits the links of a node that very many have; broadcasting its label instead costs several stages more each round.
     """
     both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).union(links.select("a", "b").where("a = b")).distinct()
     both = materialise(both, "links")
-    heavy = hot_keys(both, "b")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "labels")
     while True:
-        near = join_hot(both, labels.withColumnRenamed("node", "b"), "b", "inner", heavy).groupBy("a").agg(F.min("root").alias("near"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         stepped = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         up = labels.select(F.col("node").alias("mid"), F.col("root").alias("up"))
         labels = materialise(stepped.join(up, "mid").select("node", "old", F.least("mid", "up").alias("root")), "labels")
