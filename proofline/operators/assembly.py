@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from proofline.functions.text import make_id, mentions, name_key
 from proofline.functions.units import to_si
 from proofline.operators.graph import components
 from proofline.operators.precedence import rank_of
+from proofline.operators.skew import numbered
 from proofline.storage import materialise
 
 # The order in which roles are read; headers that name a row's quantity, best first; domains of signals.
@@ -313,3 +316,11 @@ def frozen_timers(owned: DataFrame, states: DataFrame, transitions: DataFrame) -
     """Timers of owned(machine, state, timer) that run in a state that saves history."""
     saving = states.where(F.array_contains("actions", "save_history")).select("machine", "state").union(transitions.where(F.array_contains("actions", "save_history")).select("machine", F.col("from_state").alias("state")))
     return owned.join(saving.distinct(), ["machine", "state"], "left_semi").select("machine", "timer").distinct()
+
+
+def united(passes: list[DataFrame], order: str) -> DataFrame:
+    """What several passes over the sources found as one table: its columns are those of all passes (null where a pass has none),
+    with `pass` from 0 and `ord`, which numbers all rows pass by pass in each pass's own order."""
+    each = [d.withColumnRenamed(order, "__order").withColumn("pass", F.lit(n)) for n, d in enumerate(passes)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+    return numbered(every, ["pass", "__order"], "ord").drop("__order")

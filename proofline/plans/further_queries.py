@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from proofline.functions import expressions
-from proofline.operators import evidence, schedule, series
+from proofline.operators import assembly, evidence, render, schedule, series
 from proofline.plans.registry import query
 from proofline.sources import tables
 from proofline.storage import new_path
@@ -130,3 +130,29 @@ def action_parts(t):
     text = F.when(F.col("l_returnflag") == "A", F.concat(F.lit(" start_timer( t"), n, F.lit(" )"))).when(F.col("l_returnflag") == "N", F.lit("save_history")).otherwise(F.concat(F.lit("start_timer t"), n))
     read = t.lineitem.select(F.concat("l_linestatus", "l_returnflag").alias("state"), expressions.action(text).alias("a")).select("state", "a.verb", "a.argument")
     return read.groupBy("state", "verb", "argument").agg(F.count("*").alias("n"))
+
+
+@query("""with u as (select 0 p, o_orderkey o, o_orderstatus as name, null as kind from orders union all select 1, p_partkey, null, p_type from part union all select 2, c_custkey, c_name, c_mktsegment from customer)
+          select name, kind, p as pass, row_number() over (order by p, o) as ord from u""")
+def passes_united(t):
+    orders = t.orders.select(F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("place"))
+    parts = t.part.select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("place"))
+    return assembly.united([orders, parts, t.customer.select(F.col("c_custkey").alias("place"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))], "place")
+
+
+@query("""with p as (select 's' || s_suppkey id, 'N' || s_nationkey kind, cast(s_acctbal as double) v, s_acctbal > 4000 has, s_nationkey % 3 = 0 d from supplier)
+          select 1 as section, id || ' 1' as key, '  ' || kind || ' ' || id || case when has then '(level = ' || v || case when d then ', rate = 0.5' else '' end || ')' when d then '(level = 1.5, rate = 0.5)' else '(level = 1.5)' end || ';' as line from p
+          union all select 1, id || ' 0 level', '  // ASSUMPTION (generator default): ' || id || '.level = 1.5' from p where not has union all select 1, id || ' 0 rate', '  // ASSUMPTION (generator default): ' || id || '.rate = 0.5' from p where d
+          union all select 2, 'o' || o_orderkey, '  connect(s' || o_custkey || '.out, s' || o_orderkey || '.in);' from orders
+          union all select 3, 'c' || c_custkey, case when c_acctbal > 0 then '  assert(level > ' || c_nationkey || ', "c' || c_custkey || ': ' || c_mktsegment || '");' else '  // c' || c_custkey || ' is not asserted: ' || c_mktsegment end from customer
+          union all select 0, '', 'model System' union all select 4, '', 'end System;'""")
+def class_lines(t):
+    sid = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    parts = t.supplier.select(sid.alias("id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("kind"))
+    stated = t.supplier.where("s_acctbal > 4000").select(sid.alias("owner"), F.lit("level").alias("name"), F.col("s_acctbal").cast("double").alias("value"))
+    wanted = F.array(F.struct(F.lit("level").alias("name"), F.lit(1.5).alias("default")), F.struct(F.lit("rate").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, 0.5).alias("default")))
+    required = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("kind"), F.inline(wanted))
+    links = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("a_part"), F.lit("out").alias("a_role"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("b_part"), F.lit("in").alias("b_role"))
+    condition = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("level > "), F.col("c_nationkey").cast("string")))
+    criteria = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), condition.alias("condition"), F.col("c_mktsegment").alias("text"), F.col("c_mktsegment").alias("reason"))
+    return render.class_text("System", parts, stated, required, links, criteria)
