@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from proofline.storage import materialise
 
+# The wording of the reasons, here and in `gate`.
 UNTRACED = "no trace and no assumption"
 BROKEN = "it refers to a removed element"
 CLEARED = "its check referred to a removed element"
