@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.expressions import ConditionError, compile_, parse, run_steps, steps
+from proofline.functions.expressions import ConditionError, compile_, compile_steps, parse, run_steps, steps
 from proofline.functions.numbers import event_slack
+from proofline.operators.skew import joined_same
 from proofline.storage import materialise
 
 
@@ -59,27 +60,35 @@ def evaluate(run: DataFrame, mode: str, condition: str, names: dict[str, str], s
 
 
 BROADCAST_ROWS = 20_000
+COMPILED = 64  # so many different conditions become columns; with more, all are evaluated by a fold
 
 
 def evaluate_all(run: DataFrame, criteria: DataFrame, truths: tuple[str, ...] = (), states: dict[str, tuple[str, int]] | None = None, complete: bool = True) -> DataFrame:
     """Many criteria in one job: id, series, status, samples, at, reason, by the rules of `evaluate`.
 
-    run(series, ord, t, values: a map from names to numbers) and criteria(id, series, mode, condition, start, end). Conditions
-    become rows of postfix steps, which a fold evaluates on each sample of the criterion's series up to the window's end;
-    the plan does not grow with the criteria. A criterion whose series has no rows gives no result.
+    run(series, ord, t, values: a map from names to numbers) and criteria(id, series, mode, condition, start, end). Each
+    different condition is read once, as postfix steps. Criteria that share series, condition and window share its samples'
+    evaluation: by the condition as a column where few conditions differ, else by a fold over its steps, so the plan does not
+    grow with the criteria. A criterion whose series has no rows gives no result.
     """
     spans = run.groupBy("series").agg(F.min("t").alias("run_start"), F.max("t").alias("run_end"))
     known = run.select("series", F.explode(F.map_keys("values")).alias("name")).distinct().groupBy("series").agg(F.collect_set("name").alias("known"))
     of_state = F.create_map(*(F.lit(x) for s, (c, n) in (states or {}).items() for x in (s, c))) if states else F.expr("cast(map() as map<string,string>)")
     number = F.create_map(*(F.lit(x) for s, (_, n) in (states or {}).items() for x in (s, float(n)))) if states else F.expr("cast(map() as map<string,double>)")
-    read = criteria.withColumn("p", steps(F.col("condition"))).select("id", "series", "mode", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("last"), "p.steps", F.col("p.reason").alias("unread"))
-    asked = materialise(read.join(spans, "series").join(known, "series", "left"), "criteria")
+    asked = criteria.select("id", "series", "mode", F.coalesce("condition", F.lit("")).alias("condition"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("last"))
+    programs = materialise(asked.select("condition").distinct().withColumn("p", steps(F.col("condition"))).select("condition", "p.steps", F.col("p.reason").alias("unread")), "programs")
+    listed = programs.limit(COMPILED + 1).collect()
+    few = len(listed) <= COMPILED
+    asked = asked.join(F.broadcast(programs) if few else programs, "condition").join(spans, "series").join(known, "series", "left")
     lost = F.filter("steps", lambda s: (s["what"] == "timer_expired") | ((s["what"] == "in_state") & of_state[s["name"]].isNull()) | ((s["what"] == "name") & ~F.coalesce(F.array_contains("known", s["name"]), F.lit(False))))
     first_lost = F.get(lost, F.lit(0))
     no_series = F.when(first_lost["what"] == "name", F.concat(first_lost["name"], F.lit(" has no series"))).when(first_lost.isNotNull(), F.concat(first_lost["what"], F.lit("("), first_lost["name"], F.lit(") has no series")))
-    asked = asked.withColumn("why", F.coalesce("unread", no_series)).withColumn("first", F.coalesce("start", "run_start")).drop("known", "unread")
-    able = asked.where("why is null").select("id", "series", "steps", "first", "last")
-    able = F.broadcast(able) if able.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else able
+    asked = asked.withColumn("why", F.coalesce("unread", no_series)).withColumn("first", F.coalesce("start", "run_start"))
+    asked = materialise(asked.select("id", "series", "mode", "condition", "first", "last", "run_end", "why"), "criteria")
+    able = asked.where("why is null").select("series", "condition", "first", "last").distinct()
+    able = able if few else able.join(programs.select("condition", "steps"), "condition")
+    able = materialise(able, "windows")
+    able = F.broadcast(able) if able.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else able.hint("merge")
 
     def value(name: Column) -> Column:
         own = F.col("values")[name]
@@ -89,14 +98,17 @@ def evaluate_all(run: DataFrame, criteria: DataFrame, truths: tuple[str, ...] =
         return F.round(F.col("values")[of_state[name]]) == number[name]
 
     rows = run.join(able, "series").where(F.col("last").isNull() | (F.col("t") < F.col("last")))
-    rows = rows.withColumn("holds", F.coalesce(run_steps(F.col("steps"), value, state) != 0, F.lit(False)))
+    told = F.lit(None).cast("double") if few else run_steps(F.col("steps"), value, state)
+    for r in (r for r in listed if few and r.unread is None and not any(_lost(x, states or {}) for x in r.steps)):
+        told = F.when(F.col("condition") == r.condition, compile_steps(r.steps, value, lambda n: F.round(F.col("values")[states[n][0]]) == float(states[n][1]))).otherwise(told)
+    rows = rows.withColumn("holds", F.coalesce(told != 0, F.lit(False)))
     slack = event_slack(F.col("first"))
     inside = (F.col("t") > F.col("first") + slack) & (F.col("last").isNull() | (F.col("t") < F.col("last") - event_slack(F.col("last"))))
     upto = F.col("t") <= F.col("first") + slack
-    found = rows.groupBy("id").agg(
+    found = rows.groupBy("series", "condition", "first", "last").agg(
         F.max_by("holds", F.when(upto, F.struct("t", "ord"))).alias("at_start"), F.count_if(upto).alias("before"), F.count_if(inside).alias("n"), F.min(F.when(inside & ~F.col("holds"), F.col("t"))).alias("bad"), F.min(F.when(inside & F.col("holds"), F.col("t"))).alias("good")
     )
-    j = asked.join(found, "id", "left").withColumns({"before": F.coalesce("before", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+    j = joined_same(asked, found, ["series", "condition", "first", "last"], "left").withColumns({"before": F.coalesce("before", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
     samples = F.col("n") + F.when(F.col("before") > 0, 1).otherwise(0)
     violated = F.when((F.col("before") > 0) & ~F.col("at_start"), F.col("first")).otherwise(F.col("bad"))
     held = F.when((F.col("before") > 0) & F.col("at_start"), F.col("first")).otherwise(F.col("good"))
@@ -113,6 +125,11 @@ def evaluate_all(run: DataFrame, criteria: DataFrame, truths: tuple[str, ...] =
     )
 
 
+def _lost(step, states: dict) -> bool:
+    """Whether no series can have this step."""
+    return step["what"] == "timer_expired" or (step["what"] == "in_state" and step["name"] not in states)
+
+
 def results(criteria: DataFrame, evaluated: DataFrame, stopped_by: str | None = None, not_run: str | None = None) -> DataFrame:
     """One result a criterion of criteria(id, checkable, reason), by evaluated(id, status, reason) where it was evaluated.
 

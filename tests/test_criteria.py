@@ -28,3 +28,31 @@ def test_together_and_one_by_one(spark):
     got = {r.id: (r.status, r.samples, r["at"], r.reason is None) for r in acceptance.evaluate_all(packed, frame, ("b",), {"on": ("s", 1), "off": ("s", 2)}).collect()}
     assert all(got.pop(f"{len(CONDITIONS) - 1} {m} {s}")[0] == "NOT CHECKED" for m in ("always", "eventually", "at") for s in "xy")
     assert got == want
+
+
+def _run_and_criteria(spark, modes=("always", "eventually", "at")):
+    rows = [(s, n, float(n // 2), float(n % 4) if n % 5 else None, float(n % 2 + 1)) for s in ("x", "y") for n in range(12)]
+    run = spark.createDataFrame(rows, "series string, ord long, t double, a double, s double").select("series", "ord", "t", F.create_map(F.lit("a"), "a", F.lit("s"), "s").alias("values"))
+    criteria = [(f"{n} {m} {s}", s, m, c, None, e) for n, c in enumerate([*CONDITIONS, None]) for m in modes for s in "xy" for e in (None, 4.0)]
+    return run, spark.createDataFrame([(f"{i} {e}", s, m, c, b, e) for i, s, m, c, b, e in criteria], "id string, series string, mode string, condition string, start double, end double")
+
+
+def test_few_conditions_as_columns_and_many_by_a_fold(spark, monkeypatch):
+    run, criteria = _run_and_criteria(spark)
+    states = {"on": ("s", 1), "off": ("s", 2)}
+    few = acceptance.evaluate_all(run, criteria, states=states)
+    monkeypatch.setattr(acceptance, "COMPILED", 0)
+    many = acceptance.evaluate_all(run, criteria, states=states)
+    assert "lambdafunction" in many._jdf.queryExecution().toString()
+    assert "lambdafunction" not in few._jdf.queryExecution().toString()
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+
+
+def test_many_windows_are_never_broadcast(spark, monkeypatch):
+    """Spark guesses the size from a file that compresses well; in memory a million windows are many times that."""
+    run, criteria = _run_and_criteria(spark, ("at",))
+    want = sorted(map(repr, acceptance.evaluate_all(run, criteria).collect()))
+    monkeypatch.setattr(acceptance, "BROADCAST_ROWS", 0)
+    many = acceptance.evaluate_all(run, criteria)
+    assert "SortMergeJoin [series" in many._jdf.queryExecution().toString()
+    assert sorted(map(repr, many.collect())) == want
