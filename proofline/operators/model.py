@@ -64,12 +64,19 @@ def against_catalogue(parts: DataFrame, ports: DataFrame, kind_ports: DataFrame)
 
 def bundle_match(documents: DataFrame, files: DataFrame) -> DataFrame:
     """documents(id, file_name, tag) to files(source_id, basename, title): by file name, else by the tag in the title's words; each only if one fits."""
-    by_name = documents.join(files.select(F.lower("basename").alias("b"), "source_id"), F.lower("file_name") == F.col("b")).groupBy("id").agg(F.count_distinct("source_id").alias("n"), F.min("source_id").alias("s")).where("n = 1").select("id", F.col("s").alias("by_name"))
-    words = files.select("source_id", F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z0-9-]+"))).alias("w"))
-    by_tag = documents.join(words, F.lower("tag") == F.col("w")).groupBy("id").agg(F.count_distinct("source_id").alias("n"), F.min("source_id").alias("s")).where("n = 1").select("id", F.col("s").alias("by_tag"))
+    words = files.select(F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z0-9-]+"))).alias("key"), "source_id")
+    by_name = _only_source(documents.select("id", F.lower("file_name").alias("key")), files.select(F.lower("basename").alias("key"), "source_id"), "by_name")
+    by_tag = _only_source(documents.select("id", F.lower("tag").alias("key")), words, "by_tag")
     return documents.select("id").join(by_name, "id", "left").join(by_tag, "id", "left").select("id", F.coalesce("by_name", "by_tag").alias("source_id"))
 
 
+def _only_source(asked: DataFrame, files: DataFrame, name: str) -> DataFrame:
+    """(id, name): the one source_id of files(key, source_id) under the keys of asked(id, key). Sources are counted by key before rows meet."""
+    held = files.groupBy("key").agg(F.count_distinct("source_id").alias("n"), F.min("source_id").alias("s"))
+    found = asked.join(held, "key").groupBy("id").agg(F.max("n").alias("n"), F.min("s").alias(name), F.max("s").alias("other"))
+    return found.where((F.col("n") == 1) & (F.col(name) == F.col("other"))).select("id", name)
+
+
 def run_values(parameters: DataFrame, suffixes: dict[str, str]) -> DataFrame:
     """parameters(name, value) whose name ends like a run setting, if one value is stated: setting, value."""
     rows = [parameters.where(F.col("name").endswith(s)).select(F.lit(target).alias("setting"), "value") for s, target in suffixes.items()]
