@@ -73,9 +73,16 @@ def free_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
 
 
 def measured_part(inputs: DataFrame, parts: DataFrame) -> DataFrame:
-    """inputs(input, kind, text) to the parts(part, kind, name) of the kind that their text mentions: a link if it is one, a question if several, missing if none."""
+    """inputs(input, kind, text) to the parts(part, kind, name) of the kind that their text mentions: a link if it is one, a question if several, missing if none.
+
+    Equal texts and equal names meet once, and a name stands for all parts that bear it.
+    """
     from proofline.operators.quotes import named
 
-    hits = named(inputs.select("input", F.col("kind").alias("wanted"), "text"), parts).where("kind = wanted").groupBy("input").agg(F.count_distinct("part").alias("n"), F.min("part").alias("part"))
-    n = F.coalesce("n", F.lit(0))
-    return inputs.select("input").distinct().join(hits, "input", "left").select("input", F.when(n == 1, "link").when(n > 1, "question").otherwise("missing").alias("outcome"), F.when(n == 1, F.col("part")).alias("part"))
+    held = parts.groupBy("kind", "name").agg(F.count_distinct("part").alias("n"), F.min("part").alias("a"), F.max("part").alias("b"))
+    told = F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")
+    asked = inputs.select("input", F.col("kind").alias("wanted"), "text")
+    texts = named(asked.select("wanted", "text").distinct(), held).where("kind = wanted").groupBy("wanted", "text").agg(*told)
+    hits = asked.join(texts, ["wanted", "text"]).groupBy("input").agg(*told)
+    one, several = (F.col("n") == 1) & (F.col("a") == F.col("b")), (F.col("n") > 1) | (F.col("a") != F.col("b"))
+    return inputs.select("input").distinct().join(hits, "input", "left").select("input", F.when(one, "link").when(several, "question").otherwise("missing").alias("outcome"), F.when(one, F.col("a")).alias("part"))
