@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +139,9 @@ def similar_names(names: DataFrame) -> DataFrame:
     return both.where("n = 2").drop("n")
 
 
+WALKED_ROWS = 10_000
+
+
 def before_loops(links: DataFrame) -> DataFrame:
     """Of distinct links(a, b), those from which a loop can be reached: links into nodes without links out are peeled until none is left."""
     left, n = links, links.count()
@@ -159,37 +164,54 @@ def without_loops(links: DataFrame) -> DataFrame:
     if looped.isEmpty():
         return plain
     blocks = components(looped).select("node", "root")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b in rows[["a", "b"]].itertuples(index=False):
-            after.setdefault(a, []).append(b)
-        fed, every = set(rows["b"]), sorted(set(rows["a"]) | set(rows["b"]))
-        done: dict = {}  # False while a node is on the way, True after it
-        kept = []
-        for start in [*(n for n in every if n not in fed), *(n for n in every if n in fed)]:
-            if start in done:
-                continue
-            done[start] = False
-            way = [(start, iter(sorted(after.get(start, []))))]
-            while way:
-                node, rest = way[-1]
-                nxt = next(rest, None)
-                if nxt is None:
-                    done[node] = True
-                    way.pop()
-                elif done.get(nxt) is not False:
-                    kept.append((node, nxt))
-                    if nxt not in done:
-                        done[nxt] = False
-                        way.append((nxt, iter(sorted(after.get(nxt, [])))))
-        return pd.DataFrame(kept, columns=["a", "b"], dtype=object)
-
     types = dict(plain.dtypes)
-    walked = looped.join(blocks, looped.a == blocks.node).select("root", "a", "b").groupBy("root").applyInPandas(run, f"a {types['a']}, b {types['b']}")
+    dealt = looped.join(blocks, looped.a == blocks.node).select("root", "a", "b").repartition("root").sortWithinPartitions("root", "a", "b")
+    walked = dealt.mapInPandas(_walked_blocks, f"a {types['a']}, b {types['b']}")
     return plain.join(looped, ["a", "b"], "left_anti").unionByName(walked)
 
 
+def _walked_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links that stay of blocks (root, a, b), which come one after the other, sorted, and may span batches."""
+    root, block, kept = None, [], []
+    for batch in batches:
+        for r, a, b in zip(*(batch[c].tolist() for c in ("root", "a", "b")), strict=True):
+            if r != root and block:
+                _walk(block, kept)
+                block = []
+            root = r
+            block.append((a, b))
+        if len(kept) >= WALKED_ROWS:
+            yield pd.DataFrame(kept, columns=["a", "b"], dtype=object)
+            kept = []
+    _walk(block, kept)
+    yield pd.DataFrame(kept, columns=["a", "b"], dtype=object)
+
+
+def _walk(links: list[tuple], kept: list[tuple]) -> None:
+    """Adds to kept the links of one block, sorted, that a walk in depth finds not to lead back into its own way."""
+    after: dict = {}
+    for a, b in links:
+        after.setdefault(a, []).append(b)
+    fed = {b for _, b in links}
+    done: dict = {}  # False while a node is on the way, True after it
+    for start in [*(n for n in after if n not in fed), *sorted(fed)]:
+        if start in done:
+            continue
+        done[start] = False
+        way = [(start, iter(after.get(start, ())))]
+        while way:
+            node, rest = way[-1]
+            nxt = next(rest, None)
+            if nxt is None:
+                done[node] = True
+                way.pop()
+            elif done.get(nxt) is not False:
+                kept.append((node, nxt))
+                if nxt not in done:
+                    done[nxt] = False
+                    way.append((nxt, iter(after.get(nxt, ()))))
+
+
 def columns(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, column): the longest path from a node without predecessors; links that close a loop are left out first."""
     return longest_paths(materialise(without_loops(links), "acyclic"), nodes)

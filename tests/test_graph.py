@@ -50,3 +50,17 @@ def test_numbered(spark):
     rows = [(i * 37 % 101,) for i in range(101)]
     got = numbered(spark.createDataFrame(rows, "x long").repartition(5), "x").collect()
     assert sorted((r.x, r.number) for r in got) == [(i, i + 1) for i in range(101)]
+
+
+def test_blocks_are_walked_in_streams(spark):
+    """No group of its own for each block: very many small blocks share a task, and a block may span batches."""
+    rng = random.Random(5)
+    links = {(g * 20 + rng.randrange(15), g * 20 + rng.randrange(15)) for g in range(40) for _ in range(25)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = graph.without_loops(spark.createDataFrame(sorted(links), "a long, b long"))
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        assert {tuple(r) for r in got.collect()} == walk(links)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
