@@ -121,8 +121,8 @@ def entity_components(t):
 @query("""with f as (select l_partkey p, l_suppkey s, min(l_orderkey * 10 + l_linenumber) o from lineitem group by 1, 2)
           select 'name ' || p as node, arg_min('S-' || s, o) as root from f group by p union all select distinct 'S-' || s, 'S-' || s from f""")
 def entity_components_veto(t):
-    links = t.lineitem.select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("name "), F.col("l_partkey").cast("string")).alias("b"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"))
-    ranked = links.groupBy("a", "b").agg(F.min("o").alias("o")).select("a", "b", F.format_string("%012d %03d %012d", "o.l_orderkey", "o.l_linenumber", "o.l_partkey").alias("ord"))
+    links = t.lineitem.select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("name "), F.col("l_partkey").cast("string")).alias("b"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    ranked = links.groupBy("a", "b").agg(F.min("ord").alias("ord"))
     return graph.components_with_veto(ranked, "^[A-Z][A-Z0-9]*(-[A-Z0-9]+)+$")
 
 

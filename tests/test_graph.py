@@ -64,3 +64,17 @@ def test_blocks_are_walked_in_streams(spark):
         assert {tuple(r) for r in got.collect()} == walk(links)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_first_links_follow_the_order_of_the_sql(spark, tmp_path):
+    """Line numbers over 9, and keys of more than 12 digits: the order is that of l_orderkey * 10 + l_linenumber."""
+    import duckdb
+
+    from proofline.plans import QUERIES, SQL
+
+    rows = [(1, 1, 15, 4), (2, 1, 1, 3), (9, 2, 1, 7), (10, 2, 1, 6), (10**13, 3, 1, 2), (2 * 10**12, 3, 1, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {(r.node, r.root) for r in QUERIES["entity_components_veto"](spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in con.execute(SQL["entity_components_veto"]).fetchall()}
