@@ -6,7 +6,7 @@ any depth. All ids are in one namespace, as the model's are.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,8 @@ UNTRACED = "no trace and no assumption"
 BROKEN = "it refers to a removed element"
 CLEARED = "its check referred to a removed element"
 
+BROADCAST_ROWS = 20_000
+
 
 def removals(elements: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, reason) of the elements that go. elements(id, reason: null unless it goes by itself), needs(id, needed, ord, reason).
@@ -30,19 +32,30 @@ def removals(elements: DataFrame, needs: DataFrame) -> DataFrame:
     return _removals(materialise(elements.select("id", "reason"), "elements"), needs)
 
 
-def _removals(elements: DataFrame, needs: DataFrame) -> DataFrame:
+def _removals(elements: DataFrame, needs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """`removals` of written elements. roots(id): elements that likely need nothing, so few that they may be broadcast."""
     needs = materialise(needs.where("needed is not null").select("id", "needed", "ord", "reason"), "needs")
-    unknown = needs.select(F.col("needed").alias("id")).join(elements, "id", "left_anti")
-    front = materialise(elements.where("reason is not null").select("id").union(unknown).distinct(), "removed")
-    gone = [front]
+    own = elements.where("reason is not null").select("id")
+    if roots is not None and roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        moving = needs.select("id").union(own).join(F.broadcast(roots), "id", "left_semi").distinct()
+        stays = materialise(roots.join(F.broadcast(moving), "id", "left_anti"), "stays")
+        needs = needs.join(F.broadcast(stays.select(F.col("id").alias("needed"))), "needed", "left_anti")
+    unknown = needs.select(F.col("needed").alias("id")).distinct().join(elements, "id", "left_anti")
+    front = materialise(own.union(unknown).distinct(), "removed")
+    moving = needs.select(F.col("id").alias("needed")).union(front.select("id")).distinct()
+    needs = materialise(needs.join(moving, "needed", "left_semi").select("id", "needed", "ord", "reason"), "needs")  # what else is needed surely stays
+    gone, hits = [front], []
     while not front.isEmpty():
-        hit = needs.join(front.select(F.col("id").alias("needed")), "needed").select("id").distinct()
-        front = materialise(reduce(lambda d, g: d.join(g, "id", "left_anti"), gone, hit), "removed")
+        hit = materialise(needs.join(front.select(F.col("id").alias("needed")), "needed").groupBy("id").agg(F.min(F.struct("ord", "reason")).alias("first")), "hits")
+        hits.append(hit)
+        front = materialise(reduce(lambda d, g: d.join(g, "id", "left_anti"), gone, hit.select("id")), "removed")
         gone.append(front)
     every = reduce(DataFrame.union, gone)
-    why = needs.join(every.select(F.col("id").alias("needed")), "needed").groupBy("id").agg(F.min_by("reason", "ord").alias("later"))
-    removed = elements.join(every, "id", "left_semi").join(why, "id", "left")
-    return removed.select("id", F.coalesce("reason", "later").alias("reason"))
+    removed = elements.join(every, "id", "left_semi")
+    if not hits:
+        return removed
+    why = reduce(DataFrame.union, hits).groupBy("id").agg(F.min("first").alias("first"))
+    return removed.join(why, "id", "left").select("id", F.coalesce("reason", "first.reason").alias("reason"))
 
 
 @dataclass
@@ -83,6 +96,8 @@ class Gated:
 def gate(model: Model) -> Gated:
     """The honesty gate. A connection goes with either end, a parameter with its owner, a machine with its owner or any operand;
     a criterion stays, but its check goes with any operand; records lose what went, conflicts go with their subject."""
+
+    model = replace(model, machines=materialise(model.machines, "machines"))
     kinds = {"part": model.parts, "connection": model.connections, "parameter": model.parameters, "state machine": model.machines, "requirement": model.requirements, "acceptance criterion": model.criteria}
 
     def own(kind: str) -> Column:
@@ -95,23 +110,29 @@ def gate(model: Model) -> Gated:
         return rows.select(F.explode(members).alias("id"), F.col("id").alias("needed"), F.lit(kind).alias("kind"))
 
     held = inside(model.parts, "ports", "port").union(inside(model.machines, "timers", "timer")).union(inside(model.machines, "states", "state"))
+    # a port, timer or state that nothing refers to, and whose id no other element has, is in no result
+    asked = [model.connections.select("from_port"), model.connections.select("to_port"), model.parameters.select("owner"), model.machines.select("owner"), model.machines.select(F.explode("operands")), held.select("needed")]
+    asked += [model.criteria.select(F.explode("operands")), model.candidates.select("element"), model.lists.select("element"), model.conflicts.select("subject")]
+    asked += [d.select("id") for d in kinds.values()]
+    held = materialise(held.join(reduce(DataFrame.union, asked).toDF("id").distinct(), "id", "left_semi"), "inside")
     named = reduce(DataFrame.union, [d.select("id", own(k).alias("reason"), F.lit(k).alias("kind")) for k, d in kinds.items()])
     elements = materialise(named.union(held.select("id", F.lit(None).cast("string"), "kind")), "elements")
 
-    def need(rows: DataFrame, needed: Column, ord_: int, reason: Column) -> DataFrame:
+    def need(kind: str, needed: Column, ord_: int, reason: Column) -> DataFrame:
+        rows = kinds[kind].where(own(kind).isNull())  # what goes by itself keeps that reason
         return rows.select("id", needed.alias("needed"), F.lit(ord_).alias("ord"), reason.alias("reason"))
 
     end = F.lit("an end belonged to a removed part")
     owner = F.when(F.col("owner") != model.system, F.col("owner"))
     needs = [
-        need(held, F.col("needed"), 0, F.lit("inside a removed element")),
-        need(model.connections, F.col("from_port"), 0, end),
-        need(model.connections, F.col("to_port"), 1, end),
-        need(model.parameters, owner, 0, F.concat(F.lit("its owner '"), "owner", F.lit("' was removed"))),
-        need(model.machines, F.col("owner"), 0, F.lit(BROKEN)),
-        need(model.machines, F.explode("operands"), 1, F.lit(BROKEN)),
+        held.select("id", "needed", F.lit(0).alias("ord"), F.lit("inside a removed element").alias("reason")),
+        need("connection", F.col("from_port"), 0, end),
+        need("connection", F.col("to_port"), 1, end),
+        need("parameter", owner, 0, F.concat(F.lit("its owner '"), "owner", F.lit("' was removed"))),
+        need("state machine", F.col("owner"), 0, F.lit(BROKEN)),
+        need("state machine", F.explode("operands"), 1, F.lit(BROKEN)),
     ]
-    gone = materialise(_removals(elements.select("id", "reason"), reduce(DataFrame.union, needs)), "rejected")
+    gone = materialise(_removals(elements.select("id", "reason"), reduce(DataFrame.union, needs), model.parts.select("id")), "rejected")
     left = materialise(elements.join(gone, "id", "left_anti").select("kind", "id"), "kept")
     ids = left.select("id")
     told = elements.where(~F.col("kind").isin("port", "timer", "state")).select("kind", "id")

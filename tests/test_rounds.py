@@ -222,3 +222,22 @@ def test_removals_on_random_graphs(spark):
     want = {i: r or min((o, w) for j, n, o, w in needs if j == i and n in gone)[1] for i, r in elements if i in gone}
     got = dependency.removals(spark.createDataFrame(elements, "id string, reason string"), spark.createDataFrame(needs, "id string, needed string, ord int, reason string"))
     assert {r.id: r.reason for r in got.collect()} == want
+
+
+def test_needs_of_what_surely_stays_are_not_carried(spark, monkeypatch):
+    """Rounds carry only needs that something removed, or something with needs of its own, can leave unmet."""
+    from proofline.operators import dependency
+
+    written = []
+
+    def record(df, what):
+        written.append((what, df.count()))
+        return storage_materialise(df, what)
+
+    storage_materialise = dependency.materialise
+    monkeypatch.setattr(dependency, "materialise", record)
+    elements = spark.createDataFrame([("top", None), ("bad", "r"), ("y", None), *((f"e{n}", None) for n in range(50))], "id string, reason string")
+    needs = spark.createDataFrame([("y", "bad", 0, "a"), *((f"e{n}", "top", 0, "b") for n in range(50)), ("e7", "y", 1, "c")], "id string, needed string, ord int, reason string")
+    got = dependency.removals(elements, needs)
+    assert {tuple(r) for r in got.collect()} == {("bad", "r"), ("y", "a"), ("e7", "c")}
+    assert [n for what, n in written if what == "needs"][-1] == 2  # y's and e7's of 52
