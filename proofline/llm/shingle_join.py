@@ -235,6 +235,17 @@ def candidates(docs: DataFrame, parts: int, key) -> DataFrame:
     return each.where(room > 0).select("cls", F.explode(F.slice("words", F.lit(1), room)).alias("w")).select("cls", F.col("w.word").alias("word")).distinct()
 
 
+def hubs(links: DataFrame) -> DataFrame:
+    """Links that connect what `links(a, b)` connect: each a to the smallest of its b, its hub, and each of its other b to that hub.
+
+    Many a share their b and so those links among b: n members with k common b give about n + k links, not n * k.
+    """
+    each = links.groupBy("a").agg(F.min("b").alias("hub"), F.collect_set("b").alias("others"))
+    own = F.struct("a", F.col("hub").alias("b"))
+    rest = F.transform(F.filter("others", lambda b: b != F.col("hub")), lambda b: F.struct(b.alias("a"), F.col("hub").alias("b")))
+    return each.select(F.inline(F.concat(F.array(own), rest))).distinct()
+
+
 def _links(members: DataFrame, block: int) -> DataFrame:
     """Links (a, b) between the sets of members(root, cls, packed, members): enough of them to connect what is connected.
 
@@ -259,7 +270,8 @@ def _links(members: DataFrame, block: int) -> DataFrame:
 
     star = large.join(F.broadcast(pivots) if bytes_ <= BROADCAST_BYTES else pivots, "root").select("cls", "packed", "pivot", "pivot_set").mapInArrow(near, "a long, b long")
     star = materialise(star, "star-links")
-    grouped = large.join(components(star).select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    core = components(hubs(star))
+    grouped = large.join(core.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
     grouped = materialise(grouped, "family-groups")
     sizes = grouped.groupBy("root", "group").agg(F.count("*").alias("n"))
     per = sizes.groupBy("root").agg(F.max_by("group", "n").alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -267,7 +279,7 @@ def _links(members: DataFrame, block: int) -> DataFrame:
     rest = join_one(grouped, per, "root", "inner").withColumn("core", F.col("group") == F.col("largest")).drop("largest")
     rest = rest.withColumn("own", F.when(F.col("core"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("cls"), F.col("others")).cast("int")))
     little = sized_.where("not large").withColumns({"core": F.lit(False), "group": F.col("cls"), "own": F.lit(0), "others": F.lit(1)})
-    return star.unionByName(_blocks(little.unionByName(rest.select(little.columns)), block))
+    return core.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_blocks(little.unionByName(rest.select(little.columns)), block))
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -319,7 +331,7 @@ def join(docs: DataFrame, block: int = 256, bits: int = 64) -> DataFrame:
     parts = max(1, buckets(docs.sparkSession) // 2, -(-(every.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES))
     kept = materialise(candidates(docs, parts, key), "kept-words")
     leaders = kept.groupBy("word").agg(F.min("cls").alias("leader"))
-    family = components(kept.join(leaders, "word").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct())
+    family = components(hubs(kept.join(leaders, "word").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))))
     sizes = family.groupBy("root").agg(F.count("*").alias("members"))
     members = join_one(family, sizes, "root", "inner").select(F.col("node").alias("cls"), "root", "members")
     texts = every.where("cls is not null").groupBy("cls").agg(F.min("th").alias("th"))

@@ -111,3 +111,14 @@ def test_hot_keys(spark, monkeypatch):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in shingle_join.join(df).collect())
     assert got == brute(rows)
     assert sorted(r.doc_id for r in shingle_join.keep_one(df).collect()) == sorted({c for _, n, c in ((d, n, int(c)) for d, n, c in brute(rows)) if n} | {500 + i for i in range(9)})
+
+
+def test_hubs(spark):
+    """Members that share many leaders give about a link each, and connect as before."""
+    from proofline.operators.graph import components
+
+    pairs = [(100 + a, b) for a in range(300) for b in range(20)] + [(1000, 50), (1000, 51)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    few = shingle_join.hubs(links)
+    assert few.count() == 300 + 19 + 2
+    assert sorted(map(tuple, components(few).collect())) == sorted(map(tuple, components(links).collect()))
