@@ -115,3 +115,19 @@ def test_rest(spark):
     assert sorted(r.id for r in gate[0].collect()) == ["1", "10"] and gate[1].count() == 3
     same = series.early_stop(spark.createDataFrame([("s", 10.0)], "series string, t double"), spark.createDataFrame([("s", 7.0)], "series string, t double"), 2.0)
     assert same.count() == 1
+
+
+def test_equal_texts_are_read_once():
+    import pandas as pd
+
+    from proofline.functions import expressions
+
+    read = []
+
+    def one(text, to):
+        read.append(text)
+        return expressions.show(expressions.rename(expressions.parse(text), dict(to)))
+
+    texts, maps = ["a > 1", "a > 1", "a >", "a > 1", None] * 50, [{"a": "p"}, {"a": "q"}, {}, {"a": "p"}, {}] * 50
+    assert expressions._tried(one, pd.Series(texts), pd.Series(maps)) == ["p > 1", "q > 1", None, "p > 1", None] * 50
+    assert len(read) == 4
