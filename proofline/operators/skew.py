@@ -35,6 +35,11 @@ def join_one(rows: DataFrame, table: DataFrame, key: str, how: str = "left") ->
     return join_hot(rows, table, key, how, hot_keys(rows, key))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` dealt by a key that tells them apart, before costly work on each: a small file with many rows is read by few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def sorted_ranges(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """`rows` written in sorted ranges of (keys, order), with `__p`, the range's number. A key of any size spans several ranges."""
     by = [*(F.col(k) for k in keys), *(F.col(o) if isinstance(o, str) else o for o in order)]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import numbers
 from proofline.functions import text as X
-from proofline.operators import evidence, gates, graph, model, render, report, series
+from proofline.operators import evidence, gates, graph, model, render, report, series, skew
 from proofline.plans.registry import query
 from proofline.sources import readers, tables
 from proofline.storage import new_path
@@ -43,7 +43,7 @@ def read_csv_files(t):
           union all select cast(o_orderkey as varchar), 'Order of ' || o_custkey, 'Older: ' || o_orderpriority, 2 from orders""")
 def read_mail_files(t):
     mail = F.concat(F.lit("From: a@x\nTo: b@x\nSubject: Order of "), text("o_custkey"), F.lit("\nDate: Mon, 02 Mar 2026 10:00:00 +0000\n\nStatus "), "o_orderstatus", F.lit(" now.\n\n-----Original Message-----\nFrom: c@x\n\nOlder: "), "o_orderpriority", F.lit("\n"))
-    rows = readers.chunk_rows(_files(t.orders, "o_orderkey", ".eml", mail))
+    rows = readers.chunk_rows(_files(skew.spread(t.orders, "o_orderkey"), "o_orderkey", ".eml", mail))
     return rows.select("source_id", F.col("title").alias("subject"), "text", F.regexp_extract("locator", "message ([0-9]+)", 1).cast("int").alias("message"))
 
 
@@ -51,7 +51,7 @@ def read_mail_files(t):
           union all select p_partkey, 'list_item', '- ' || p_brand from part union all select p_partkey, 'table_row', 'A: ' || p_type || ' | B: 1' from part)""")
 def read_markdown_files(t):
     md = F.concat(F.lit("# "), "p_name", F.lit("\n\nSize "), text("p_size"), F.lit("\n\n- "), "p_brand", F.lit("\n\n| A | B |\n|---|---|\n| "), "p_type", F.lit(" | 1 |\n"))
-    return readers.chunk_rows(_files(t.part, "p_partkey", ".md", md)).select("source_id", "kind", "text")
+    return readers.chunk_rows(_files(skew.spread(t.part, "p_partkey"), "p_partkey", ".md", md)).select("source_id", "kind", "text")
 
 
 @query("select n_name as line from nation")
@@ -232,6 +232,6 @@ def controller_declarations(t):
 def text_fixes(t):
     source = F.concat(F.lit("model M"), text("p_partkey"), F.lit('\n  Real final(unit = "m^2");\n  Real y = final.x;\nend M;'))
     messages = F.concat(F.lit("Class SI.Length not found in scope P.M"), text("p_partkey"), F.lit(".\nNo viable alternative near token: final\nInvalid unit expression 'm^2'"))
-    rows = t.part.select("p_partkey", source.alias("text"), messages.alias("messages"))
+    rows = skew.spread(t.part.select("p_partkey"), "p_partkey").select("p_partkey", source.alias("text"), messages.alias("messages"))
     imported = rows.withColumn("text", render.import_fixes("text", "messages")).withColumn("text", render.reserved_name_fixes("text", "messages"))
     return imported.select("p_partkey", render.unit_fixes(F.col("text"), F.col("messages")).alias("text"))

@@ -132,3 +132,25 @@ def test_tables(spark, tmp_path):
     assert S.find_reference(ref).first().path == "a" and S.find_reference(ref.union(ref)).first().reason
     S.write_lines(spark.createDataFrame([(2, "b"), (1, "a")], "n int, line string"), str(tmp_path / "out"), ["n"])
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("name", ["read_markdown_files", "read_mail_files", "text_fixes"])
+def test_a_small_file_of_many_rows_is_dealt(spark, sf, name):
+    from pyspark.sql import functions as F
+
+    from proofline.plans import QUERIES
+
+    tasks = QUERIES[name](spark, sf).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_batches_of_chunks(spark, monkeypatch):
+    """Chunks of several files share a batch, and a batch may end within the files."""
+    from proofline.sources import readers
+
+    files = [(f"in/{i}.md", bytearray(f"# T{i}\n\n- a\n\nb {i}\n".encode() if i % 3 else b""), str(i)) for i in range(40)]
+    df = spark.createDataFrame(files, "path string, content binary, source_id string").coalesce(1)
+    want = sorted((str(i), k, x) for i in range(40) for k, x in ([("heading", f"# T{i}"), ("list_item", "- a"), ("paragraph", f"b {i}")] if i % 3 else [(None, None)]))
+    for most in (5000, 7):
+        monkeypatch.setattr(readers, "MAX_ROWS", most)
+        assert sorted(((r.source_id, r.kind, r.text) for r in readers.chunk_rows(df).collect()), key=repr) == sorted(want, key=repr)
