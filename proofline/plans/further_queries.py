@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import expressions
 from proofline.operators import assembly, evidence, render, schedule, series
+from proofline.operators.skew import spread
 from proofline.plans.registry import query
 from proofline.sources import tables
 from proofline.storage import new_path
@@ -37,7 +38,7 @@ def reference_found(t):
 @query("select cast(s_nationkey as varchar) as model, s_name as schema, cast(s_acctbal as varchar) as response from supplier")
 def replies_read(t):
     path = new_path(t.spark, "replies")
-    t.supplier.select(F.col("s_nationkey").cast("string").alias("model"), F.col("s_name").alias("schema"), F.col("s_acctbal").cast("string").alias("response")).write.option("maxRecordsPerFile", 1).json(path)
+    spread(t.supplier, "s_suppkey").select(F.col("s_nationkey").cast("string").alias("model"), F.col("s_name").alias("schema"), F.col("s_acctbal").cast("string").alias("response")).write.option("maxRecordsPerFile", 1).json(path)
     return tables.replies(t.spark, path).drop("key")
 
 

@@ -154,3 +154,11 @@ def test_batches_of_chunks(spark, monkeypatch):
     for most in (5000, 7):
         monkeypatch.setattr(readers, "MAX_ROWS", most)
         assert sorted(((r.source_id, r.kind, r.text) for r in readers.chunk_rows(df).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_replies_are_written_by_several_tasks(spark, sf, tmp_path, monkeypatch):
+    from proofline.plans import QUERIES, further_queries
+
+    monkeypatch.setattr(further_queries, "new_path", lambda spark, what: f"file://{tmp_path}/{what}")
+    assert QUERIES["replies_read"](spark, sf).count() == spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert len({p.name.split("-")[1] for p in (tmp_path / "replies").glob("part-*.json")}) > 1
