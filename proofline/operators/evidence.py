@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.text import line_range
-from proofline.operators.skew import carried, numbered, running
+from proofline.operators.skew import carried, joined_same, numbered, running
 from proofline.storage import materialise
 
 MAX_CHUNK, MAX_BATCH, MAX_QUOTE = 900, 4000, 300
+WHOLE_LINES, WHOLE_CHARS = 10_000, 1_000_000  # a source of at most both is cut as one row; the lines of longer ones stay rows
 
 
 def lines(text: Column) -> Column:
@@ -38,7 +39,11 @@ def blocks(sources: DataFrame, key: str, text: str = "text", cap: int = MAX_CHUN
 
     Null texts have no blocks; blocks of blank lines are left out.
     """
-    own = sources.where(F.col(text).isNotNull()).select(key, lines(F.col(text)).alias("l"))
+    return _cut(sources.where(F.col(text).isNotNull()).select(key, lines(F.col(text)).alias("l")), key, cap, starts_block)
+
+
+def _cut(own: DataFrame, key: str, cap: int, starts_block: str | None) -> DataFrame:
+    """The blocks of sources given as (key, l), l the array of their lines."""
     breaks = F.transform("l", lambda x: F.regexp_like(x, F.lit(starts_block)) if starts_block else F.lit(False))
     cut = own.withColumn("s", block_starts(F.transform("l", lambda x: F.length(x) + 1), breaks, cap))
     each = cut.select(key, "l", "s", F.posexplode("s").alias("block", "a")).withColumn("b", F.coalesce(F.get("s", F.col("block") + 1), F.size("l")))
@@ -96,9 +101,24 @@ def ruled_blocks(lines: DataFrame, key: str, order: str, size: Column, opens: Co
 
 
 def blocks_of_lines(lines: DataFrame, key: str, order: str, line: str = "line", cap: int = MAX_CHUNK, starts_block: str | None = None) -> DataFrame:
-    """What `blocks` gives, for sources whose lines are rows: key, block, first_line, last_line, locator, chunk."""
+    """What `blocks` gives, for sources whose lines are rows: key, block, first_line, last_line, locator, chunk.
+
+    Sources are measured first: one that fits a row is gathered and cut there, a longer one by ruled_blocks. lines is read twice.
+    """
+    own = lines.select(key, order, F.coalesce(F.col(line), F.lit("")).alias("__line"))
+    sizes = own.groupBy(key).agg(F.count("*").alias("__n"), F.sum(F.length("__line") + 1).alias("__c"))
+    long = materialise(sizes.where((F.col("__n") > WHOLE_LINES) | (F.col("__c") > WHOLE_CHARS)).select(key), "long-sources")
+    none = long.isEmpty()
+    short = own if none else joined_same(own, long, [key], "left_anti")
+    whole = short.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "__line"))).alias("l"))
+    found = _cut(whole.select(key, F.transform("l", lambda x: x["__line"]).alias("l")), key, cap, starts_block)
+    return found if none else found.unionByName(_blocks_of_long(joined_same(own, long, [key], "left_semi"), key, order, cap, starts_block))
+
+
+def _blocks_of_long(own: DataFrame, key: str, order: str, cap: int, starts_block: str | None) -> DataFrame:
+    """The blocks of sources given as rows (key, order, __line), of any length."""
     opens = F.regexp_like("__line", F.lit(starts_block)) if starts_block else F.lit(False)
-    cut = ruled_blocks(lines.select(key, order, F.coalesce(F.col(line), F.lit("")).alias("__line")), key, order, F.length("__line") + 1, opens, cap)
+    cut = ruled_blocks(own, key, order, F.length("__line") + 1, opens, cap)
     whole = cut.groupBy(key, "block").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.array_sort(F.collect_list(F.struct("place", "__line"))).alias("l"))
     chunk = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["__line"]), "\n"), "^\n+|\n+$", "")
     out = whole.select(key, F.col("block").cast("int").alias("block"), (F.col("a") + 1).cast("int").alias("first_line"), (F.col("b") + 1).cast("int").alias("last_line"), chunk.alias("chunk"))

@@ -22,6 +22,20 @@ def test_blocks_of_lines(spark, pattern):
     assert evidence.blocks_of_lines(lines.limit(0), "k", "n").count() == 0
 
 
+@pytest.mark.parametrize("limit", ["WHOLE_LINES", "WHOLE_CHARS"])
+def test_blocks_of_short_and_long_sources(spark, monkeypatch, limit):
+    rng = random.Random(4)
+    texts = {k: "\n".join("x" * rng.randrange(0, 30) for _ in range(n)) for k, n in (("long", 90), ("long2", 70), ("a", 5), ("b", 1), ("c", 12))} | {None: "one\n\ntwo"}
+    lines = spark.createDataFrame([(k, n, x or None) for k, t in texts.items() for n, x in enumerate(t.split("\n"))], "k string, n long, line string").repartition(5)
+    want = {tuple(r) for r in evidence.blocks(spark.createDataFrame(list(texts.items()), "k string, text string"), "k", cap=60).select("k", "block", "first_line", "last_line", "locator", "chunk").collect()}
+    seen, ruled = [], evidence.ruled_blocks
+    monkeypatch.setattr(evidence, limit, 40 if limit == "WHOLE_LINES" else 600)
+    monkeypatch.setattr(evidence, "ruled_blocks", lambda rows, *a: seen.extend(r.k for r in rows.select("k").distinct().collect()) or ruled(rows, *a))
+    got = evidence.blocks_of_lines(lines, "k", "n", cap=60).select("k", "block", "first_line", "last_line", "locator", "chunk").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sorted(seen) == ["long", "long2"]  # every source went through the written ranges before
+
+
 def test_sets_within_sets(spark):
     rng = random.Random(5)
     draw = lambda n: sorted({"common", *(f"a{rng.randrange(12)}" for _ in range(n))} if rng.random() < 0.9 else set())
