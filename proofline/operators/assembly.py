@@ -119,10 +119,11 @@ def resolve_connections(fragments: DataFrame, names: DataFrame, parts: DataFrame
     signal port that it is joined to, named after the other part's alias, else the signal, else the part; the first fragment
     decides. Connections(id, from_port, to_port, medium, traces) with the same ends are one; problems(ord, chunk, reason).
     """
-    side = {s: parts.select(*(F.col(c).alias(f"{s}_{c}") for c in ("part", "dynamic", "alias", "ports"))) for s in "ab"}
-    j = fragments.withColumns({"__a": name_key(F.col("from_tag")), "__b": name_key(F.col("to_tag"))})
+    known = names.select("key", "part").join(parts.select("part", "dynamic", "alias", "ports"), "part", "left")  # so fragments, the most rows, meet one table an end
+    j = fragments.withColumns({"__a": name_key(F.col("from_tag")), "__b": name_key(F.col("to_tag"))}).drop("from_tag", "to_tag")
     for s in "ab":
-        j = j.join(names.select(F.col("key").alias(f"__{s}"), F.col("part").alias(f"{s}_part")), f"__{s}", "left").join(side[s], f"{s}_part", "left")
+        end = known.select(F.col("key").alias(f"__{s}"), *(F.col(c).alias(f"{s}_{c}") for c in ("part", "dynamic", "alias", "ports")))
+        j = j.join(end, f"__{s}", "left").drop(f"__{s}")
     j = j.withColumns({"a": end_ports(F.col("a_ports"), True, F.col("from_role")), "b": end_ports(F.col("b_ports"), False, F.col("to_role"))})
     pairs = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: y["domain"] == x["domain"]), lambda y: F.struct(x["role"].alias("a"), y["role"].alias("b")))))
     forward = ~F.col("a_dynamic")  # the part with ports of its own sends
@@ -134,19 +135,25 @@ def resolve_connections(fragments: DataFrame, names: DataFrame, parts: DataFrame
         .when(F.col("none") & (F.size("pairs") == 0), "no port pair with matching domains").when(F.col("none") & (F.size("pairs") > 1), "ambiguous ports")
         .when(~F.col("none") & (F.size("signals") == 0), "no signal port").when(~F.col("none") & (F.size("signals") > 1), "ambiguous ports")
     )
-    j = materialise(j.withColumn("reason", reason).drop("from_tag", "to_tag", "from_role", "to_role", "a", "b"), "fragments")  # read by all that follows
+    j = j.withColumn("reason", reason)
+    own, other = (F.when(forward, F.col(f"{x}_part")).otherwise(F.col(f"{y}_part")) for x, y in ("ab", "ba"))
+    one = F.col("signals")[0]
+    alias, ports = F.when(forward, F.col("a_alias")).otherwise(F.col("b_alias")), F.when(forward, F.col("a_ports")).otherwise(F.col("b_ports"))
+    facing = F.size(F.filter(ports, lambda p: p["domain"].isin(SIGNALS) & p["direction"].isin("inout", one["direction"])))
+    told = F.when(facing <= 1, alias).otherwise(F.concat_ws(" ", alias, F.when(alias.isNotNull(), one["role"])))
 
     def port(part: str, role: Column) -> Column:
         return F.concat_ws("_", F.col(part), role)
 
-    fixed = j.where("reason is null and none").select("ord", "chunk", "tag", "medium", port("a_part", F.col("pairs")[0]["a"]).alias("from_port"), port("b_part", F.col("pairs")[0]["b"]).alias("to_port"))
+    good, fixed_, led = F.col("reason").isNull(), F.col("reason").isNull() & F.col("none"), F.col("reason").isNull() & ~F.col("none")
+    rest = {"tag": (good, F.col("tag")), "medium": (good, F.col("medium")), "from_port": (fixed_, port("a_part", F.col("pairs")[0]["a"])), "to_port": (fixed_, port("b_part", F.col("pairs")[0]["b"]))}
+    rest |= {"forward": (led, forward), "own": (led, own), "controller": (led, other), "role": (led, one["role"]), "domain": (led, one["domain"]), "told": (led, told), "signal": (led, F.col("signal"))}
+    j = materialise(j.select("ord", "chunk", "reason", "none", *(F.when(where, c).alias(n) for n, (where, c) in rest.items())), "fragments")  # read by all that follows
+
+    fixed = j.where("reason is null and none").select("ord", "chunk", "tag", "medium", "from_port", "to_port")
     d = j.where("reason is null and not none")
-    own, other = (F.when(forward, F.col(f"{x}_part")).otherwise(F.col(f"{y}_part")) for x, y in ("ab", "ba"))
-    one = F.col("signals")[0]
-    alias, ports = F.when(forward, F.col("a_alias")).otherwise(F.col("b_alias")), F.when(forward, F.col("a_ports")).otherwise(F.col("b_ports"))
-    facing = F.size(F.filter(ports, lambda p: p["domain"].isin(SIGNALS) & p["direction"].isin("inout", one["direction"])))
-    name = F.coalesce(F.when(facing <= 1, alias).otherwise(F.concat_ws(" ", alias, F.when(alias.isNotNull(), one["role"]))), F.when(name_key(F.col("signal")) != "", F.col("signal")), own)
-    d = d.select("ord", "chunk", "tag", "medium", forward.alias("forward"), F.concat_ws("_", own, one["role"]).alias("static"), other.alias("controller"), one["domain"].alias("domain"), F.nullif(name, F.lit("")).alias("name"))
+    name = F.coalesce("told", F.when(name_key(F.col("signal")) != "", F.col("signal")), "own")
+    d = d.select("ord", "chunk", "tag", "medium", "forward", F.concat_ws("_", "own", "role").alias("static"), "controller", "domain", F.nullif(name, F.lit("")).alias("name"))
     first = d.groupBy("static", "controller").agg(F.min_by("name", "ord").alias("name"))
     d = d.drop("name").join(first, ["static", "controller"]).withColumn("port", F.concat_ws("_", "controller", make_id(F.lit("port"), F.col("name"))))
     facts = d.groupBy("port").agg(F.min_by(F.struct("forward", "domain"), "ord").alias("fact"))

@@ -1,6 +1,6 @@
 """Joins on keys that many rows share: counted before rows meet, so that no join makes rows by the square of a key's rows."""
 
-from proofline.operators import entities, matching, model
+from proofline.operators import assembly, entities, matching, model
 
 
 def rows_of_joins(df) -> int:
@@ -47,3 +47,24 @@ def test_choose_ports(spark):
     want = {n: (None, None, "ports fit equally") for n in range(200)} | {500: (None, None, "ports fit equally"), 501: (None, None, "units differ"), 502: (302, "continuous", None), 503: (None, None, "units differ"), 504: (None, None, "no variable"), 505: (None, None, "no port fits")}
     assert {r.column: (r.port, r.kind, r.reason) for r in found.collect()} == want
     assert rows_of_joins(found) < 1000  # 200 x 200 columns and ports of one set of tokens before
+
+
+def test_connections_meet_one_table_an_end(spark, monkeypatch):
+    role = "array<struct<role:string,direction:string,domain:string>>"
+    parts = [("v1", False, "V1", [("out", "out", "fluid"), ("level", "out", "signal_real")]), ("v2", False, None, [("in", "in", "fluid"), ("command", "in", "signal_real")]), ("c1", True, "C", None)]
+    fragments = [(1, 10, "K-1", "V 1", "out", "v2", None, "water", None), (2, 11, None, "V-1", None, "C1", None, None, "lvl"), (3, 12, None, "C1", None, "V2", None, "wire", "!"), (4, 13, None, "V1", None, "gone", None, None, None), (5, 14, "K 1", "v1", "level", "V2", None, None, None)]
+    written, write = [], assembly.materialise
+    monkeypatch.setattr(assembly, "materialise", lambda df, what: written.append(df) or write(df, what))
+    every = spark.createDataFrame(parts, f"part string, dynamic boolean, alias string, ports {role}")
+    found, problems = assembly.resolve_connections(
+        spark.createDataFrame(fragments, "ord int, chunk int, tag string, from_tag string, from_role string, to_tag string, to_role string, medium string, signal string"), every.select(every.part.alias("key"), "part"), every
+    )
+    assert {(*r[:4], *r.traces) for r in found.collect()} == {
+        ("k_1", "v1_out", "v2_in", "water", 10), ("c1_v2_to_v2_command", "c1_v2", "v2_command", "wire", 12), ("v1_level_to_c1_v1", "v1_level", "c1_v1", None, 11), ("v1_level_to_v2_command", "v1_level", "v2_command", None, 14)
+    }
+    assert {(r.ord, r.reason) for r in problems.collect()} == {(4, "not a known part")}
+    node, joins = written[0]._jdf.queryExecution().optimizedPlan(), 0
+    while node.children().size():
+        joins, node = joins + (node.getClass().getSimpleName() == "Join"), node.children().apply(0)
+    assert joins == 2  # four before: names and parts apart
+    assert not any("array" in t or c.startswith("__") for c, t in written[0].dtypes)  # ports and keys are not written
