@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofline.functions.numbers import finite
 
 SECONDS = r"\d+(?:\.\d+)?"
+NUMBER = rf"^{SECONDS}$"
 
 
 def table_of(locator: Column) -> Column:
@@ -30,11 +31,46 @@ def press_times(texts: DataFrame, controls: DataFrame, fields: str | None = None
     nothing but the name. Where texts have `fields` (a map of a row's headers to its cells), the row's one time in seconds
     counts if a cell is the name. The name stands as a whole token; a control may have several names, and matches inside a
     wider one have its time.
+
+    Names that are one word are not tried on texts: what a text states is read once for all of them and then joined by name.
+    Other names, and texts that are not ASCII (where lower case may make a letter of another character), are tried in pairs.
     """
+    word = F.col("name").rlike(r"\A[A-Za-z][A-Za-z0-9]+\z") & (F.lower("name") != "at")  # no part of `at N s`
+    plain = F.col("text").rlike(r"\A[\x00-\x7F]*+\z")
+    others = controls.where(~word)
+    by_name = _stated(texts.where(plain), fields).join(controls.where(word).select("control", F.lower("name").alias("name")), "name").select("control", "source", "t")
+    times = by_name.union(_tried(texts.where(~plain), controls, fields))
+    if not others.isEmpty():
+        times = times.union(_tried(texts.where(plain), others, fields))
+    return times.distinct().groupBy("control", "source").agg(F.array_sort(F.collect_set("t")).alias("times"))
+
+
+def _stated(texts: DataFrame, fields: str | None) -> DataFrame:
+    """What ASCII texts state by the rules of press_times for any name that is one word: source, name (in lower case), t."""
+    text, empty = F.col("text"), F.expr("cast(array() as array<struct<name:string,t:string>>)")
+    # The text is not put in lower case as a whole. A look-ahead takes no characters, so a word may also stand in what follows one.
+    behind = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![a-z0-9])(?=([a-z][a-z0-9]++\s+at\s+{SECONDS}\s*s\b))"), 1)
+    said = F.transform(behind, lambda x: F.struct(F.regexp_extract(x, "^[A-Za-z0-9]+", 0).alias("name"), F.regexp_extract(x, rf"({SECONDS})\s*[sS]$", 1).alias("t")))
+    rows = texts.withColumn("__lines", F.when(in_seconds(text), F.transform(F.split(F.regexp_replace(text, r"[\t\r]", " "), "\n"), lambda x: F.trim(x))))
+    rest = F.greatest(F.size("__lines") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__lines", 2, rest), F.slice("__lines", 1, rest), lambda n, t: F.struct(n.alias("name"), t.alias("t")))
+    listed = F.filter(pairs, lambda x: x["t"].rlike(NUMBER))
+    stated = F.concat(said, F.coalesce(listed, empty))
+    if fields:
+        cells = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("k"), F.trim(e["value"]).alias("v")))
+        rows = rows.withColumns({"__cells": cells, "__words": F.split(F.lower(text), "[^a-z0-9]+")})
+        rows = rows.withColumn("__seconds", F.transform(F.filter("__cells", lambda e: in_seconds(e["k"]) & e["v"].rlike(NUMBER)), lambda e: e["v"]))
+        meant = F.transform(F.filter("__cells", lambda e: F.array_contains("__words", F.lower(e["v"]))), lambda e: F.struct(e["v"].alias("name"), F.get("__seconds", F.lit(0)).alias("t")))
+        stated = F.concat(stated, F.coalesce(F.when(F.size("__seconds") == 1, meant), empty))
+    return rows.select("source", F.explode(stated).alias("x")).select("source", F.lower("x.name").alias("name"), F.col("x.t").cast("double").alias("t")).distinct()
+
+
+def _tried(texts: DataFrame, controls: DataFrame, fields: str | None) -> DataFrame:
+    """The times of press_times, each name tried on each text that mentions it: control, source, t."""
     from proofline.operators.quotes import named
 
     hits = named(texts, controls)
-    name, number = F.lower(F.trim("name")), rf"^{SECONDS}$"
+    name, number = F.lower(F.trim("name")), NUMBER
     none = F.expr("cast(array() as array<string>)")
     escaped = F.regexp_replace(name, r"([^A-Za-z0-9\s])", r"\\$1")
     behind = F.split(F.lower("text"), F.concat(F.lit(r"(?<![a-z0-9])"), escaped, F.lit(r"(?![a-z0-9])")))
@@ -48,8 +84,7 @@ def press_times(texts: DataFrame, controls: DataFrame, fields: str | None = None
         seconds = F.transform(F.filter(cells, lambda e: in_seconds(e["k"]) & e["v"].rlike(number)), lambda e: e["v"])
         meant = (F.size(seconds) == 1) & F.exists(cells, lambda e: F.lower(e["v"]) == name)
         stated = F.concat(stated, F.when(F.coalesce(meant, F.lit(False)), seconds).otherwise(none))
-    times = hits.select("control", "source", F.explode(stated).alias("t")).withColumn("t", F.col("t").cast("double"))
-    return times.groupBy("control", "source").agg(F.array_sort(F.collect_set("t")).alias("times"))
+    return hits.select("control", "source", F.explode(stated).alias("t")).withColumn("t", F.col("t").cast("double"))
 
 
 def in_seconds(header: Column) -> Column:

@@ -71,3 +71,17 @@ def test_press_times(spark):
     names = spark.createDataFrame([("PB", "START")], "control string, name string")
     assert {(r.source, tuple(r.times)) for r in schedule.press_times(texts, names, "fields").collect()} == {("a", (5.5, 20.0)), ("b", (7.0, 9.0)), ("d", (12.0,))}
     assert {(r.source, tuple(r.times)) for r in schedule.press_times(texts, names).collect()} == {("a", (5.5, 20.0)), ("b", (7.0, 9.0))}
+
+
+def test_press_times_of_words_are_read_once(spark, monkeypatch):
+    rows = [("a", "start at 1 S AT 2 s; STOP\tat\n3.5s, xstart at 4 s, start at 5 sec, start9 at 6 s", {}), ("b", "T [s]\n time [ S ]\n1\nSTART\r\n2\n\tstop 1\t\n3", {}), ("c", "\u212atop at 4 s, Start at 8 s é", {}), ("d", "start | 5", {"time (s)": "5", "x": "START", "y": "stop"}), ("e", None, {"time (s)": "5", "x": "start"})]
+    texts = spark.createDataFrame(rows, "source string, text string, fields map<string,string>")
+    names = [("A", "START"), ("A2", "start"), ("B", "stop"), ("K", "ktop"), ("S", "s"), ("T", "at"), ("W", "stop 1"), ("N", None)]
+    tried, pairs = [], schedule._tried
+    monkeypatch.setattr(schedule, "_tried", lambda t, c, f: tried.append(({r.source for r in t.collect()}, {r.name for r in c.collect()})) or pairs(t, c, f))
+    for fields in (None, "fields"):
+        controls = spark.createDataFrame(names, "control string, name string")
+        every = pairs(texts, controls, fields).groupBy("control", "source").agg(F.array_sort(F.collect_set("t")).alias("times"))
+        got = schedule.press_times(texts, controls, fields).collect()
+        assert sorted(map(str, got)) == sorted(map(str, every.collect())) and len(got) >= 6
+    assert tried == [({"c"}, {n for _, n in names}), ({"a", "b", "d"}, {"s", "at", "stop 1"})] * 2  # all names were tried on all texts before
