@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.operators.skew import join_one, numbered
+from proofline.operators.skew import dealt, hot_keys, join_one, numbered
 from proofline.storage import materialise, new_path
 
 
@@ -75,11 +75,23 @@ def pointed(up: DataFrame) -> DataFrame:
         up = new.select("c", "up", "t")
 
 
+HOT_INPUT = 100_000  # links of an input that has so many are not all brought to one task
+
+
 def single_drivers(links: DataFrame) -> DataFrame:
     """Of `links(input, driver, rank, source)`: input, driver and n_drivers; driver is null where the best evidence ties.
 
-    A driver's evidence is its best rank, then its number of distinct sources.
+    A driver's evidence is its best rank, then its number of distinct sources. Links are dealt by input once and counted there,
+    a bounded number a task; those without an input, or of one that would fill a task, are counted step by step. links is read often.
     """
+    heavy, usual, hot = hot_keys(links, "input", HOT_INPUT), links.where("input is not null"), links.where("input is null")
+    if heavy is not None:
+        hot = hot.unionByName(usual.join(F.broadcast(heavy), "input", "left_semi").select(links.columns))
+        usual = usual.join(F.broadcast(heavy), "input", "left_anti")
+    return _best_drivers(dealt(usual, ["input"], links.count())).unionByName(_best_drivers(hot))
+
+
+def _best_drivers(links: DataFrame) -> DataFrame:
     evidence = links.groupBy("input", "driver").agg(F.min("rank").alias("rank"), (-F.count_distinct("source")).alias("sources"))
     level = evidence.groupBy("input", "rank", "sources").agg(F.count("*").alias("n"), F.min("driver").alias("driver"))
     best = level.groupBy("input").agg(F.min_by(F.struct("n", "driver"), F.struct("rank", "sources")).alias("b"), F.sum("n").alias("n_drivers"))

@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 from proofline.storage import materialise
 
 LEAST, MOST = 1000, 50_000  # a hot key has so many rows at least; there are so many hot keys at most
+DEALT_ROWS = 1_000_000  # a task gets about so many of the rows that `dealt` deals
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """Keys with at least LEAST rows, and at least 1 / MOST of all, so MOST of them at most; None if there are none. rows is read twice."""
+def dealt(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """`rows` (about n) dealt by the hash of keys, in as many partitions as n asks for, so that a task's share does not grow with n.
+
+    What groups by the keys, or by more columns, runs on a partition as it stands, without a further shuffle. Few rows are
+    dealt by the setting, and Spark may join their partitions.
+    """
+    spark, parts = rows.sparkSession, -(-n // DEALT_ROWS)
+    usual = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys) if parts > usual else rows.repartition(*keys)
+
+
+def hot_keys(rows: DataFrame, key: str, least: int | None = None) -> DataFrame | None:
+    """Keys with at least `least` (LEAST) rows, and at least 1 / MOST of all, so MOST of them at most; None if there are none. rows is read twice."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
     total = rows.count()
-    heavy = materialise(counts.where(F.col("__n") >= max(LEAST, -(-total // MOST))).drop("__n"), "hot-keys")
+    heavy = materialise(counts.where(F.col("__n") >= max(least or LEAST, -(-total // MOST))).drop("__n"), "hot-keys")
     return None if heavy.isEmpty() else heavy
 
 
