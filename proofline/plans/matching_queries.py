@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from proofline.operators import acceptance, graph, honesty, matching
+from proofline.operators.skew import dealt
 from proofline.plans.registry import query
 
 
@@ -11,13 +12,20 @@ def text(column):
 
 
 def _ids(t):
-    """Lines as ports of their part: the result has those under 40 pieces, every other one under another id."""
-    key = F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey"))
-    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("role"))
-    reference = lines.select(key.alias("id"), F.col("l_partkey").alias("part"), "role")
-    produced = lines.where("q < 40").select(F.when(F.col("l_linenumber") % 2 == 0, key).otherwise(F.concat(F.lit("x"), key)).alias("id"), F.col("l_partkey").alias("part"), "role")
+    """Lines as ports of their part: the result has those under 40 pieces, every other one under another id.
+
+    Both sides are cut from one pass over the lines, so that these are grouped once. The last item is about how many ports there are.
+    """
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    n = t.lineitem.count()
+    key = F.concat_ws("-", *(text(k) for k in keys))
+    lines = dealt(t.lineitem.select(*keys, "l_quantity", "l_returnflag"), keys, n).groupBy(*keys).agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("role"))
+    made = F.explode(F.array_compact(F.array(F.lit(False), F.when(F.col("q") < 40, True)))).alias("made")
+    ports = lines.select(*keys, "role", made)
+    name = F.when(~F.col("made") | (F.col("l_linenumber") % 2 == 0), key).otherwise(F.concat(F.lit("x"), key))
+    sides = (ports.where(side).select(name.alias("id"), F.col("l_partkey").alias("part"), "role") for side in ("not made", "made"))
     part_map = t.part.where("p_size > 10").select(F.col("p_partkey").alias("reference"), F.col("p_partkey").alias("produced"))
-    return part_map, reference, produced
+    return part_map, *sides, 2 * n
 
 
 PORTS = """

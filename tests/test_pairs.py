@@ -1,6 +1,9 @@
 """Joins on keys that many rows share: counted before rows meet, so that no join makes rows by the square of a key's rows."""
 
-from proofline.operators import assembly, entities, matching, model
+import random
+
+from proofline.operators import assembly, entities, matching, model, skew
+from proofline.plans import QUERIES
 
 
 def rows_of_joins(df) -> int:
@@ -68,3 +71,38 @@ def test_connections_meet_one_table_an_end(spark, monkeypatch):
         joins, node = joins + (node.getClass().getSimpleName() == "Join"), node.children().apply(0)
     assert joins == 2  # four before: names and parts apart
     assert not any("array" in t or c.startswith("__") for c, t in written[0].dtypes)  # ports and keys are not written
+
+
+def test_covered_ports_are_shuffled_once_a_step(spark, sf, monkeypatch):
+    """Ports go by id once and by their keys once, whatever is repeated or missing; the query groups its lines once for both sides."""
+    rng = random.Random(4)
+
+    def ports(n):
+        return [(rng.choice([None, *range(60)]), rng.choice([None, *range(5)]), rng.choice([None, "in", "out"])) for _ in range(n)]
+
+    part_map, reference, produced = [(0, 10), (1, 11), (1, 12), (2, 2), (3, 2), (None, 4)], ports(150), [(i, p if p is None or p == 2 else p + 10, r) for i, p, r in ports(130)]
+    mapped = [(i, q, r) for i, p, r in reference for p0, q in part_map if p is not None and p == p0]
+    want = [(i, i, "id") for i, p, _ in mapped for j, q, _ in produced if i is not None and (i, p) == (j, q)]
+    met = {i for i, _, _ in want}
+    left, right = ([row for row in side if row[0] not in met] for side in (mapped, produced))
+    for key in {row[1:] for row in left if None not in row[1:]}:
+        a, b = (sorted((row[0] for row in side if row[1:] == key), key=lambda i: (i is not None, i)) for side in (left, right))
+        want += [(*pair, "alias") for pair in zip(a, b, strict=False)]
+    assert {by for _, _, by in want} == {"id", "alias"} and len(set(want)) < len(want)
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        sides = [spark.createDataFrame(rows, "id int, part int, role string") for rows in (reference, produced)]
+        maps = spark.createDataFrame(part_map, "reference int, produced int")
+        assert sorted(map(str, map(tuple, matching.covered_ports(maps, *sides).collect()))) == sorted(map(str, want))
+        found = matching.covered_ports(maps, *sides, 280)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4  # two of them meet the map
+        monkeypatch.setattr(skew, "DEALT_ROWS", 20)
+        found = matching.covered_ports(maps, *sides, 280)
+        assert found._jdf.queryExecution().executedPlan().toString().count(", 14), REPARTITION_BY_NUM") == 2
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+        plan = QUERIES["covered_ports"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("+- Exchange hashpartitioning(l_orderkey") == 1 and "ReusedExchange" in plan
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
