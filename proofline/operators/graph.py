@@ -36,14 +36,14 @@ def components_with_veto(links: DataFrame, formal: str) -> DataFrame:
     """(node, root) where two components that hold different formal tags (nodes that match the pattern `formal`) never join.
 
     The outcome is that of a union along `links(a, b, ord)` in the order of ord (then of a and b), which skips a link whose
-    ends both hold a tag by then; root is the smallest node. It is found in rounds: a component without a tag surely joins
+    ends both hold a tag by then; links without an ord come last; root is the smallest node. It is found in rounds: a component without a tag surely joins
     along its first link, for no earlier link touches it and a tag on one side only never forbids. Links between components
     that both hold a tag go, as tags are never lost. Each round at least halves the components without a tag that have a link.
     """
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     owner = materialise(nodes.select("node", F.col("node").alias("comp")), "components")
     tagged = {x: F.coalesce(F.col(x).rlike(formal), F.lit(False)) for x in ("a", "b")}
-    open_ = links.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), tagged["a"].alias("tx"), tagged["b"].alias("ty"), F.struct("ord", "a", "b").alias("at"))
+    open_ = links.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), tagged["a"].alias("tx"), tagged["b"].alias("ty"), F.struct(F.col("ord").isNull().alias("late"), "ord", "a", "b").alias("at"))
     while True:
         ends = F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         tags = F.struct(F.when(F.col("x") < F.col("y"), F.col("tx")).otherwise(F.col("ty")).alias("tx"), F.when(F.col("x") < F.col("y"), F.col("ty")).otherwise(F.col("tx")).alias("ty"))

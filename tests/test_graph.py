@@ -78,3 +78,17 @@ def test_first_links_follow_the_order_of_the_sql(spark, tmp_path):
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     got = {(r.node, r.root) for r in QUERIES["entity_components_veto"](spark, str(tmp_path)).collect()}
     assert got == {tuple(r) for r in con.execute(SQL["entity_components_veto"]).fetchall()}
+
+
+def test_links_without_a_place_come_last(spark, tmp_path):
+    """An order key or line number that is null is no first one: the SQL's arg_min passes over it."""
+    import duckdb
+
+    from proofline.plans import QUERIES, SQL
+
+    rows = [(None, 4, 1, 8), (7, 4, 1, 2), (3, 5, None, 2), (9, 5, 2, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {(r.node, r.root) for r in QUERIES["entity_components_veto"](spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in con.execute(SQL["entity_components_veto"]).fetchall()}
