@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from proofline.operators import dependency, graph
 from proofline.operators.dependency import Model
+from proofline.operators.skew import dealt
 from proofline.plans.registry import query
 
 
@@ -19,14 +20,16 @@ def _model(t) -> Model:
     nations = t.nation.join(ports, F.col("n_nationkey") == F.col("n"), "left")
     none = F.expr("cast(array() as array<string>)")
     line = key("l", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    lines = t.lineitem.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    every = t.lineitem.select(*keys, (F.col("l_returnflag") != "R").alias("traced"), (F.col("l_quantity") < 50).alias("sound"))
+    lines = dealt(every, keys, t.lineitem.count()).dropDuplicates(keys)
     return Model(
         parts=nations.select(key("n", "n_nationkey").alias("id"), (F.col("n_nationkey") % 5 != 0).alias("traced"), F.coalesce("ports", none).alias("ports")),
         connections=t.part.select(key("p", "p_partkey").alias("id"), (F.col("p_size") > 3).alias("traced"), key("s", "p_size").alias("from_port"), key("c", "p_partkey").alias("to_port")),
         parameters=t.orders.select(key("o", "o_orderkey").alias("id"), (F.col("o_orderpriority") != "5-LOW").alias("traced"), F.when(F.col("o_orderstatus") == "P", "system").otherwise(F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string"))).alias("owner")),
         machines=lines.select(
-            line.alias("id"), (F.col("l_returnflag") != "R").alias("traced"), F.lit("n1").alias("owner"), F.array(key("o", "l_orderkey"), key("s", "l_suppkey")).alias("operands"),
-            none.alias("timers"), F.array(F.concat(F.lit("x"), line)).alias("states"), (F.col("l_quantity") < 50).alias("sound"),
+            line.alias("id"), "traced", F.lit("n1").alias("owner"), F.array(key("o", "l_orderkey"), key("s", "l_suppkey")).alias("operands"),
+            none.alias("timers"), F.array(F.concat(F.lit("x"), line)).alias("states"), "sound",
         ),
         requirements=t.region.select(key("r", "r_regionkey").alias("id"), F.lit(True).alias("traced")),
         criteria=t.events.select(key("e", "event_id").alias("id"), (F.col("event_type") != "error").alias("traced"), F.when(F.col("value") > 1, F.array(key("c", "user_id"))).alias("operands"), F.lit(True).alias("sound")),

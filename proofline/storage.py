@@ -42,11 +42,11 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: it cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
+    """Write a table in the shared folder and read it back: it cuts lineage and survives lost executors. codec: other than the session's."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(schema).parquet(path)
 
 

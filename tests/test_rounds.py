@@ -241,3 +241,70 @@ def test_needs_of_what_surely_stays_are_not_carried(spark, monkeypatch):
     got = dependency.removals(elements, needs)
     assert {tuple(r) for r in got.collect()} == {("bad", "r"), ("y", "a"), ("e7", "c")}
     assert [n for what, n in written if what == "needs"][-1] == 2  # y's and e7's of 52
+
+
+def gated(m):
+    """The gate's results by plain sets; m holds lists of rows, all ids differ."""
+    none, broken = dependency.UNTRACED, dependency.BROKEN
+    inside = [(q, p) for p, _, ports in m["parts"] for q in ports] + [(x, i) for i, _, _, _, timers, states, _ in m["machines"] for x in timers + states]
+    reason = {i: None for i, _ in inside} | {i: None if t else none for rows in ("parts", "connections", "parameters", "requirements") for i, t, *_ in m[rows]}
+    reason |= {i: None if t else "no trace" for i, t, *_ in m["criteria"]} | {i: none if not t else None if sound else broken for i, t, *_, sound in m["machines"]}
+    needs = [(i, n, 0, "inside a removed element") for i, n in inside] + [(i, n, k, "an end belonged to a removed part") for i, _, *ends in m["connections"] for k, n in enumerate(ends)]
+    needs += [(i, n, 0, f"its owner '{n}' was removed") for i, _, n in m["parameters"] if n != "system"] + [(i, n, k, broken) for i, _, owner, ops, *_ in m["machines"] for k, n in [(0, owner), *((1, o) for o in ops)]]
+    needs = [n for n in needs if reason[n[0]] is None]
+    gone = {i for i, r in reason.items() if r}
+    while more := {i for i, n, *_ in needs if n in gone or n not in reason} - gone:
+        gone |= more
+    kinds = {"part": "parts", "connection": "connections", "parameter": "parameters", "state machine": "machines", "requirement": "requirements", "acceptance criterion": "criteria"}
+    kind = {i: k for k, rows in kinds.items() for i, *_ in m[rows]}
+    left = set(reason) - gone
+    why = {i: reason[i] or min((o, w) for j, n, o, w in needs if j == i and (n in gone or n not in reason))[1] for i in gone}
+    subjects = {f for f, s in m["conflicts"] if s in left}
+    return {
+        "rejected": {(kind[i], i, why[i]) for i in gone if i in kind} | {("conflict", f, f"its subject '{s}' was removed") for f, s in m["conflicts"] if s not in left},
+        "kept": {(kind[i], i) for i in left if i in kind},
+        "checks": {(i, dependency.CLEARED if ops is not None and (not sound or set(ops) - left) else None) for i, _, ops, sound in m["criteria"] if i in left},
+        "lists": {r for r in m["lists"] if r[2] in left},
+        "conflicts": {r for r in m["conflicts"] if r[1] in left},
+        "candidates": {(f, e if e in left else None, n) for f, e, n in m["candidates"] if f in subjects},
+    }
+
+
+@pytest.mark.parametrize(("beginnings", "wild"), [(5_000, False), (5_000, True), (0, True)])
+def test_gate_on_random_models(spark, monkeypatch, beginnings, wild):
+    """Elements that nothing needs stay out of the rounds; where anything may need anything, the results are the same."""
+    rng, written, write = random.Random(7), {}, dependency.materialise
+    monkeypatch.setattr(dependency, "BEGINNINGS", beginnings, raising=False)
+    monkeypatch.setattr(dependency, "KEPT_ROWS", 12, raising=False)
+
+    def record(df, what, *codec):
+        written[what] = df.count()
+        return write(df, what, *codec)
+
+    monkeypatch.setattr(dependency, "materialise", record)
+
+    def sure(p=0.85):
+        return rng.random() < p
+
+    ports, fixed, machines = [f"q{i}" for i in range(20)], [f"a{i}" for i in range(12)], [f"m{i}" for i in range(60)]
+    anything = [*ports, *fixed, "zz", *(machines + [f"s{i}" for i in range(60)] + [f"t{i}" for i in range(20)] if wild else [])]
+    m = {
+        "parts": [(f"p{i}", sure(), ports[4 * i : 4 * i + 4]) for i in range(5)],
+        "connections": [(f"c{i}", sure(), rng.choice(anything), rng.choice(anything if wild else ports)) for i in range(20)],
+        "parameters": [(a, sure(), rng.choice(["p0", "p1", "p2", "p3", "p4", "system"])) for a in fixed],
+        "machines": [(x, sure(), f"p{rng.randrange(5)}", rng.sample(anything, rng.randrange(3)), [f"t{i}"] if i < 20 else [], [f"s{i}"], sure(0.9)) for i, x in enumerate(machines)],
+        "requirements": [(f"r{i}", sure()) for i in range(3)],
+        "criteria": [(f"k{i}", sure(), rng.choice([None, rng.sample(anything, 2)]), sure()) for i in range(20)],
+        "conflicts": [(f"f{i}", rng.choice([*anything, *machines])) for i in range(8)],
+        "candidates": [(f"f{rng.randrange(8)}", rng.choice([*anything, None]), n) for n in range(25)],
+        "lists": [(f"r{rng.randrange(3)}", "affects", rng.choice([*anything, *machines, "k1"])) for _ in range(30)],
+    }
+    shapes = {
+        "parts": "ports array<string>", "connections": "from_port string, to_port string", "parameters": "owner string", "machines": "owner string, operands array<string>, timers array<string>, states array<string>, sound boolean",
+        "requirements": "", "criteria": "operands array<string>, sound boolean", "conflicts": "subject string", "candidates": "element string, n int", "lists": "what string, element string",
+    }
+    first = {"conflicts": "id string", "candidates": "conflict string", "lists": "record string"}
+    got = dependency.gate(Model(**{k: spark.createDataFrame(rows, ", ".join(filter(None, [first.get(k, "id string, traced boolean"), shapes[k]]))) for k, rows in m.items()}))
+    want = gated(m)
+    assert {name: {tuple(r) for r in getattr(got, name).collect()} for name in want} == want
+    assert wild or written["elements"] <= 20 + 12 + 5  # ports, parameters and parts, of 120 and the states
